@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, mixing, quality, secret_scan, token_count
+from . import chat_format, decontamination, jaccard_join, license_scan, mixing, pii, quality, secret_scan, substring_dedup, token_count
 from ._common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -16,6 +16,17 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+    spans = F.transform("matches", lambda m: F.concat(m["license"], F.lit(":"), F.array_join(F.transform(m["spans"], lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ";")))
+    best = F.coalesce(F.array_max(F.transform("matches", lambda m: m["coverage"])), F.lit(0.0))
+    return found.select("doc_id", F.size("matches").cast("long").alias("n_licenses"), F.array_join(F.transform("matches", lambda m: m["license"]), ",").alias("licenses"), best.alias("best_coverage"), F.array_join(spans, ",").alias("spans"))
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -29,6 +40,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *quality.COUNTS, "base_failed", "kept")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     planted = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -36,6 +51,10 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.expand(rows.unionByName(planted)))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
     if tokenizer_path is None:
         import public_tokenizers
@@ -44,5 +63,19 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, tokenizer_path: str | No
     return token_count.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op4_source_mixing, op5_secret_scan, op6_quality_rules, op8_chat_format, op10_token_counts)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_decontamination,
+        op2_license_scan,
+        op3_substring_dedup,
+        op4_source_mixing,
+        op5_secret_scan,
+        op6_quality_rules,
+        op7_jaccard_join,
+        op8_chat_format,
+        op9_personal_data,
+        op10_token_counts,
+    )
+}
 ORACLES: dict[str, str] = {}

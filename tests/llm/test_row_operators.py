@@ -142,7 +142,7 @@ def brute_secrets(text):
     return sorted(out, key=lambda x: (x[1], list(SECRETS).index(x[0])))
 
 
-TRICKY = ["token=a token: abcdefgh", "token:token: abcdefgh1", "ſecret=abcdefgh", 'API_KEY" : "aaaa.bbbb', "AKIA" + "A" * 11, "xAKIAAKIA" + "B" * 12, "é" + "0a" * 16, "password=" + "ab12" * 10, "0" * 31, "ghp_" + "a1" * 20]
+TRICKY = ["token=a token: abcdefgh", "token:token: abcdefgh1", "ſecret=abcdefgh", 'API_KEY" : "aaaa.bbbb', "AKIA" + "A" * 11, "xAKIAAKIA" + "B" * 12, "é" + "0a" * 16, "password=" + "ab12" * 10, "0" * 31, "ghp_" + "Z1" * 20]
 
 
 def test_secrets(spark, sf_dir):
