@@ -197,9 +197,9 @@ def components(edges: DataFrame) -> DataFrame:
         small = down.join(least, F.col("a") == F.col("x"))
         after = stage(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("x").alias("a"), F.col("m").alias("b"))).filter("a <> b").distinct())
         # Done when every node but the least points at the least alone.
-        tops = after.select("b").distinct()
-        if after.join(tops, after.a == tops.b, "left_semi").isEmpty() and after.groupBy("a").count().filter("count > 1").isEmpty():
-            return after.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(tops.select(F.col("b").alias("node"), F.col("b").alias("component")))
+        tops = after.select(F.col("b").alias("top")).distinct()
+        if after.join(tops, F.col("a") == F.col("top"), "left_semi").isEmpty() and after.groupBy("a").count().filter("count > 1").isEmpty():
+            return after.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(tops.select(F.col("top").alias("node"), F.col("top").alias("component")))
         edges = after
 
 

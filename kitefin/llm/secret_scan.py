@@ -109,7 +109,7 @@ def digest(found: DataFrame) -> DataFrame:
 def redact(documents: DataFrame, ledger_path: str, rule_version: str = RULE_VERSION) -> DataFrame:
     """documents, with each run of overlapping findings in text replaced by `<secret>`; other columns as they are.
 
-    Rows without findings, null texts included, stay as they are.
+    Rows without findings, null texts included, stay as they are; n_chars, if there is such a column, follows the text.
     """
     names = documents.columns
     found = scan_secrets(documents, ledger_path, rule_version).select(F.col("blob").alias("f_blob"), F.col("findings").alias("f_findings")).filter(F.size("f_findings") > 0).dropDuplicates(["f_blob"])
@@ -120,12 +120,14 @@ def redact(documents: DataFrame, ledger_path: str, rule_version: str = RULE_VERS
     clean = joined.filter("f_findings is null").select("row.*")
     schema = documents.schema
     at = names.index("text")
+    counted = [k for k, f in enumerate(schema) if f.name == "n_chars"]
 
     def rewrite(batches):
         for batch in batches:
             rows = batch.column("row")
             texts = [_without(t, f) for t, f in zip(rows.field(at).to_pylist(), batch.column("f_findings").to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, rows.field(k).type) if k == at else rows.field(k) for k in range(len(names))], names=names)
+            columns = {at: texts} | {k: list(map(len, texts)) for k in counted}
+            yield pa.RecordBatch.from_arrays([pa.array(columns[k], rows.field(k).type) if k in columns else rows.field(k) for k in range(len(names))], names=names)
 
     return clean.unionAll(joined.filter("f_findings is not null").select("row", "f_findings").mapInArrow(rewrite, schema))
 

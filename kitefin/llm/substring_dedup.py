@@ -9,19 +9,21 @@ offsets, and the strings of a document with one anchor are a run of neighbouring
 2. Occurrences with equal segments repeat all strings of the segment; all but the first are marked, by a join.
 3. Of anchors with different segments the first of each kind is kept. The segments of one anchor are concatenated and
    their suffixes sorted (`suffix_array`); neighbours that share LENGTH bytes are equal strings, and all but the first
-   are marked. Anchors with more than GROUP_SEGMENTS such segments are split into their single strings instead, which
-   a distributed aggregation groups, so that no group has to fit into one task.
+   are marked. Anchors with more than GROUP_SEGMENTS kinds are split first: strings that start at similar distances
+   from the anchor share a middle part, so its bytes and the range of distances make smaller groups, of which equal
+   pieces are marked as in step 2; ranges are halved until no group is too large, at the latest at single strings.
 4. Marks are joined to the documents, and what they cover is cut out.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import shared_dir, stage, text_groups
@@ -36,18 +38,21 @@ PIECE = 1 << 22
 
 _M = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _S = {k: np.uint64(k) for k in (24, 29, 31, 32)}
-_PLACE = "anchor long, segment long, doc long, tie long, start int, strings int"
+#: shape: the anchor's distance from the segment's start, and the number of strings.
+_PLACE = "anchor long, segment long, doc long, tie long, start int, shape int"
+_PIECE = "anchor long, segment long, doc long, tie long, start int, distance int, data binary"
+_SHAPE = 1 << 15
 
 
-def anchors(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, first and last string start of each segment, in order."""
+def anchors(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """Anchor hash, first and last string start, and the anchor's place of each segment, in order."""
     found = [_anchors(data[k : k + PIECE + length - 1], length, k) for k in range(0, max(1, len(data) - length + 1), PIECE)]
     return tuple(map(np.concatenate, zip(*found)))
 
 
-def _anchors(data: bytes, length: int, shift: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _anchors(data: bytes, length: int, shift: int) -> tuple[np.ndarray, ...]:
     if len(data) < length:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3
     words = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))
     later = words[GRAM - 8 :]
     h = words[: len(later)] * _M[0] + (later ^ (later >> _S[31])) * _M[1]
@@ -63,26 +68,26 @@ def _anchors(data: bytes, length: int, shift: int) -> tuple[np.ndarray, np.ndarr
     least = np.minimum(least[:n], least[width - held :][:n])
     at = (least & np.uint64((1 << 24) - 1)).astype(np.int64)
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    return h[at[first]], first + shift, np.r_[first[1:], n] - 1 + shift
+    return h[at[first]], first + shift, np.r_[first[1:], n] - 1 + shift, at[first] + shift
 
 
 def _emit(length: int, only_anchor: bool):
     """Rows of all segments, or just their anchors."""
 
     def run(batches):
-        names = ["anchor"] if only_anchor else ["anchor", "segment", "doc", "tie", "start", "strings"]
+        names = ["anchor"] if only_anchor else ["anchor", "segment", "doc", "tie", "start", "shape"]
         for batch, texts in text_groups(batches):
             rows, many = [], []
             for text in texts:
                 data = (text or "").encode("utf-8", "surrogatepass")
-                h, a, b = anchors(data, length)
+                h, a, b, at = anchors(data, length)
                 many.append(len(h))
                 if only_anchor:
                     rows.append((h.view(np.int64),))
                 elif len(h):
                     ends = (b + length).tolist()
                     seg = np.array([xxhash.xxh3_64_intdigest(data[x:y]) for x, y in zip(a.tolist(), ends)], np.uint64)
-                    rows.append((h.view(np.int64), seg.view(np.int64), a.astype(np.int32), (b - a + 1).astype(np.int32)))
+                    rows.append((h.view(np.int64), seg.view(np.int64), a.astype(np.int32), ((at - a) * _SHAPE + b - a + 1).astype(np.int32)))
             if not sum(many):
                 continue
             columns = [pa.array(np.concatenate(c)) for c in zip(*rows)]
@@ -177,25 +182,37 @@ def marks(documents: DataFrame, length: int = LENGTH, group_segments: int = GROU
     every = stage(every.join(repeated, F.col("anchor") == F.col("r_anchor"), "left_semi"))
     _free(every)
     place = F.struct("doc", "tie", "start")
-    kinds = stage(every.groupBy("anchor", "segment").agg(F.min(place).alias("first"), F.first("strings").alias("strings"), F.count("*").alias("n")))
-    copied = kinds.filter("n > 1").select(F.col("anchor").alias("k_anchor"), F.col("segment").alias("k_segment"), "first")
-    later = every.join(copied, (F.col("anchor") == F.col("k_anchor")) & (F.col("segment") == F.col("k_segment"))).filter(~F.struct("doc", "tie", "start").eqNullSafe(F.col("first")))
-    whole = later.select("doc", "tie", F.col("start").alias("low"), (F.col("start") + F.col("strings") - 1 + length).cast("int").alias("high"))
-    many = kinds.groupBy("anchor").agg(F.count("*").alias("segments")).filter("segments > 1").select(F.col("anchor").alias("m_anchor"), "segments")
-    differing = kinds.join(many, F.col("anchor") == F.col("m_anchor")).select("anchor", "segments", "first.doc", "first.tie", "first.start", "strings")
-    # The bytes of these segments, a list for each document.
-    wanted = differing.groupBy("doc", "tie").agg(F.collect_list(F.struct("anchor", "segments", "start", "strings")).alias("wanted"))
+    kinds = stage(every.groupBy("anchor", "segment").agg(F.min(place).alias("first"), F.first("shape").alias("shape"), F.count("*").alias("n")))
+    found = [_later(every, kinds, F.col("shape") % _SHAPE, length)]
+    many = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1").select(F.col("anchor").alias("m_anchor"), "kinds")
+    differing = kinds.join(many, F.col("anchor") == F.col("m_anchor")).select("anchor", "kinds", "first.doc", "first.tie", "first.start", "shape")
+    # The bytes of these segments, from a list of them for each document.
+    wanted = differing.groupBy("doc", "tie").agg(F.collect_list(F.struct("anchor", "kinds", "start", "shape")).alias("wanted"))
     wanted = wanted.select(F.col("doc").alias("w_doc"), F.col("tie").alias("w_tie"), "wanted")
     cut = documents.join(wanted, F.col("doc").eqNullSafe(F.col("w_doc")) & (F.col("tie") == F.col("w_tie"))).select("doc", "tie", "text", "wanted")
-    cut = stage(cut.mapInArrow(_cut(length), "anchor long, segments long, doc long, tie long, start int, data binary"))
+    cut = stage(cut.mapInArrow(_cut(length), "anchor long, kinds long, doc long, tie long, start int, distance int, data binary"))
     _free(cut)
-    small = cut.filter(F.col("segments") <= group_segments).repartition("anchor").sortWithinPartitions("segments", "anchor")
-    solved = small.select("anchor", "doc", "tie", "start", "data").mapInArrow(_solve(length), "doc long, tie long, low int, high int")
-    single = cut.filter(F.col("segments") > group_segments).select("doc", "tie", "start", "data").mapInArrow(_strings(length), "string binary, doc long, tie long, start int")
-    firsts = single.groupBy("string").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select(F.col("string").alias("f_string"), "first")
-    found = single.join(firsts, F.col("string") == F.col("f_string")).filter(~F.struct("doc", "tie", "start").eqNullSafe(F.col("first")))
-    found = found.select("doc", "tie", F.col("start").alias("low"), (F.col("start") + length).cast("int").alias("high"))
-    return whole.unionByName(solved).unionByName(found)
+    width = 1 << (length - GRAM).bit_length()  # of the ranges of distances, that of all at first
+    while True:
+        small = cut.filter(F.col("kinds") <= group_segments).repartition("anchor").sortWithinPartitions("kinds", "anchor")
+        found.append(small.select("anchor", "doc", "tie", "start", "data").mapInArrow(_solve(length), "doc long, tie long, low int, high int"))
+        crowded = cut.filter(F.col("kinds") > group_segments).drop("kinds")
+        if crowded.isEmpty():
+            break
+        width //= 2
+        pieces = stage(crowded.mapInArrow(_split(length, width), _PIECE))
+        kinds = stage(pieces.groupBy("anchor", "segment").agg(F.min(F.struct("doc", "tie", "start", "distance", "data")).alias("first"), F.count("*").alias("n")))
+        found.append(_later(pieces, kinds.withColumn("first", F.struct("first.doc", "first.tie", "first.start")), F.octet_length("data") - (length - 1), length))
+        many = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1").select(F.col("anchor").alias("m_anchor"), "kinds")
+        cut = stage(kinds.join(many, F.col("anchor") == F.col("m_anchor")).select("anchor", "kinds", "first.*"))
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def _later(every: DataFrame, kinds: DataFrame, strings: Column, length: int) -> DataFrame:
+    """Marks of all strings of the segments that aren't the first of their kind."""
+    copied = kinds.filter("n > 1").select(F.col("anchor").alias("k_anchor"), F.col("segment").alias("k_segment"), "first")
+    later = every.join(copied, (F.col("anchor") == F.col("k_anchor")) & (F.col("segment") == F.col("k_segment"))).filter(~F.struct("doc", "tie", "start").eqNullSafe(F.col("first")))
+    return later.select("doc", "tie", F.col("start").alias("low"), (F.col("start") + strings - 1 + length).cast("int").alias("high"))
 
 
 def _cut(length: int):
@@ -205,27 +222,43 @@ def _cut(length: int):
             docs, ties, wanted = (batch.column(c).to_pylist() for c in ("doc", "tie", "wanted"))
             for text, doc, tie, want in zip(texts, docs, ties, wanted):
                 data = (text or "").encode("utf-8", "surrogatepass")
-                out += [(w["anchor"], w["segments"], doc, tie, w["start"], data[w["start"] : w["start"] + w["strings"] - 1 + length]) for w in want]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["anchor", "segments", "doc", "tie", "start", "data"])
+                out += [(w["anchor"], w["kinds"], doc, tie, w["start"], w["shape"] // _SHAPE, data[w["start"] : w["start"] + w["shape"] % _SHAPE - 1 + length]) for w in want]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["anchor", "kinds", "doc", "tie", "start", "distance", "data"])
 
     return run
 
 
-def _strings(length: int):
-    """The single strings of segments, by 128-bit digest."""
+def _split(length: int, width: int):
+    """Pieces of segments for ranges of `width` distances between the anchor and a string's start.
+
+    All strings of a range hold the bytes from the latest of its starts to the earliest of its ends; together with the
+    old group and the range they name the new group.
+    """
 
     def run(batches):
-        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int32()]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
-                out = [(xxhash.xxh3_128_digest(data[i : i + length]), doc, tie, start + i) for doc, tie, start, data in zip(*(part.column(c).to_pylist() for c in ("doc", "tie", "start", "data"))) for i in range(len(data) - length + 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["string", "doc", "tie", "start"])
+            for k in range(0, batch.num_rows, 10_000):
+                out: list[tuple] = []
+                part = batch.slice(k, 10_000)
+                for anchor, doc, tie, start, distance, data in zip(*(part.column(c).to_pylist() for c in ("anchor", "doc", "tie", "start", "distance", "data"))):
+                    least = distance - (len(data) - length)  # of the distances of the segment's strings
+                    for low in range(least // width * width, distance + 1, width):
+                        far, near = min(distance, low + width - 1), max(least, low)
+                        shared = data[distance - low : distance - low - width + 1 + length]
+                        piece = data[distance - far : distance - near + length]
+                        name = xxhash.xxh3_64_intdigest(b"%d %d %d " % (anchor, width, low) + shared)
+                        out.append((_signed(name), _signed(xxhash.xxh3_64_intdigest(piece)), doc, tie, start + distance - far, far, piece))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["anchor", "segment", "doc", "tie", "start", "distance", "data"])
 
     return run
 
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 def _apply(batches):
     for batch, texts in text_groups(batches):
         out = []

@@ -100,7 +100,7 @@ def test_regions_meet():
     r = random.Random(6)
     for _ in range(3000):
         n = r.choice([r.randrange(5, 40), r.randrange(5, 600)])
-        pool = np.array(r.sample(range(2**64), n + 200), np.uint64)
+        pool = np.array([r.getrandbits(64) for _ in range(n + 200)], np.uint64)
         a, rest = set(pool[:n].tolist()), pool[n:].tolist()
         d = r.randrange(int(0.18 * n) + 2)
         gone = set(r.sample(sorted(a), r.randrange(min(d, n - 1) + 1)))

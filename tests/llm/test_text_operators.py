@@ -66,9 +66,9 @@ def test_substring_groups(spark, group_segments):
 def test_substring_pieces(monkeypatch):
     r = random.Random(2)
     data = bytes(r.choices(b"ab", k=5000))
-    whole = [np.concatenate([np.arange(a, b + 1) for _, a, b in zip(*substring_dedup.anchors(data))])]
+    whole = [np.concatenate([np.arange(a, b + 1) for _, a, b, _ in zip(*substring_dedup.anchors(data))])]
     monkeypatch.setattr(substring_dedup, "PIECE", 700)
-    pieces = np.concatenate([np.arange(a, b + 1) for _, a, b in zip(*substring_dedup.anchors(data))])
+    pieces = np.concatenate([np.arange(a, b + 1) for _, a, b, _ in zip(*substring_dedup.anchors(data))])
     assert whole[0].tolist() == pieces.tolist() == list(range(5000 - 99))
 
 
