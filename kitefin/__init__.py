@@ -1,0 +1 @@
+"""Program-graph analytics on Spark DataFrames."""
