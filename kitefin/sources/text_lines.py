@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
-BY_LINE = Window.partitionBy("file").orderBy("line_no")
+
+def by_line() -> WindowSpec:
+    return Window.partitionBy("file").orderBy("line_no")
 
 
 def read_lines(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
     """Lines of all files below path. A file is read whole, so that its lines are numbered without a shuffle."""
-    whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("wholetext", True).text(path)
+    whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True)
     lines = F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n"))
     return whole.select(F.col("_metadata.file_path").alias("file"), lines.alias("at", "text")).select("file", (F.col("at") + 1).cast("int").alias("line_no"), "text")
 
 
 def take_while(lines: DataFrame, holds: Column) -> DataFrame:
     """Each file's lines up to the first one for which the predicate doesn't hold."""
-    seen = F.sum(F.when(holds, 0).otherwise(1)).over(BY_LINE.rowsBetween(Window.unboundedPreceding, 0))
+    seen = F.sum(F.when(holds, 0).otherwise(1)).over(by_line().rowsBetween(Window.unboundedPreceding, 0))
     return lines.withColumn("_broken", seen).filter("_broken = 0").drop("_broken")
 
 
@@ -30,8 +32,8 @@ def line_slice(lines: DataFrame, ranges: DataFrame) -> DataFrame:
 def continuation_groups(lines: DataFrame, mark: str = "\\") -> DataFrame:
     """Lines folded over a mark at the line's end: file, first line, text without the marks, number of lines."""
     goes_on = F.rtrim("text").endswith(mark)
-    begins = F.coalesce((~F.lag(goes_on).over(BY_LINE)).cast("int"), F.lit(1))
-    grouped = lines.withColumn("_group", F.sum(begins).over(BY_LINE.rowsBetween(Window.unboundedPreceding, 0)))
+    begins = F.coalesce((~F.lag(goes_on).over(by_line())).cast("int"), F.lit(1))
+    grouped = lines.withColumn("_group", F.sum(begins).over(by_line().rowsBetween(Window.unboundedPreceding, 0)))
     part = F.when(goes_on, F.expr(f"left(rtrim(text), length(rtrim(text)) - {len(mark)})")).otherwise(F.col("text"))
     parts = F.array_sort(F.collect_list(F.struct("line_no", part.alias("part"))))
     folded = grouped.groupBy("file", "_group").agg(F.min("line_no").alias("line_no"), parts.alias("parts"), F.count("*").alias("n_lines"))
