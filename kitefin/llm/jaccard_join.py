@@ -7,12 +7,13 @@ D + 1 parts, so linked documents meet in a region (part, what the set has there)
 and the sizes (`most_different`). Shingles that very many documents share are left out of the parts, which keeps the
 argument and avoids crowded regions; sets that lack parts then use all their shingles in further regions.
 
-Inside regions the metric does the work, round by round. A region's pivot is the set that is in most regions; the
-region's sets get their exact distance to it. Sets within the threshold r are linked to the pivot and need no
-comparison among themselves, as only components are asked for; sets farther than r go on as a smaller region with a
-new pivot; by the triangle inequality a set w can only link to a set x of the pivot's cell if w is within 2 r of the
-pivot and their distances to it differ by r at most, so these boundary sets alone are compared with the cell too.
-Comparisons inside a component found so far are dropped. Regions of up to SMALL sets compare all that is left.
+Inside regions the metric does the work, round by round. A large region gets a few pivots, and its sets their exact
+distances to them. A set within the threshold r of a pivot is in that pivot's cell (the first pivot's, if there are
+several); a cell's sets are linked through the pivot and need no comparison among themselves, as only components are
+asked for. Sets in no cell go on as a smaller region with new pivots. By the triangle inequality a set w outside can
+only link to a set x of a cell if w is within 2 r of the pivot and their distances to it differ by r at most, so these
+boundary sets alone are compared with the cell too. Comparisons inside a component found so far are dropped. Regions
+of up to SMALL sets compare all that is left.
 """
 
 from __future__ import annotations
@@ -25,13 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import shared_dir, stage, text_groups
+from ._common import free_shuffles, shared_dir, stage, text_groups
 
 SHINGLE = 4
 #: Link: 100 * intersection >= PERCENT * union. Boundary: distance up to twice the threshold's.
 PERCENT, BOUNDARY = 85, 70
 BAND_RATIO, LEAST_BAND = 1.5, 6
-SMALL = 12
+#: Sets of a region that are all compared, and pivots of a larger one.
+SMALL, PIVOTS = 48, 8
 #: Documents that are looked at to find very common shingles, how often one must be in them, and how many are kept.
 #: They only choose which regions are made; whatever they are, no link is lost.
 SAMPLE_DOCS, SAMPLE_HITS, MOST_COMMON = 16_000, 8, 200_000
@@ -39,6 +41,8 @@ SKETCH_BITS = 1024
 #: Members of one pivot that one task compares.
 PIVOT_SHARE = 500
 MOST_ROUNDS = 200
+#: Of a graph whose components one task finds.
+SMALL_EDGES = 500_000
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _M = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
@@ -53,27 +57,31 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S[31])
 
 
+class _Words(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = found = xxhash.xxh3_64_intdigest(word)
+        return found
+
+
 class Shingler:
     """Sorted distinct 64-bit hashes of the shingles of a text."""
 
     def __init__(self, words: int = SHINGLE):
-        self.words, self.known = words, {}
+        self.words, self.known = words, _Words()
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
         if not words:
             return np.zeros(0, np.uint64)
         if len(self.known) > MOST_WORDS:
-            self.known = {}
-        known = self.known
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+            self.known = _Words()
+        h = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
         n = min(self.words, len(words))
         out = np.full(len(h) - n + 1, n, np.uint64)
         for k in range(n):
-            out = mix(out * _M[0] + h[k : len(h) - n + 1 + k])
-        return np.unique(out)
+            out = (out ^ (out >> _S[31])) * _M[k % 4] + h[k : len(h) - n + 1 + k]
+        out = np.sort(mix(out))
+        return out[np.r_[True, out[1:] != out[:-1]]]
 
 
 def set_id(shingles: np.ndarray) -> int:
@@ -129,35 +137,27 @@ def sketch(shingles: np.ndarray) -> bytes:
     return np.packbits(np.bincount((shingles & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1).tobytes()
 
 
-def _profiles(batches):
-    shingler = Shingler()
-    for batch, texts in text_groups(batches):
-        sets = [shingler(t) for t in texts]
-        columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary())]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n", "sid", "sketch"])
+def _profiles(shared):
+    """What is known of each text: set size, set id, sketch and regions."""
 
-
-def _shingles(batches):
-    shingler = Shingler()
-    for _, texts in text_groups(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingler(t) for t in texts]).view(np.int64))], names=["shingle"])
-
-
-def _regions(shared):
     def run(batches):
         shingler, common = Shingler(), np.frombuffer(shared.value, np.uint64)
         for batch, texts in text_groups(batches):
-            rows = []
-            for s in map(shingler, texts):
-                keys = regions(s, common)
-                if len(keys):
-                    rows.append((keys, np.full(len(keys), set_id(s)), np.full(len(keys), len(s), np.int32)))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], names=["region", "sid", "n"])
+            sets = [shingler(t) for t in texts]
+            keys = [regions(s, common) for s in sets]
+            held = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate(keys), pa.int64()))
+            columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary()), held]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n", "sid", "sketch", "regions"])
 
     return run
 
 
+def _shingles(batches):
+    shingler = Shingler()
+    for _, texts in text_groups(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingler(t) for t in texts]).view(np.int64))], names=["shingle"])
+
+
 def _sets(batches):
     shingler = Shingler()
     for batch, texts in text_groups(batches):
@@ -181,13 +181,30 @@ def _compare(batches):
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], names=["pivot", "sid", "common"])
 
 
+def _union_find(batches):
+    root: dict[int, int] = {}
+
+    def top(a: int) -> int:
+        while root.setdefault(a, a) != a:
+            root[a] = a = root[root[a]]
+        return a
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            a, b = sorted((top(a), top(b)))
+            root[b] = a
+    yield pa.RecordBatch.from_arrays([pa.array(list(root), pa.int64()), pa.array([top(a) for a in list(root)], pa.int64())], names=["node", "component"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its least node) of the undirected graph of edges (a, b); nodes without edges are absent.
 
-    Large-star and small-star steps in turn, until a pass changes nothing.
+    Up to SMALL_EDGES edges, one task; beyond, large-star and small-star steps in turn, until all are stars.
     """
     both = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = stage(edges.select("a", "b").filter("a <> b").distinct())
+    if edges.limit(SMALL_EDGES + 1).count() <= SMALL_EDGES:
+        return edges.coalesce(1).mapInArrow(_union_find, "node long, component long")
     while True:
         near = both(edges)
         least = near.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("x"), F.least("m", "a").alias("m"))
@@ -229,76 +246,92 @@ def _distances(pairs: DataFrame, profiles: DataFrame, sets: DataFrame) -> DataFr
     return counted.join(close.select(F.col("pivot").alias("c_pivot"), "pn", F.col("sid").alias("c_sid"), "n"), (F.col("pivot") == F.col("c_pivot")) & (F.col("sid") == F.col("c_sid"))).select("pivot", "pn", "sid", "n", "common")
 
 
+def common_shingles(documents: DataFrame) -> np.ndarray:
+    """Shingles that many documents share, from a bounded sample; they only choose which regions are made."""
+    share = max(1, documents.count() // SAMPLE_DOCS)
+    sampled = documents.filter(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0)
+    often = sampled.select("text").mapInArrow(_shingles, "shingle long").groupBy("shingle").count().filter(F.col("count") >= SAMPLE_HITS)
+    return np.sort(np.array([r.shingle for r in often.orderBy(F.desc("count"), "shingle").limit(MOST_COMMON).collect()], np.int64).view(np.uint64))
+
+
 def link_sets(profiles: DataFrame, documents: DataFrame, repeated_ids: bool = True) -> DataFrame:
     """node, component over the ids of different sets that have links. documents: doc_id, text; profiles of them."""
     spark = documents.sparkSession
-    free = spark.sparkContext._jvm.System.gc  # drops the shuffle files of what has been staged
-    total = profiles.count()
-    sampled = documents.filter(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, total // SAMPLE_DOCS))) == 0)
-    often = sampled.select("text").mapInArrow(_shingles, "shingle long").groupBy("shingle").count().filter(F.col("count") >= SAMPLE_HITS)
-    common = np.sort(np.array([r.shingle for r in often.orderBy(F.desc("count"), "shingle").limit(MOST_COMMON).collect()], np.int64).view(np.uint64))
-    shared = spark.sparkContext.broadcast(common.tobytes())
-    placed = documents.select("text").mapInArrow(_regions(shared), "region long, sid long, n int")
+    placed = profiles.select(F.explode("regions").alias("region"), "sid", "n")
     crowded = placed.groupBy("region").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).filter("low < high").select(F.col("region").alias("c_region"))
     found = stage(placed.join(crowded, F.col("region") == F.col("c_region"), "left_semi").distinct())
-    free()
-    score = found.groupBy(F.col("sid").alias("s_sid")).agg(F.count("*").alias("score"))
-    todo = stage(found.join(score, F.col("sid") == F.col("s_sid")).select("region", "sid", F.col("n").cast("long").alias("n"), "score"))
+    free_shuffles(spark)
+    score = stage(found.groupBy(F.col("sid").alias("s_sid")).agg(F.count("*").alias("score")))
+    todo = stage(found.join(score, F.col("sid") == F.col("s_sid")).select("region", "sid", "n", "score"))
     # The sets of all that share a region, from one document each.
     first = profiles.groupBy("sid").agg(F.min("doc_id").alias("f_doc")).join(score, F.col("sid") == F.col("s_sid"), "left_semi").withColumnRenamed("sid", "f_sid")
     sets = documents.join(first, F.col("doc_id").eqNullSafe(F.col("f_doc"))).select(F.col("f_sid").alias("sid"), "text")
     sets = sets.mapInArrow(_sets, "sid long, shingles binary")
     sets = stage(sets.dropDuplicates(["sid"]) if repeated_ids else sets)
-    kinds = stage(profiles.select("sid", "sketch").join(first, F.col("sid") == F.col("f_sid"), "left_semi").dropDuplicates(["sid"]))
-    free()
+    kinds = profiles.select("doc_id", "sid", "sketch").join(first, (F.col("sid") == F.col("f_sid")) & F.col("doc_id").eqNullSafe(F.col("f_doc")), "left_semi").select("sid", "sketch")
+    kinds = stage(kinds.dropDuplicates(["sid"]) if repeated_ids else kinds)
+    free_shuffles(spark)
     links, classes, crossing = None, None, None
-    for _ in range(MOST_ROUNDS):
-        if todo.isEmpty() and crossing is None:
-            break
-        heads = todo.groupBy("region").agg(F.max(F.struct("score", "sid", "n")).alias("head"), F.count("*").alias("members")).filter("members > 1")
-        heads = heads.select(F.col("region").alias("h_region"), F.col("head.sid").alias("pivot"), F.col("head.n").alias("pn"), "members")
-        cells = stage(todo.join(heads, F.col("region") == F.col("h_region")).select("region", "sid", "n", "score", "pivot", "pn", "members"))
-        stars = cells.filter(f"sid <> pivot and members > {SMALL}").select("pivot", "pn", "sid", "n")
-        few = cells.filter(f"members <= {SMALL}")
-        other = few.select(F.col("region").alias("o_region"), F.col("sid").alias("pivot"), F.col("n").alias("pn"))
-        inside = few.select("region", "sid", "n").join(other, (F.col("region") == F.col("o_region")) & (F.col("sid") < F.col("pivot"))).select("pivot", "pn", "sid", "n")
-        pairs = stars.unionByName(inside)
+    for number in range(MOST_ROUNDS):
+        heads = todo.groupBy("region").agg(F.max(F.struct("score", "sid")).alias("head"), F.count("*").alias("members")).filter("members > 1")
+        heads = heads.select(F.col("region").alias("h_region"), F.col("head.sid").alias("head"), "members")
+        cells = stage(todo.join(heads, F.col("region") == F.col("h_region")).drop("h_region"))
+        # Pairs of a small region; of a large one those with its pivots, which are the head and about PIVOTS others.
+        small = cells.filter(f"members <= {SMALL}").select("region", "sid", "n")
+        other = small.select(F.col("region").alias("o_region"), F.col("sid").alias("pivot"), F.col("n").alias("pn"))
+        pairs = small.join(other, (F.col("region") == F.col("o_region")) & (F.col("sid") < F.col("pivot"))).select("pivot", "pn", "sid", "n")
+        large = cells.filter(f"members > {SMALL}")
+        chosen = (F.col("sid") == F.col("head")) | (F.pmod(F.xxhash64("sid", F.lit(number)), F.ceil(F.col("members") / PIVOTS)) == 0)
+        pivots = large.filter(chosen).select(F.col("region").alias("p_region"), F.col("sid").alias("pivot"), F.col("n").alias("pn"))
+        is_large = not large.isEmpty()
+        if is_large:
+            stars = large.select("region", "sid", "n", "score").join(pivots, (F.col("region") == F.col("p_region")) & (F.col("sid") != F.col("pivot"))).drop("p_region")
+            # A pair is measured once, whichever of its ends is the pivot.
+            low, high = F.col("sid") < F.col("pivot"), F.col("sid") > F.col("pivot")
+            turned = stars.select(F.when(low, F.col("pivot")).otherwise(F.col("sid")).alias("pivot"), F.when(low, F.col("pn")).otherwise(F.col("n")).alias("pn"), F.when(high, F.col("pivot")).otherwise(F.col("sid")).alias("sid"), F.when(high, F.col("pn")).otherwise(F.col("n")).alias("n"))
+            pairs = pairs.unionByName(turned)
         if crossing is not None:
             pairs = pairs.unionByName(crossing)
         pairs = pairs.distinct()
         if classes is not None:
             pairs = _apart(pairs, classes)
         measured = stage(_distances(pairs, kinds, sets)).withColumn("joint", F.col("n") + F.col("pn") - F.col("common"))
-        free()
-        linked = measured.filter(f"100 * common >= {PERCENT} * joint").select("pivot", "pn", "sid", "n", "common", "joint")
-        edges = linked.select(F.col("pivot").alias("a"), F.col("sid").alias("b"))
+        edges = measured.filter(f"100 * common >= {PERCENT} * joint").select(F.col("pivot").alias("a"), F.col("sid").alias("b"))
         links = stage(edges if links is None else edges.unionByName(links))
         classes = stage(components(links))
-        # Large regions go on without the pivot and its cell; the boundary is compared with the cell.
-        large = cells.filter(f"sid <> pivot and members > {SMALL}")
-        near = measured.select(F.col("pivot").alias("d_pivot"), F.col("sid").alias("d_sid"), "common", "joint")
-        large = large.join(near, (F.col("pivot") == F.col("d_pivot")) & (F.col("sid") == F.col("d_sid")), "left").drop("d_pivot", "d_sid")
-        named = classes.withColumnRenamed("node", "c_node")
-        large = large.join(named, F.col("sid") == F.col("c_node"), "left").withColumn("class", F.coalesce("component", "sid")).drop("c_node", "component")
-        top = classes.select(F.col("node").alias("t_node"), F.col("component").alias("t_class"))
-        large = stage(large.join(top, F.col("pivot") == F.col("t_node"), "left").withColumn("head_class", F.coalesce("t_class", "pivot")).drop("t_node", "t_class"))
-        if large.isEmpty():
-            break
-        inner = f"coalesce(100 * common >= {PERCENT} * joint, false)"
-        outside = large.filter(f"not ({inner})")
-        # A region whose sets are all of one component has nothing left to find.
+        if not is_large:
+            return classes
+        # Distances in both directions, beside the classes known by now.
+        either = measured.select(F.col("pivot").alias("d_pivot"), F.col("sid").alias("d_sid"), "common", "joint")
+        either = either.unionByName(either.select(F.col("d_sid").alias("d_pivot"), F.col("d_pivot").alias("d_sid"), "common", "joint"))
+        known = stars.join(either, (F.col("pivot") == F.col("d_pivot")) & (F.col("sid") == F.col("d_sid")), "left").drop("d_pivot", "d_sid")
+        a, b = (classes.select(F.col("node").alias(f"{k}_node"), F.col("component").alias(f"{k}_class")) for k in "ab")
+        known = known.join(a, F.col("sid") == F.col("a_node"), "left").join(b, F.col("pivot") == F.col("b_node"), "left")
+        inner = F.coalesce(F.expr(f"100 * common >= {PERCENT} * joint"), F.lit(False))
+        known = known.select("region", "sid", "n", "score", "pivot", "pn", F.coalesce("a_class", "sid").alias("class"), F.coalesce("b_class", "pivot").alias("p_class"), (F.col("common") / F.col("joint")).alias("near"), inner.alias("inner"))
+        # A set's cell is that of the least pivot it is linked to, or its own if it is a pivot and that is less.
+        marked = pivots.select(F.col("p_region").alias("m_region"), F.col("pivot").alias("m_sid"))
+        home = known.groupBy("region", "sid", "n", "score", "class").agg(F.min(F.when(F.col("inner"), F.col("pivot"))).alias("home"))
+        home = home.join(marked, (F.col("region") == F.col("m_region")) & (F.col("sid") == F.col("m_sid")), "left")
+        home = stage(home.select("region", "sid", "n", "score", "class", F.least("home", "m_sid").alias("home")))
+        # Sets in no cell go on; a region whose sets are all of one component has nothing left to find.
+        outside = home.filter("home is null")
         open_ = outside.groupBy("region").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select(F.col("region").alias("o_region"))
         todo = stage(outside.join(open_, F.col("region") == F.col("o_region"), "left_semi").select("region", "sid", "n", "score"))
-        far = F.col("common") / F.col("joint")
-        boundary = outside.filter("common is not null and class <> head_class").filter(100 * F.col("common") >= BOUNDARY * F.col("joint")).select(F.col("region").alias("b_region"), F.col("sid").alias("pivot"), F.col("n").alias("pn"), far.alias("b_far"))
-        cell = large.filter(inner).select("region", "sid", "n", far.alias("far"))
+        # What is near a pivot, but in a later cell or none, is compared with the pivot's cell, unless a path joins them.
+        homes = home.select(F.col("region").alias("c_region"), F.col("sid").alias("c_sid"), "home")
+        placed_at = known.join(homes, (F.col("region") == F.col("c_region")) & (F.col("sid") == F.col("c_sid")))
+        boundary = placed_at.filter("class <> p_class and near is not null and (home is null or home > pivot)").filter(F.col("near") * 100 >= BOUNDARY - 1e-7)
+        boundary = boundary.select(F.col("region").alias("b_region"), F.col("pivot").alias("b_pivot"), F.col("sid").alias("pivot"), F.col("n").alias("pn"), F.col("near").alias("b_near"))
+        cell = placed_at.filter("home = pivot").select("region", F.col("pivot").alias("cell"), "sid", "n", "near")
         # Similarities to the pivot that differ by more than the threshold rule a link out; a little over, for rounding.
-        crossing = cell.join(boundary, (F.col("region") == F.col("b_region")) & (F.col("far") - F.col("b_far") <= (100 - PERCENT) / 100 + 1e-9)).select("pivot", "pn", "sid", "n").distinct()
-        crossing = stage(_apart(crossing, classes))
-        crossing = None if crossing.isEmpty() else crossing
-    else:
-        raise RuntimeError(f"regions are left after {MOST_ROUNDS} rounds")
-    return classes if classes is not None else spark.createDataFrame([], "node long, component long")
+        crossing = cell.join(boundary, (F.col("region") == F.col("b_region")) & (F.col("cell") == F.col("b_pivot")) & (F.col("near") - F.col("b_near") <= (100 - PERCENT) / 100 + 1e-9))
+        crossing = stage(_apart(crossing.select("pivot", "pn", "sid", "n").distinct(), classes))
+        if crossing.isEmpty():
+            crossing = None
+            if todo.isEmpty():
+                return classes
+    raise RuntimeError(f"regions are left after {MOST_ROUNDS} rounds")
 
 
 def _apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -318,7 +351,8 @@ def join_documents(documents: DataFrame) -> DataFrame:
     """
     shared_dir(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    profiles = stage(docs.mapInArrow(_profiles, "doc_id long, n long, sid long, sketch binary"))
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs).tobytes())
+    profiles = stage(docs.mapInArrow(_profiles(shared), "doc_id long, n long, sid long, sketch binary, regions array<long>"))
     filled = profiles.filter("n > 0")
     rows, ids = profiles.agg(F.count("*"), F.count_distinct("doc_id")).first()
     classes = link_sets(filled, docs, rows != ids).withColumnRenamed("node", "c_node")

@@ -11,7 +11,7 @@ offsets, and the strings of a document with one anchor are a run of neighbouring
    their suffixes sorted (`suffix_array`); neighbours that share LENGTH bytes are equal strings, and all but the first
    are marked. Anchors with more than GROUP_SEGMENTS kinds are split first: strings that start at similar distances
    from the anchor share a middle part, so its bytes and the range of distances make smaller groups, of which equal
-   pieces are marked as in step 2; ranges are halved until no group is too large, at the latest at single strings.
+   pieces are marked as in step 2; ranges are cut in four until no group is too large, at the latest at single strings.
 4. Marks are joined to the documents, and what they cover is cut out.
 """
 
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import shared_dir, stage, text_groups
+from ._common import free_shuffles, shared_dir, stage, text_groups
 from .suffix_array import suffix_arrays
 
 LENGTH, GRAM = 100, 16
@@ -169,43 +169,46 @@ def _marks(groups: list[list[tuple]], length: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([rows[k][1] for k in own], pa.int64()), pa.array([rows[k][2] for k in own], pa.int64()), pa.array(low, pa.int32()), pa.array(low + hi - lo + length, pa.int32())], names=["doc", "tie", "low", "high"])
 
 
-def _free(df: DataFrame) -> None:
-    """Let Spark drop the shuffle files of what has been written meanwhile."""
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
 def marks(documents: DataFrame, length: int = LENGTH, group_segments: int = GROUP_SEGMENTS) -> DataFrame:
     """doc, tie, low, high: byte ranges to remove, any number of them over each other. documents: doc, tie, text."""
     counted = documents.select("text").mapInArrow(_emit(length, True), "anchor long").groupBy("anchor").count()
-    repeated = counted.filter("count > 1").select(F.col("anchor").alias("r_anchor"))
+    # Staged, so that the join deals both sides anew and Spark can split an anchor that is everywhere.
+    repeated = stage(counted.filter("count > 1").select(F.col("anchor").alias("r_anchor")))
+    free_shuffles(repeated.sparkSession)
     every = documents.mapInArrow(_emit(length, False), _PLACE)
     every = stage(every.join(repeated, F.col("anchor") == F.col("r_anchor"), "left_semi"))
-    _free(every)
+    free_shuffles(every.sparkSession)
     place = F.struct("doc", "tie", "start")
     kinds = stage(every.groupBy("anchor", "segment").agg(F.min(place).alias("first"), F.first("shape").alias("shape"), F.count("*").alias("n")))
-    found = [_later(every, kinds, F.col("shape") % _SHAPE, length)]
-    many = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1").select(F.col("anchor").alias("m_anchor"), "kinds")
+    found = _later(every, kinds, F.col("shape") % _SHAPE, length)
+    many = stage(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1").select(F.col("anchor").alias("m_anchor"), "kinds"))
     differing = kinds.join(many, F.col("anchor") == F.col("m_anchor")).select("anchor", "kinds", "first.doc", "first.tie", "first.start", "shape")
     # The bytes of these segments, from a list of them for each document.
     wanted = differing.groupBy("doc", "tie").agg(F.collect_list(F.struct("anchor", "kinds", "start", "shape")).alias("wanted"))
     wanted = wanted.select(F.col("doc").alias("w_doc"), F.col("tie").alias("w_tie"), "wanted")
     cut = documents.join(wanted, F.col("doc").eqNullSafe(F.col("w_doc")) & (F.col("tie") == F.col("w_tie"))).select("doc", "tie", "text", "wanted")
     cut = stage(cut.mapInArrow(_cut(length), "anchor long, kinds long, doc long, tie long, start int, distance int, data binary"))
-    _free(cut)
+    free_shuffles(cut.sparkSession)
     width = 1 << (length - GRAM).bit_length()  # of the ranges of distances, that of all at first
+    small, split = [], []
     while True:
-        small = cut.filter(F.col("kinds") <= group_segments).repartition("anchor").sortWithinPartitions("kinds", "anchor")
-        found.append(small.select("anchor", "doc", "tie", "start", "data").mapInArrow(_solve(length), "doc long, tie long, low int, high int"))
+        small.append(cut.filter(F.col("kinds") <= group_segments).select("anchor", "kinds", "doc", "tie", "start", "data"))
         crowded = cut.filter(F.col("kinds") > group_segments).drop("kinds")
         if crowded.isEmpty():
             break
-        width //= 2
+        width = max(1, width // 4)
         pieces = stage(crowded.mapInArrow(_split(length, width), _PIECE))
         kinds = stage(pieces.groupBy("anchor", "segment").agg(F.min(F.struct("doc", "tie", "start", "distance", "data")).alias("first"), F.count("*").alias("n")))
-        found.append(_later(pieces, kinds.withColumn("first", F.struct("first.doc", "first.tie", "first.start")), F.octet_length("data") - (length - 1), length))
+        split.append((pieces, kinds))
         many = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1").select(F.col("anchor").alias("m_anchor"), "kinds")
         cut = stage(kinds.join(many, F.col("anchor") == F.col("m_anchor")).select("anchor", "kinds", "first.*"))
-    return functools.reduce(DataFrame.unionByName, found)
+    if split:  # names of groups hold the width, so that all rounds can be joined at once
+        pieces, kinds = (functools.reduce(DataFrame.unionByName, x) for x in zip(*split))
+        kinds = kinds.select("anchor", "segment", "n", F.struct("first.doc", "first.tie", "first.start").alias("first"))
+        found = found.unionByName(_later(pieces, kinds, F.octet_length("data") - (length - 1), length))
+    groups = functools.reduce(DataFrame.unionByName, small).repartition("anchor").sortWithinPartitions("kinds", "anchor")
+    solved = groups.select("anchor", "doc", "tie", "start", "data").mapInArrow(_solve(length), "doc long, tie long, low int, high int")
+    return found.unionByName(solved)
 
 
 def _later(every: DataFrame, kinds: DataFrame, strings: Column, length: int) -> DataFrame:
@@ -262,17 +265,27 @@ def _signed(x: int) -> int:
 def _apply(batches):
     for batch, texts in text_groups(batches):
         out = []
-        for text, found in zip(texts, batch.column("ranges").to_pylist()):
+        ranges = batch.column("ranges")
+        offsets = ranges.offsets.to_numpy()
+        held = ranges.values
+        lows, highs = (held.field(k).to_numpy().astype(np.int64) for k in (0, 1))
+        for k, text in enumerate(texts):
             data = (text or "").encode("utf-8", "surrogatepass")
-            kept, removed, runs, done = hashlib.sha256(), 0, 0, 0
-            for low, high in sorted((r["low"], r["high"]) for r in found or ()):
-                if low > done or not runs:
-                    kept.update(data[done:low])
-                    runs, done = runs + 1, low
-                if high > done:
-                    removed, done = removed + high - done, high
+            low, high = lows[offsets[k] : offsets[k + 1]], highs[offsets[k] : offsets[k + 1]]
+            if not len(low):
+                out.append((len(data), 0, 0, hashlib.sha256(data).hexdigest()))
+                continue
+            order = np.argsort(low)
+            low, high = low[order], np.maximum.accumulate(high[order])
+            # A run of removed bytes starts where a range starts beyond all that came before it.
+            first = np.flatnonzero(np.r_[True, low[1:] > high[:-1]])
+            begin, end = low[first].tolist(), high[np.r_[first[1:], len(low)] - 1].tolist()
+            kept, done = hashlib.sha256(), 0
+            for a, b in zip(begin, end):
+                kept.update(data[done:a])
+                done = b
             kept.update(data[done:])
-            out.append((len(data), removed, runs, kept.hexdigest()))
+            out.append((len(data), sum(end) - sum(begin), len(begin), kept.hexdigest()))
         columns = [pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string()))]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
@@ -292,7 +305,7 @@ def dedup_substrings(documents: DataFrame, length: int = LENGTH, group_segments:
     tie = F.lit(0).cast("long") if rows == distinct else F.xxhash64(F.coalesce("text", F.lit("")))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc"), tie.alias("tie"), "text")
     ranges = stage(marks(docs if rows == distinct else docs.dropDuplicates(["doc", "tie"]), length, group_segments).groupBy("doc", "tie").agg(F.collect_list(F.struct("low", "high")).alias("ranges")))
-    _free(ranges)
+    free_shuffles(ranges.sparkSession)
     ranges = ranges.select(F.col("doc").alias("m_doc"), F.col("tie").alias("m_tie"), "ranges")
     joined = docs.join(ranges, F.col("doc").eqNullSafe(F.col("m_doc")) & (F.col("tie") == F.col("m_tie")), "left")
     return joined.select(F.col("doc").alias("doc_id"), "text", "ranges").mapInArrow(_apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
