@@ -23,7 +23,7 @@ import functools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import free_shuffles, shared_dir, stage, text_groups
@@ -32,15 +32,16 @@ SHINGLE = 4
 #: Link: 100 * intersection >= PERCENT * union. Boundary: distance up to twice the threshold's.
 PERCENT, BOUNDARY = 85, 70
 BAND_RATIO, LEAST_BAND = 1.5, 6
-#: Sets of a region that are all compared, and pivots of a larger one.
-SMALL, PIVOTS = 48, 8
+#: Sets of a region that are all compared, and pivots of a larger one; both grow by GROWTH each round, while what is
+#: left shrinks, so that few rounds are needed.
+SMALL, PIVOTS, GROWTH = 48, 8, 4
 #: Documents that are looked at to find very common shingles, how often one must be in them, and how many are kept.
 #: They only choose which regions are made; whatever they are, no link is lost.
 SAMPLE_DOCS, SAMPLE_HITS, MOST_COMMON = 16_000, 8, 200_000
 SKETCH_BITS = 1024
 #: Members of one pivot that one task compares.
 PIVOT_SHARE = 500
-MOST_ROUNDS = 200
+MOST_ROUNDS = 20
 #: Of a graph whose components one task finds.
 SMALL_EDGES = 500_000
 
@@ -220,6 +221,20 @@ def components(edges: DataFrame) -> DataFrame:
         edges = after
 
 
+def _near(a: str, b: str, percent: int) -> Column:
+    """Whether sizes (n, pn) and sketches (arrays of longs) let two sets be that similar: exact the one way."""
+    differ = functools.reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{a}_{k}").bitwiseXOR(F.col(f"{b}_{k}"))) for k in range(SKETCH_BITS // 64)))
+    sizes = F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent
+    return sizes & (differ * (100 + percent) <= (F.col("n") + F.col("pn")) * (100 - percent))
+
+
+def _sketched(df: DataFrame, kinds: DataFrame, column: str, name: str) -> DataFrame:
+    """df with the sketch of the set in a column as longs name_0, name_1, ..."""
+    words = [F.conv(F.hex(F.substring("sketch", 8 * k + 1, 8)), 16, -10).cast("long").alias(f"{name}_{k}") for k in range(SKETCH_BITS // 64)]
+    known = kinds.select(F.col("sid").alias(f"{name}_sid"), *words)
+    return df.join(known, F.col(column) == F.col(f"{name}_sid")).drop(f"{name}_sid")
+
+
 def _distances(pairs: DataFrame, profiles: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs (pivot, pn, sid, n), with common; pairs whose sketches show them to be beyond the boundary are left out."""
     sizes = F.least("n", "pn") * 100 >= F.greatest("n", "pn") * BOUNDARY
@@ -259,6 +274,9 @@ def link_sets(profiles: DataFrame, documents: DataFrame, repeated_ids: bool = Tr
     spark = documents.sparkSession
     placed = profiles.select(F.explode("regions").alias("region"), "sid", "n")
     crowded = placed.groupBy("region").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).filter("low < high").select(F.col("region").alias("c_region"))
+    # Staged, so that the join deals both sides anew and Spark can split a region that is in every second set.
+    crowded = stage(crowded)
+    free_shuffles(spark)
     found = stage(placed.join(crowded, F.col("region") == F.col("c_region"), "left_semi").distinct())
     free_shuffles(spark)
     score = stage(found.groupBy(F.col("sid").alias("s_sid")).agg(F.count("*").alias("score")))
@@ -273,19 +291,23 @@ def link_sets(profiles: DataFrame, documents: DataFrame, repeated_ids: bool = Tr
     free_shuffles(spark)
     links, classes, crossing = None, None, None
     for number in range(MOST_ROUNDS):
+        all_of, some = SMALL * GROWTH**number, PIVOTS * GROWTH**number
         heads = todo.groupBy("region").agg(F.max(F.struct("score", "sid")).alias("head"), F.count("*").alias("members")).filter("members > 1")
         heads = heads.select(F.col("region").alias("h_region"), F.col("head.sid").alias("head"), "members")
         cells = stage(todo.join(heads, F.col("region") == F.col("h_region")).drop("h_region"))
-        # Pairs of a small region; of a large one those with its pivots, which are the head and about PIVOTS others.
-        small = cells.filter(f"members <= {SMALL}").select("region", "sid", "n")
-        other = small.select(F.col("region").alias("o_region"), F.col("sid").alias("pivot"), F.col("n").alias("pn"))
-        pairs = small.join(other, (F.col("region") == F.col("o_region")) & (F.col("sid") < F.col("pivot"))).select("pivot", "pn", "sid", "n")
-        large = cells.filter(f"members > {SMALL}")
-        chosen = (F.col("sid") == F.col("head")) | (F.pmod(F.xxhash64("sid", F.lit(number)), F.ceil(F.col("members") / PIVOTS)) == 0)
+        # Pairs of a small region; of a large one those with its pivots, which are the head and some others.
+        # What sketches rule out is no row of the joins.
+        small = _sketched(cells.filter(f"members <= {all_of}").select("region", "sid", "n"), kinds, "sid", "a")
+        other = _sketched(cells.filter(f"members <= {all_of}").select(F.col("region").alias("o_region"), F.col("sid").alias("pivot"), F.col("n").alias("pn")), kinds, "pivot", "b")
+        pairs = small.join(other, (F.col("region") == F.col("o_region")) & (F.col("sid") < F.col("pivot")) & _near("a", "b", PERCENT)).select("pivot", "pn", "sid", "n")
+        large = cells.filter(f"members > {all_of}")
+        chosen = (F.col("sid") == F.col("head")) | (F.pmod(F.xxhash64("sid", F.lit(number)), F.ceil(F.col("members") / some)) == 0)
         pivots = large.filter(chosen).select(F.col("region").alias("p_region"), F.col("sid").alias("pivot"), F.col("n").alias("pn"))
         is_large = not large.isEmpty()
         if is_large:
-            stars = large.select("region", "sid", "n", "score").join(pivots, (F.col("region") == F.col("p_region")) & (F.col("sid") != F.col("pivot"))).drop("p_region")
+            tops = _sketched(pivots, kinds, "pivot", "b")
+            stars = _sketched(large.select("region", "sid", "n"), kinds, "sid", "a").join(tops, (F.col("region") == F.col("p_region")) & (F.col("sid") != F.col("pivot")) & _near("a", "b", BOUNDARY))
+            stars = stage(stars.select("region", "sid", "n", "pivot", "pn"))
             # A pair is measured once, whichever of its ends is the pivot.
             low, high = F.col("sid") < F.col("pivot"), F.col("sid") > F.col("pivot")
             turned = stars.select(F.when(low, F.col("pivot")).otherwise(F.col("sid")).alias("pivot"), F.when(low, F.col("pn")).otherwise(F.col("n")).alias("pn"), F.when(high, F.col("pivot")).otherwise(F.col("sid")).alias("sid"), F.when(high, F.col("pn")).otherwise(F.col("n")).alias("n"))
@@ -308,12 +330,13 @@ def link_sets(profiles: DataFrame, documents: DataFrame, repeated_ids: bool = Tr
         a, b = (classes.select(F.col("node").alias(f"{k}_node"), F.col("component").alias(f"{k}_class")) for k in "ab")
         known = known.join(a, F.col("sid") == F.col("a_node"), "left").join(b, F.col("pivot") == F.col("b_node"), "left")
         inner = F.coalesce(F.expr(f"100 * common >= {PERCENT} * joint"), F.lit(False))
-        known = known.select("region", "sid", "n", "score", "pivot", "pn", F.coalesce("a_class", "sid").alias("class"), F.coalesce("b_class", "pivot").alias("p_class"), (F.col("common") / F.col("joint")).alias("near"), inner.alias("inner"))
+        known = known.select("region", "sid", "n", "pivot", "pn", F.coalesce("a_class", "sid").alias("class"), F.coalesce("b_class", "pivot").alias("p_class"), (F.col("common") / F.col("joint")).alias("near"), inner.alias("inner"))
         # A set's cell is that of the least pivot it is linked to, or its own if it is a pivot and that is less.
         marked = pivots.select(F.col("p_region").alias("m_region"), F.col("pivot").alias("m_sid"))
-        home = known.groupBy("region", "sid", "n", "score", "class").agg(F.min(F.when(F.col("inner"), F.col("pivot"))).alias("home"))
-        home = home.join(marked, (F.col("region") == F.col("m_region")) & (F.col("sid") == F.col("m_sid")), "left")
-        home = stage(home.select("region", "sid", "n", "score", "class", F.least("home", "m_sid").alias("home")))
+        linked = known.filter("inner").groupBy(F.col("region").alias("k_region"), F.col("sid").alias("k_sid")).agg(F.min("pivot").alias("linked"))
+        home = large.select("region", "sid", "n", "score").join(linked, (F.col("region") == F.col("k_region")) & (F.col("sid") == F.col("k_sid")), "left")
+        home = home.join(marked, (F.col("region") == F.col("m_region")) & (F.col("sid") == F.col("m_sid")), "left").join(a, F.col("sid") == F.col("a_node"), "left")
+        home = stage(home.select("region", "sid", "n", "score", F.coalesce("a_class", "sid").alias("class"), F.least("linked", "m_sid").alias("home")))
         # Sets in no cell go on; a region whose sets are all of one component has nothing left to find.
         outside = home.filter("home is null")
         open_ = outside.groupBy("region").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select(F.col("region").alias("o_region"))
@@ -322,10 +345,12 @@ def link_sets(profiles: DataFrame, documents: DataFrame, repeated_ids: bool = Tr
         homes = home.select(F.col("region").alias("c_region"), F.col("sid").alias("c_sid"), "home")
         placed_at = known.join(homes, (F.col("region") == F.col("c_region")) & (F.col("sid") == F.col("c_sid")))
         boundary = placed_at.filter("class <> p_class and near is not null and (home is null or home > pivot)").filter(F.col("near") * 100 >= BOUNDARY - 1e-7)
-        boundary = boundary.select(F.col("region").alias("b_region"), F.col("pivot").alias("b_pivot"), F.col("sid").alias("pivot"), F.col("n").alias("pn"), F.col("near").alias("b_near"))
-        cell = placed_at.filter("home = pivot").select("region", F.col("pivot").alias("cell"), "sid", "n", "near")
+        # A pivot stands for its cell in all its regions, so that what regions share is joined once.
+        boundary = _sketched(boundary.select(F.col("pivot").alias("b_pivot"), F.col("sid").alias("pivot"), F.col("n").alias("pn"), F.col("near").alias("b_near")).distinct(), kinds, "pivot", "b")
+        cell = _sketched(placed_at.filter("home = pivot").select(F.col("pivot").alias("cell"), "sid", "n", "near").distinct(), kinds, "sid", "a")
         # Similarities to the pivot that differ by more than the threshold rule a link out; a little over, for rounding.
-        crossing = cell.join(boundary, (F.col("region") == F.col("b_region")) & (F.col("cell") == F.col("b_pivot")) & (F.col("near") - F.col("b_near") <= (100 - PERCENT) / 100 + 1e-9))
+        window = F.col("near") - F.col("b_near") <= (100 - PERCENT) / 100 + 1e-9
+        crossing = cell.join(boundary, (F.col("cell") == F.col("b_pivot")) & (F.col("sid") != F.col("pivot")) & window & _near("a", "b", PERCENT))
         crossing = stage(_apart(crossing.select("pivot", "pn", "sid", "n").distinct(), classes))
         if crossing.isEmpty():
             crossing = None
