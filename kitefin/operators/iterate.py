@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 SMALL_EDGES = 500_000
 HOPS = 3
 MOST_ROUNDS = 10_000
+#: Tasks that follow a small graph's sources.
+PARTS = 16
 
 
 def _keyed(df: DataFrame, key: str | None, *columns: str) -> DataFrame:
@@ -202,8 +204,30 @@ def components(edges: DataFrame, nodes: DataFrame, key: str | None = None, small
 
 
 def closure(edges: DataFrame, small_edges: int = SMALL_EDGES) -> DataFrame:
-    """src, dst of all paths of one edge or more, by doubling: rounds grow with the logarithm of the longest path."""
-    paths = _checkpoint(edges.select("src", "dst").distinct())
+    """src, dst of all paths of one edge or more.
+
+    Few edges between names go to PARTS tasks whole, each following a part of the sources. Others are doubled: rounds
+    grow with the logarithm of the longest path.
+    """
+    e = edges.select("src", "dst").distinct()
+    if {t for _, t in e.dtypes} == {"string"} and is_small(e.withColumn("key", F.lit(0)), small_edges):
+
+        def follow(after, o):
+            rows = []
+            for source in o["name"]:
+                at, found = [source], set()
+                while at:
+                    a = at.pop()
+                    new = [b for b in after.get(a, ()) if b not in found]
+                    found.update(new)
+                    at += [b for b in new if b is not None]
+                rows += [(source, b) for b in found]
+            return rows
+
+        sources = e.select(F.col("src").alias("name")).distinct().withColumn("key", F.pmod(F.xxhash64("name"), F.lit(PARTS)).cast("int"))
+        copies = e.withColumn("key", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        return _local(copies, sources, follow, "key int, src string, dst string").drop("key")
+    paths = _checkpoint(e)
     for _ in range(MOST_ROUNDS):
         longer = paths.join(paths.select(F.col("src").alias("dst"), F.col("dst").alias("end")), "dst").select("src", F.col("end").alias("dst"))
         after = _checkpoint(paths.unionByName(longer).distinct())

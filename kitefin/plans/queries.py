@@ -477,6 +477,12 @@ def transitive_closure(spark, sf):
     return iterate.closure(D.edges(spark, sf).filter((F.col("src") < F.col("dst")) & even))
 
 
+@query(with_("n", "e", "c(src, dst) AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM c JOIN e ON c.dst = e.src)", recursive=True) + "SELECT src, dst FROM c")
+def transitive_closure_whole(spark, sf):
+    """All paths of graph A, through cycles too; transitive_closure is held to a part of the edges by its SQL."""
+    return iterate.closure(D.edges(spark, sf))
+
+
 # Reports
 
 
