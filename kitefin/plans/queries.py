@@ -669,6 +669,12 @@ def replace_line(spark, sf):
     return rewrite.replace_line(D.lines(spark, sf).filter("file in ('d3', 'd4')"), "d3", 10_000, "x").withColumn("line_no", F.col("line_no").cast("long"))
 
 
+@query(with_("d", "g AS (SELECT unnest(range(1, 10001)) AS line_no)") + "SELECT file, line_no, CASE WHEN file = 'd3' AND line_no = 10000 THEN 'x' ELSE text END AS text FROM d UNION ALL SELECT 'd3', line_no, CASE WHEN line_no = 10000 THEN 'x' ELSE '' END FROM g WHERE line_no > (SELECT max(line_no) FROM d WHERE file = 'd3')")
+def replace_line_whole(spark, sf):
+    """The lines of all documents with one line set; replace_line is held to two documents by its SQL."""
+    return rewrite.replace_line(D.lines(spark, sf), "d3", 10_000, "x").withColumn("line_no", F.col("line_no").cast("long"))
+
+
 @query(with_("n") + "SELECT name, 'mod_' || name AS new_name, 'INTERFACE(' || name || ')' AS macro, CASE WHEN size % 2 = 0 THEN 'void ' || name || '(int a) { return; }' ELSE 'int ' || name || '(int a) { return -1; }' END AS stub FROM n")
 def interface_stubs(spark, sf):
     kind = F.when(F.col("size") % 2 == 0, "void").otherwise("int")
