@@ -8,6 +8,7 @@ make a candidate region, which is aligned with the template inside a band around
 from __future__ import annotations
 
 import re
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,10 @@ LEAST_COVERAGE = 0.8
 #: Templates go to all tasks; more text than this is refused.
 MAX_TEMPLATE_CHARS = 5_000_000
 
-#: Notices of well-known public licenses.
+#: In longer templates, fingerprints that occur more than once are not looked up.
+LONG_WORDS = 150
+
+#: Notices and, from the folder `licenses`, whole texts of well-known public licenses.
 TEMPLATES = {
     "all-rights-reserved": "All rights reserved.",
     "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
@@ -33,7 +37,13 @@ TEMPLATES = {
     "gpl-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     "mit-line": "Released under the MIT License.",
     "mit-notice": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
+    "agpl-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    "gpl-2.0-notice": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "lgpl-2.1-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "lgpl-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "mpl-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
 }
+TEMPLATES |= {p.stem: p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))}
 OUTPUT = "doc_id long, matches array<struct<license:string,coverage:double,spans:array<struct<start:int,end:int>>>>"
 _MATCHES = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]))
 _WORD = re.compile(r"[^\W_]+")
@@ -56,8 +66,14 @@ class Index:
         places: dict[int, list[tuple[int, int]]] = {}
         for t, ids in enumerate(self.templates):
             prints = self.grams(ids)
+            single = np.ones(len(prints), bool)
+            if len(ids) > LONG_WORDS:
+                _, number, times = np.unique(prints, return_inverse=True, return_counts=True)
+                single = times[number] == 1
             for k in winnow(self.mixed(prints)):
-                places.setdefault(int(prints[k]), []).append((t, int(k)))
+                if single[k]:
+                    places.setdefault(int(prints[k]), []).append((t, int(k)))
+        self.counts = [np.bincount(x, minlength=len(vocabulary) + 1) for x in self.templates]
         self.keys = np.array(sorted(places), np.uint64)
         self.places = [places[int(k)] for k in self.keys]
 
@@ -92,21 +108,30 @@ class Index:
         for position, key in zip(at[hit].tolist(), where[hit].tolist()):
             for t, offset in self.places[key]:
                 seeds.setdefault(t, []).append((position, offset))
+        # Each word of a text stands for one word of a template at most, so these can't reach the coverage.
+        have = np.bincount(ids, minlength=len(self.number) + 1) if seeds else None
+        seeds = {t: found for t, found in seeds.items() if np.minimum(have, self.counts[t]).sum() >= LEAST_COVERAGE * len(self.templates[t])}
         if not seeds:
             return []
         # Lower-casing can change lengths, but not the number of words, unless a word of the original falls apart.
         spans = [m.span() for m in _WORD.finditer(text)]
         if len(spans) != len(words):
             spans = [m.span() for m in _WORD.finditer(low)]
-        regions = []
-        for t, found in seeds.items():
+        regions: list[tuple] = []
+        rank = lambda r: (-r[0], -r[1], r[2:5])
+        # Longest templates first: what is inside the best region, which stays, and can't score as much is not aligned.
+        for t, found in sorted(seeds.items(), key=lambda x: -len(self.templates[x[0]])):
+            size, best = len(self.templates[t]), min(regions, key=rank, default=None)
             for group in clusters(found):
+                low, high = min(p - o for p, o in group) - BAND, max(p - o for p, o in group) + BAND + size - 1
+                if best and size < best[0] and best[3] <= max(low, 0) and min(high, len(ids) - 1) <= best[4]:
+                    continue
                 if pairs := align(self.templates[t], ids, group):
                     first, last, n = pairs[0][1], pairs[-1][1], len(pairs)
                     # Words of the text inside a region that the template lacks count half against it.
-                    regions.append((n - 0.5 * (last - first + 1 - n), n / len(self.templates[t]), t, first, last, [i for i, _ in pairs]))
+                    regions.append((n - 0.5 * (last - first + 1 - n), n / size, t, first, last, [i for i, _ in pairs]))
         kept: list[tuple] = []
-        for region in sorted(regions, key=lambda r: (-r[0], -r[1], r[2:5])):  # the best template of each place
+        for region in sorted(regions, key=rank):  # the best template of each place
             if all(region[4] < k[3] or k[4] < region[3] for k in kept):
                 kept.append(region)
         out = []

@@ -180,3 +180,13 @@ def test_pii_model():
     for b in range(1, len(tokens) + 1):
         best[b] = max([best[b - 1], *(best[a] + s for (a, e), s in score.items() if e == b)])
     assert sum(x[3] for x in crf.decode(tokens)) == pytest.approx(best[len(tokens)])
+
+
+def test_whole_license_texts():
+    index = license_scan.Index(license_scan.TEMPLATES)
+    for name in ("apache-2.0", "bsd-2-clause", "bsd-3-clause", "cc0-1.0", "gpl-2.0", "gpl-3.0", "isc", "lgpl-2.1", "lgpl-3.0", "mit", "mpl-2.0", "unlicense"):
+        text = license_scan.TEMPLATES[name]
+        (m,) = index.matches("Some words before.\n\n" + text.replace("  ", "\n * ") + "\nand behind.")
+        assert m["license"] == name and m["coverage"] > 0.99, name
+    for name in ("agpl-3.0-notice", "gpl-2.0-notice", "lgpl-2.1-notice", "lgpl-3.0-notice", "mpl-2.0-notice"):
+        assert [m["license"] for m in index.matches("# " + license_scan.TEMPLATES[name].replace(". ", ".\n# "))] == [name]
