@@ -1,12 +1,14 @@
 """Quality rules with risk-controlled thresholds.
 
-Each rule scores a document on a fixed grid of levels, more being worse. Cutoffs are chosen on labelled documents,
-for each stratum (language) and rule: going down from the highest level, a cutoff stays admissible as long as an
-exact binomial test rejects "more than ALPHA / rules of the good documents are above it" at DELTA / (strata * rules);
-the test stops at the first level that fails (a fixed sequence needs no further correction, and the division is
-Bonferroni's over strata and rules). So with probability 1 - DELTA, no stratum loses more than ALPHA of its good
-documents. Among admissible cutoffs the one with the best balance of bad and good documents above it is taken; a rule
-without one, as in strata with few labels, rejects nothing.
+Each rule scores a document on a fixed grid of levels, more being worse. For each stratum (language), the levels of all
+rules are put on one scale by how much of the documents at or above a level is labelled bad, counted on bad and
+unlabelled documents only; a document's score is the greatest of its rules'. One cutoff of the score is chosen on the
+good documents: going down from the highest score, a cutoff stays admissible as long as an exact binomial test rejects
+"more than ALPHA of the good documents are above it" at DELTA / strata; the test stops at the first score that fails (a
+fixed sequence needs no further correction, as no good document took part in making it, and the division is
+Bonferroni's over strata). So with probability 1 - DELTA, no stratum loses more than ALPHA of its good documents. Among
+admissible cutoffs the one with the best balance of bad and good documents above it is taken, and given back as one
+level for each rule; a stratum without one (four strata: fewer than some 440 good labels) rejects nothing.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ ALPHA, DELTA = 0.01, 0.05
 #: A good document above a cutoff weighs as much as so many bad ones.
 GOOD_WEIGHT = 20
 LEAST_WORDS, MOST_REPEATS = 50, 50
+#: Added to the documents above a level, so that few make no high share.
+FEW = 10
 
 _SYMBOLS, _SPACES = b"#*$%&|<>", b" \t\n\x0b\x0c\r"
 _CAPITALS = bytes(range(0x41, 0x5B))
@@ -96,27 +100,49 @@ def choose_cutoff(good: np.ndarray, bad: np.ndarray, alpha: float, delta: float)
     return low + int(np.flatnonzero(worth == worth.max())[-1])
 
 
+def scale(bad: np.ndarray, unknown: np.ndarray) -> np.ndarray:
+    """A rule's levels as scores from 0 to LEVELS: the share of bad ones among bad and unlabelled ones at or above.
+
+    Scores never fall with the level. Where nothing is unlabelled, levels are scores.
+    """
+    if not unknown.sum():
+        return np.arange(LEVELS + 1)
+    above_bad, above = (np.cumsum(x[::-1])[::-1] for x in (bad, bad + unknown))
+    return np.maximum.accumulate(LEVELS * above_bad // (above + FEW))
+
+
+def _tables(rows: pd.DataFrame) -> pd.DataFrame:
+    known, scores = rows["good"].notna(), []
+    for rule in range(len(RULES)):
+        count = lambda at: np.bincount(rows["level"][at], rows["n"][at], LEVELS + 1).astype(np.int64)
+        scores.append(scale(count((rows["rule"] == rule) & known), count((rows["rule"] == rule) & ~known)).tolist())
+    return pd.DataFrame({"stratum": [rows["stratum"].iloc[0]], "scores": [scores]})
+
+
 def cutoffs(levels: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """stratum, cutoffs (one for each rule) from all labelled documents that the base keeps.
 
-    Counts by stratum, rule and level are summed by Spark; what a stratum's choice sees is rules * levels * 2 rows.
+    Counts by stratum, rule and level, and by stratum and score, are summed by Spark; a stratum's choice sees no more.
     A document labelled more than once counts as good if any label says so; labels that are null are ignored.
     """
     known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("l_doc")).agg(F.max("quality").alias("quality"))
-    held = levels.filter("not base_failed").join(known, F.col("doc_id") == F.col("l_doc")).select("stratum", (F.col("quality") > 0).alias("good"), F.posexplode("levels").alias("rule", "level"))
-    counts = held.groupBy("stratum", "good", "rule", "level").agg(F.count("*").alias("n"))
-    counts = stage(counts)
-    strata = counts.select("stratum").distinct().count()
+    held = levels.filter("not base_failed").join(known, F.col("doc_id") == F.col("l_doc"), "left").select("stratum", (F.col("quality") > 0).alias("good"), "levels")
+    held = stage(held)
+    others = held.filter("good is null or not good").select("stratum", "good", F.posexplode("levels").alias("rule", "level"))
+    tables = others.groupBy("stratum", "good", "rule", "level").agg(F.count("*").alias("n")).groupBy("stratum").applyInPandas(_tables, "stratum string, scores array<array<int>>")
+    tables = stage(tables)
+    scored = held.filter("good is not null").join(tables, "stratum").select("stratum", "good", F.expr("array_max(transform(levels, (l, r) -> scores[r][l]))").alias("score"))
+    counts = stage(scored.groupBy("stratum", "good", "score").agg(F.count("*").alias("n")))
+    # Strata without bad documents choose no cutoff, but are among those that could.
+    strata = held.filter("good is not null").select("stratum").distinct().count()
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        chosen = []
-        for rule in range(len(RULES)):
-            at = rows[rows["rule"] == rule]
-            count = lambda good: np.bincount(at["level"][at["good"] == good], at["n"][at["good"] == good], LEVELS + 1).astype(np.int64)  # noqa: E731, B023
-            chosen.append(choose_cutoff(count(True), count(False), alpha / len(RULES), delta / (max(strata, 1) * len(RULES))))
-        return pd.DataFrame({"stratum": [rows["stratum"].iloc[0]], "cutoffs": [chosen]})
-
-    return counts.groupBy("stratum").applyInPandas(choose, "stratum string, cutoffs array<int>")
+        count = lambda good: np.bincount(rows["score"][rows["good"] == good], rows["n"][rows["good"] == good], LEVELS + 1).astype(np.int64)
+        return pd.DataFrame({"stratum": [rows["stratum"].iloc[0]], "cutoff": [choose_cutoff(count(True), count(False), alpha, delta / max(strata, 1))]})
+
+    chosen = counts.groupBy("stratum").applyInPandas(choose, "stratum string, cutoff int")
+    last = F.expr("transform(scores, s -> size(filter(s, x -> x <= cutoff)) - 1)").cast("array<int>")
+    return chosen.join(tables, "stratum").select("stratum", last.alias("cutoffs"))
 
 
 def assess(documents: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
