@@ -25,9 +25,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return _without(docs, quality.assess(docs, table(spark, sf_dir, "labels")).filter("not kept"))
 
 
+#: Near duplicates: shingles of so many words, and the least Jaccard similarity in percent.
+NEAR_SHINGLE, NEAR_PERCENT = 5, 80
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of linked documents the one with the least doc_id stays; of equal rows one stays."""
-    found = stage(jaccard_join.join_documents(docs))
+    found = stage(jaccard_join.join_documents(docs, NEAR_SHINGLE, NEAR_PERCENT))
     kept = _without(docs, found.filter("not doc_id <=> component_id"))
     rows, ids = found.agg(F.count("*"), F.count_distinct("doc_id")).first()
     return kept if rows == ids else kept.dropDuplicates(["doc_id", "text"])

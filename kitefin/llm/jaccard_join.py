@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from ._common import free_shuffles, shared_dir, stage, text_groups
 
 SHINGLE = 4
-#: Link: 100 * intersection >= PERCENT * union. Boundary: distance up to twice the threshold's.
-PERCENT, BOUNDARY = 85, 70
+#: Link: 100 * intersection >= PERCENT * union.
+PERCENT = 85
 BAND_RATIO, LEAST_BAND = 1.5, 6
 #: Sets of a region that are all compared, and pivots of a larger one; both grow by GROWTH each round, while what is
 #: left shrinks, so that few rounds are needed.
@@ -89,6 +89,11 @@ def set_id(shingles: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes()))))
 
 
+def boundary_of(percent: int) -> int:
+    """The similarity at a distance of twice the threshold's."""
+    return max(0, 2 * percent - 100)
+
+
 def most_different(a: int, low: int, high: int, percent: int = PERCENT) -> int:
     """The greatest symmetric difference of a set of a shingles and a linked one of low to high; -1 if none can link."""
     b = np.arange(max(low, -(-percent * a // 100)), min(high, 100 * a // percent) + 1)
@@ -138,14 +143,14 @@ def sketch(shingles: np.ndarray) -> bytes:
     return np.packbits(np.bincount((shingles & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1).tobytes()
 
 
-def _profiles(shared):
+def _profiles(shared, shingle: int, percent: int):
     """What is known of each text: set size, set id, sketch and regions."""
 
     def run(batches):
-        shingler, common = Shingler(), np.frombuffer(shared.value, np.uint64)
+        shingler, common = Shingler(shingle), np.frombuffer(shared.value, np.uint64)
         for batch, texts in text_groups(batches):
             sets = [shingler(t) for t in texts]
-            keys = [regions(s, common) for s in sets]
+            keys = [regions(s, common, percent) for s in sets]
             held = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate(keys), pa.int64()))
             columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary()), held]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n", "sid", "sketch", "regions"])
@@ -153,17 +158,23 @@ def _profiles(shared):
     return run
 
 
-def _shingles(batches):
-    shingler = Shingler()
-    for _, texts in text_groups(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingler(t) for t in texts]).view(np.int64))], names=["shingle"])
+def _shingles(shingle: int):
+    def run(batches):
+        shingler = Shingler(shingle)
+        for _, texts in text_groups(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingler(t) for t in texts]).view(np.int64))], names=["shingle"])
+
+    return run
 
 
-def _sets(batches):
-    shingler = Shingler()
-    for batch, texts in text_groups(batches):
-        found = [(i, s.tobytes()) for i, s in zip(batch.column("sid").to_pylist(), map(shingler, texts)) if set_id(s) == i]
-        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], names=["sid", "shingles"])
+def _sets(shingle: int):
+    def run(batches):
+        shingler = Shingler(shingle)
+        for batch, texts in text_groups(batches):
+            found = [(i, s.tobytes()) for i, s in zip(batch.column("sid").to_pylist(), map(shingler, texts)) if set_id(s) == i]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], names=["sid", "shingles"])
+
+    return run
 
 
 def _compare(batches):
@@ -235,9 +246,9 @@ def _sketched(df: DataFrame, kinds: DataFrame, column: str, name: str) -> DataFr
     return df.join(known, F.col(column) == F.col(f"{name}_sid")).drop(f"{name}_sid")
 
 
-def _distances(pairs: DataFrame, profiles: DataFrame, sets: DataFrame) -> DataFrame:
+def _distances(pairs: DataFrame, profiles: DataFrame, sets: DataFrame, limit: int) -> DataFrame:
     """pairs (pivot, pn, sid, n), with common; pairs whose sketches show them to be beyond the boundary are left out."""
-    sizes = F.least("n", "pn") * 100 >= F.greatest("n", "pn") * BOUNDARY
+    sizes = F.least("n", "pn") * 100 >= F.greatest("n", "pn") * limit
     one, two = (profiles.select(F.col("sid").alias(f"{k}_sid"), F.col("sketch").alias(f"{k}_sketch")) for k in ("o", "t"))
     held = pairs.filter(sizes).join(one, F.col("sid") == F.col("o_sid")).join(two, F.col("pivot") == F.col("t_sid"))
 
@@ -247,7 +258,7 @@ def _distances(pairs: DataFrame, profiles: DataFrame, sets: DataFrame) -> DataFr
                 continue
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH_BITS // 8) for c in ("o_sketch", "t_sketch"))
             n = batch.column("n").to_numpy() + batch.column("pn").to_numpy()
-            keep = np.bitwise_count(a ^ b).sum(axis=1) * (100 + BOUNDARY) <= (100 - BOUNDARY) * n
+            keep = np.bitwise_count(a ^ b).sum(axis=1) * (100 + limit) <= (100 - limit) * n
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("pivot", "pn", "sid", "n")], names=["pivot", "pn", "sid", "n"]).filter(pa.array(keep))
 
     close = stage(held.mapInArrow(near, "pivot long, pn long, sid long, n long"))
@@ -261,17 +272,17 @@ def _distances(pairs: DataFrame, profiles: DataFrame, sets: DataFrame) -> DataFr
     return counted.join(close.select(F.col("pivot").alias("c_pivot"), "pn", F.col("sid").alias("c_sid"), "n"), (F.col("pivot") == F.col("c_pivot")) & (F.col("sid") == F.col("c_sid"))).select("pivot", "pn", "sid", "n", "common")
 
 
-def common_shingles(documents: DataFrame) -> np.ndarray:
+def common_shingles(documents: DataFrame, shingle: int = SHINGLE) -> np.ndarray:
     """Shingles that many documents share, from a bounded sample; they only choose which regions are made."""
     share = max(1, documents.count() // SAMPLE_DOCS)
     sampled = documents.filter(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0)
-    often = sampled.select("text").mapInArrow(_shingles, "shingle long").groupBy("shingle").count().filter(F.col("count") >= SAMPLE_HITS)
+    often = sampled.select("text").mapInArrow(_shingles(shingle), "shingle long").groupBy("shingle").count().filter(F.col("count") >= SAMPLE_HITS)
     return np.sort(np.array([r.shingle for r in often.orderBy(F.desc("count"), "shingle").limit(MOST_COMMON).collect()], np.int64).view(np.uint64))
 
 
-def link_sets(profiles: DataFrame, documents: DataFrame, repeated_ids: bool = True) -> DataFrame:
+def link_sets(profiles: DataFrame, documents: DataFrame, repeated_ids: bool = True, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """node, component over the ids of different sets that have links. documents: doc_id, text; profiles of them."""
-    spark = documents.sparkSession
+    spark, limit = documents.sparkSession, boundary_of(percent)
     placed = profiles.select(F.explode("regions").alias("region"), "sid", "n")
     crowded = placed.groupBy("region").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).filter("low < high").select(F.col("region").alias("c_region"))
     # Staged, so that the join deals both sides anew and Spark can split a region that is in every second set.
@@ -284,7 +295,7 @@ def link_sets(profiles: DataFrame, documents: DataFrame, repeated_ids: bool = Tr
     # The sets of all that share a region, from one document each.
     first = profiles.groupBy("sid").agg(F.min("doc_id").alias("f_doc")).join(score, F.col("sid") == F.col("s_sid"), "left_semi").withColumnRenamed("sid", "f_sid")
     sets = documents.join(first, F.col("doc_id").eqNullSafe(F.col("f_doc"))).select(F.col("f_sid").alias("sid"), "text")
-    sets = sets.mapInArrow(_sets, "sid long, shingles binary")
+    sets = sets.mapInArrow(_sets(shingle), "sid long, shingles binary")
     sets = stage(sets.dropDuplicates(["sid"]) if repeated_ids else sets)
     kinds = profiles.select("doc_id", "sid", "sketch").join(first, (F.col("sid") == F.col("f_sid")) & F.col("doc_id").eqNullSafe(F.col("f_doc")), "left_semi").select("sid", "sketch")
     kinds = stage(kinds.dropDuplicates(["sid"]) if repeated_ids else kinds)
@@ -299,14 +310,14 @@ def link_sets(profiles: DataFrame, documents: DataFrame, repeated_ids: bool = Tr
         # What sketches rule out is no row of the joins.
         small = _sketched(cells.filter(f"members <= {all_of}").select("region", "sid", "n"), kinds, "sid", "a")
         other = _sketched(cells.filter(f"members <= {all_of}").select(F.col("region").alias("o_region"), F.col("sid").alias("pivot"), F.col("n").alias("pn")), kinds, "pivot", "b")
-        pairs = small.join(other, (F.col("region") == F.col("o_region")) & (F.col("sid") < F.col("pivot")) & _near("a", "b", PERCENT)).select("pivot", "pn", "sid", "n")
+        pairs = small.join(other, (F.col("region") == F.col("o_region")) & (F.col("sid") < F.col("pivot")) & _near("a", "b", percent)).select("pivot", "pn", "sid", "n")
         large = cells.filter(f"members > {all_of}")
         chosen = (F.col("sid") == F.col("head")) | (F.pmod(F.xxhash64("sid", F.lit(number)), F.ceil(F.col("members") / some)) == 0)
         pivots = large.filter(chosen).select(F.col("region").alias("p_region"), F.col("sid").alias("pivot"), F.col("n").alias("pn"))
         is_large = not large.isEmpty()
         if is_large:
             tops = _sketched(pivots, kinds, "pivot", "b")
-            stars = _sketched(large.select("region", "sid", "n"), kinds, "sid", "a").join(tops, (F.col("region") == F.col("p_region")) & (F.col("sid") != F.col("pivot")) & _near("a", "b", BOUNDARY))
+            stars = _sketched(large.select("region", "sid", "n"), kinds, "sid", "a").join(tops, (F.col("region") == F.col("p_region")) & (F.col("sid") != F.col("pivot")) & _near("a", "b", limit))
             stars = stage(stars.select("region", "sid", "n", "pivot", "pn"))
             # A pair is measured once, whichever of its ends is the pivot.
             low, high = F.col("sid") < F.col("pivot"), F.col("sid") > F.col("pivot")
@@ -317,8 +328,8 @@ def link_sets(profiles: DataFrame, documents: DataFrame, repeated_ids: bool = Tr
         pairs = pairs.distinct()
         if classes is not None:
             pairs = _apart(pairs, classes)
-        measured = stage(_distances(pairs, kinds, sets)).withColumn("joint", F.col("n") + F.col("pn") - F.col("common"))
-        edges = measured.filter(f"100 * common >= {PERCENT} * joint").select(F.col("pivot").alias("a"), F.col("sid").alias("b"))
+        measured = stage(_distances(pairs, kinds, sets, limit)).withColumn("joint", F.col("n") + F.col("pn") - F.col("common"))
+        edges = measured.filter(f"100 * common >= {percent} * joint").select(F.col("pivot").alias("a"), F.col("sid").alias("b"))
         links = stage(edges if links is None else edges.unionByName(links))
         classes = stage(components(links))
         if not is_large:
@@ -329,7 +340,7 @@ def link_sets(profiles: DataFrame, documents: DataFrame, repeated_ids: bool = Tr
         known = stars.join(either, (F.col("pivot") == F.col("d_pivot")) & (F.col("sid") == F.col("d_sid")), "left").drop("d_pivot", "d_sid")
         a, b = (classes.select(F.col("node").alias(f"{k}_node"), F.col("component").alias(f"{k}_class")) for k in "ab")
         known = known.join(a, F.col("sid") == F.col("a_node"), "left").join(b, F.col("pivot") == F.col("b_node"), "left")
-        inner = F.coalesce(F.expr(f"100 * common >= {PERCENT} * joint"), F.lit(False))
+        inner = F.coalesce(F.expr(f"100 * common >= {percent} * joint"), F.lit(False))
         known = known.select("region", "sid", "n", "pivot", "pn", F.coalesce("a_class", "sid").alias("class"), F.coalesce("b_class", "pivot").alias("p_class"), (F.col("common") / F.col("joint")).alias("near"), inner.alias("inner"))
         # A set's cell is that of the least pivot it is linked to, or its own if it is a pivot and that is less.
         marked = pivots.select(F.col("p_region").alias("m_region"), F.col("pivot").alias("m_sid"))
@@ -344,13 +355,13 @@ def link_sets(profiles: DataFrame, documents: DataFrame, repeated_ids: bool = Tr
         # What is near a pivot, but in a later cell or none, is compared with the pivot's cell, unless a path joins them.
         homes = home.select(F.col("region").alias("c_region"), F.col("sid").alias("c_sid"), "home")
         placed_at = known.join(homes, (F.col("region") == F.col("c_region")) & (F.col("sid") == F.col("c_sid")))
-        boundary = placed_at.filter("class <> p_class and near is not null and (home is null or home > pivot)").filter(F.col("near") * 100 >= BOUNDARY - 1e-7)
+        boundary = placed_at.filter("class <> p_class and near is not null and (home is null or home > pivot)").filter(F.col("near") * 100 >= limit - 1e-7)
         # A pivot stands for its cell in all its regions, so that what regions share is joined once.
         boundary = _sketched(boundary.select(F.col("pivot").alias("b_pivot"), F.col("sid").alias("pivot"), F.col("n").alias("pn"), F.col("near").alias("b_near")).distinct(), kinds, "pivot", "b")
         cell = _sketched(placed_at.filter("home = pivot").select(F.col("pivot").alias("cell"), "sid", "n", "near").distinct(), kinds, "sid", "a")
         # Similarities to the pivot that differ by more than the threshold rule a link out; a little over, for rounding.
-        window = F.col("near") - F.col("b_near") <= (100 - PERCENT) / 100 + 1e-9
-        crossing = cell.join(boundary, (F.col("cell") == F.col("b_pivot")) & (F.col("sid") != F.col("pivot")) & window & _near("a", "b", PERCENT))
+        window = F.col("near") - F.col("b_near") <= (100 - percent) / 100 + 1e-9
+        crossing = cell.join(boundary, (F.col("cell") == F.col("b_pivot")) & (F.col("sid") != F.col("pivot")) & window & _near("a", "b", percent))
         crossing = stage(_apart(crossing.select("pivot", "pn", "sid", "n").distinct(), classes))
         if crossing.isEmpty():
             crossing = None
@@ -366,7 +377,7 @@ def _apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return held.filter("coalesce(a_class, pivot) <> coalesce(b_class, sid)").select("pivot", "pn", "sid", "n")
 
 
-def join_documents(documents: DataFrame) -> DataFrame:
+def join_documents(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row for each row of documents: doc_id, n_shingles, component_id (the least doc_id that links reach).
 
     Sets are of 64-bit hashes of shingles and are identified by 64-bit digests. Texts without words have empty sets
@@ -376,11 +387,11 @@ def join_documents(documents: DataFrame) -> DataFrame:
     """
     shared_dir(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs).tobytes())
-    profiles = stage(docs.mapInArrow(_profiles(shared), "doc_id long, n long, sid long, sketch binary, regions array<long>"))
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle).tobytes())
+    profiles = stage(docs.mapInArrow(_profiles(shared, shingle, percent), "doc_id long, n long, sid long, sketch binary, regions array<long>"))
     filled = profiles.filter("n > 0")
     rows, ids = profiles.agg(F.count("*"), F.count_distinct("doc_id")).first()
-    classes = link_sets(filled, docs, rows != ids).withColumnRenamed("node", "c_node")
+    classes = link_sets(filled, docs, rows != ids, shingle, percent).withColumnRenamed("node", "c_node")
     ids = filled.groupBy("sid").agg(F.min("doc_id").alias("least"))
     ids = ids.join(classes, F.col("sid") == F.col("c_node"), "left").select("sid", "least", F.coalesce("component", "sid").alias("class"))
     least = ids.groupBy("class").agg(F.min("least").alias("component_id")).withColumnRenamed("class", "l_class")
