@@ -1,12 +1,17 @@
 """License scans: winnowed fingerprints in an inverted index, then banded alignment of the candidates.
 
 Templates are word sequences. Their word GRAM-grams are winnowed, and the index maps each kept fingerprint to its
-places in templates. A text's GRAM-grams are looked up in the index; hits of one template on neighbouring diagonals
-make a candidate region, which is aligned with the template inside a band around those diagonals.
+places in templates. A text's GRAM-grams are looked up in the index; hits of one template that go forward in both on
+neighbouring diagonals are a chain. The text is aligned with the template through a chain: between its hits, and before
+and behind them as far as that gains, a matched word counting twice as much as a word of the text that the template
+lacks. Alignments stay in a band of BAND words around the chain. Of alignments that overlap in the text the best stays,
+whatever its template; those that can only lie inside one that stays are not made.
 """
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import re
 from pathlib import Path
 
@@ -49,15 +54,21 @@ _MATCHES = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64
 _WORD = re.compile(r"[^\W_]+")
 
 
+def lowered(text: str) -> str:
+    """In lower case, with as many code points, so that words stay where they are."""
+    return text.replace("\u0130", "i").lower()
+
+
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return _WORD.findall(lowered(text))
 
 
 class Index:
     """Inverted index of the templates' winnowed fingerprints."""
 
-    def __init__(self, templates: dict[str, str]):
-        self.names = sorted(templates)
+    def __init__(self, templates: dict[str, str], least_coverage: float = LEAST_COVERAGE):
+        self.least_coverage = least_coverage
+        self.names = sorted(n for n in templates if words_of(templates[n]))
         words = [words_of(templates[n]) for n in self.names]
         vocabulary = sorted({w for x in words for w in x})
         self.number = {w: k + 1 for k, w in enumerate(vocabulary)}
@@ -73,6 +84,8 @@ class Index:
             for k in winnow(self.mixed(prints)):
                 if single[k]:
                     places.setdefault(int(prints[k]), []).append((t, int(k)))
+        #: Templates without a GRAM-gram are looked for as they are.
+        self.short = [(t, x.tolist()) for t, x in enumerate(self.templates) if len(x) < GRAM]
         self.counts = [np.bincount(x, minlength=len(vocabulary) + 1) for x in self.templates]
         self.keys = np.array(sorted(places), np.uint64)
         self.places = [places[int(k)] for k in self.keys]
@@ -88,61 +101,71 @@ class Index:
     def mixed(self, prints: np.ndarray) -> np.ndarray:
         return (prints + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(11)
 
-    def matches(self, text: str) -> list[dict]:
-        low = text.lower()
-        words = _WORD.findall(low)
-        get = self.number.get
-        ids = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
+    def seeds(self, ids: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+        """Hits (position in the text, place in the template) of each template that the text has words enough for."""
         known = ids > 0
-        if known[: len(ids) - GRAM + 1].sum() == 0:
-            return []
-        prints = self.grams(ids)
-        whole = known[: len(prints)].copy()
+        whole = known[: max(0, len(ids) - GRAM + 1)].copy()
         for k in range(1, GRAM):
-            whole &= known[k : k + len(prints)]
+            whole &= known[k : k + len(whole)]
         at = np.flatnonzero(whole)
-        where = np.searchsorted(self.keys, prints[at])
+        if not len(at) or not len(self.keys):
+            return {}
+        prints = self.grams(ids)[at]
+        where = np.searchsorted(self.keys, prints)
         where[where == len(self.keys)] = 0
-        hit = self.keys[where] == prints[at]
-        seeds: dict[int, list[tuple[int, int]]] = {}
+        hit = self.keys[where] == prints
+        found: dict[int, list[tuple[int, int]]] = {}
         for position, key in zip(at[hit].tolist(), where[hit].tolist()):
             for t, offset in self.places[key]:
-                seeds.setdefault(t, []).append((position, offset))
-        # Each word of a text stands for one word of a template at most, so these can't reach the coverage.
-        have = np.bincount(ids, minlength=len(self.number) + 1) if seeds else None
-        seeds = {t: found for t, found in seeds.items() if np.minimum(have, self.counts[t]).sum() >= LEAST_COVERAGE * len(self.templates[t])}
-        if not seeds:
+                found.setdefault(t, []).append((position, offset))
+        if not found:
+            return {}
+        # Each word of a text stands for one word of a template in a chain, so these can't reach the coverage.
+        have = np.bincount(ids, minlength=len(self.number) + 1)
+        return {t: x for t, x in found.items() if np.minimum(have, self.counts[t]).sum() >= self.least_coverage * len(self.templates[t])}
+
+    def matches(self, text: str) -> list[dict]:
+        low = lowered(text)
+        get = self.number.get
+        ids = np.fromiter((get(w, 0) for w in _WORD.findall(low)), np.int64)
+        # Candidates by the score that they can have at most; one that was aligned, by its score.
+        heap: list[tuple] = []
+        for t, found in self.seeds(ids).items():
+            for chain in chains(found, len(self.templates[t])):
+                heap.append((-2 * len(self.templates[t]), 0, 0.0, t, chain[0][0], len(heap), chain, None))
+        for t, own in self.short:
+            for p in np.flatnonzero(np.all([ids[k : len(ids) - len(own) + 1 + k] == w for k, w in enumerate(own)], axis=0) if len(ids) >= len(own) else []):
+                heap.append((-2 * len(own), 1, -1.0, t, int(p), len(heap), None, [(k, int(p) + k) for k in range(len(own))]))
+        if not heap:
             return []
-        # Lower-casing can change lengths, but not the number of words, unless a word of the original falls apart.
-        spans = [m.span() for m in _WORD.finditer(text)]
-        if len(spans) != len(words):
-            spans = [m.span() for m in _WORD.finditer(low)]
-        regions: list[tuple] = []
-        rank = lambda r: (-r[0], -r[1], r[2:5])
-        # Longest templates first: what is inside the best region, which stays, and can't score as much is not aligned.
-        for t, found in sorted(seeds.items(), key=lambda x: -len(self.templates[x[0]])):
-            size, best = len(self.templates[t]), min(regions, key=rank, default=None)
-            for group in clusters(found):
-                low, high = min(p - o for p, o in group) - BAND, max(p - o for p, o in group) + BAND + size - 1
-                if best and size < best[0] and best[3] <= max(low, 0) and min(high, len(ids) - 1) <= best[4]:
+        heapq.heapify(heap)
+        kept: list[tuple[int, int, int, list]] = []  # disjoint: first and last word, template, pairs
+        while heap:
+            _, _, _, t, _, number, chain, pairs = heapq.heappop(heap)
+            template = self.templates[t]
+            if pairs is None:
+                # As far as an alignment through the chain can reach.
+                first, last = chain[0][0] - chain[0][1] - BAND, chain[-1][0] - chain[-1][1] + len(template) - 1 + BAND
+                k = bisect.bisect_right(kept, max(0, first), key=lambda x: x[0]) - 1
+                if k >= 0 and kept[k][1] >= min(last, len(ids) - 1):
                     continue
-                if pairs := align(self.templates[t], ids, group):
-                    first, last, n = pairs[0][1], pairs[-1][1], len(pairs)
-                    # Words of the text inside a region that the template lacks count half against it.
-                    regions.append((n - 0.5 * (last - first + 1 - n), n / size, t, first, last, [i for i, _ in pairs]))
-        kept: list[tuple] = []
-        for region in sorted(regions, key=rank):  # the best template of each place
-            if all(region[4] < k[3] or k[4] < region[3] for k in kept):
-                kept.append(region)
-        out = []
+                pairs = align(template, ids, chain)
+                score = 3 * len(pairs) - (pairs[-1][1] - pairs[0][1] + 1)
+                heapq.heappush(heap, (-score, 1, -len(pairs) / len(template), t, pairs[0][1], number, None, pairs))
+                continue
+            first, last = pairs[0][1], pairs[-1][1]
+            k = bisect.bisect_right(kept, last, key=lambda x: x[0])
+            if not k or kept[k - 1][1] < first:
+                kept.insert(k, (first, last, t, pairs))
+        out, spans = [], None
         for t in sorted({r[2] for r in kept}):
-            own = [r for r in kept if r[2] == t]
-            covered = np.zeros(len(self.templates[t]), bool)
+            own, covered = [r for r in kept if r[2] == t], np.zeros(len(self.templates[t]), bool)
             for r in own:
-                covered[r[5]] = True
-            if covered.mean() >= LEAST_COVERAGE:
-                best = [r for r in own if r[1] >= LEAST_COVERAGE] or own
-                out.append({"license": self.names[t], "coverage": float(covered.mean()), "spans": [{"start": spans[a][0], "end": spans[b][1]} for a, b in sorted(r[3:5] for r in best)]})
+                covered[[i for i, _ in r[3]]] = True
+            if covered.mean() >= self.least_coverage:
+                spans = spans or [m.span() for m in _WORD.finditer(low)]
+                best = [r for r in own if len(r[3]) >= self.least_coverage * len(covered)] or own
+                out.append({"license": self.names[t], "coverage": float(covered.mean()), "spans": [{"start": spans[a][0], "end": spans[b][1]} for a, b, *_ in best]})
         return out
 
 
@@ -153,60 +176,81 @@ def winnow(prints: np.ndarray) -> list[int]:
     return sorted({k + w - 1 - int(prints[k : k + w][::-1].argmin()) for w in [min(WINNOW, len(prints))] for k in range(len(prints) - w + 1)})
 
 
-def clusters(seeds: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
-    """Seeds (position in text, place in template) on neighbouring diagonals, in runs that don't go back in the template."""
-    diagonals: list[list[tuple[int, int]]] = []
-    for p, o in sorted(seeds, key=lambda s: (s[0] - s[1], s[0])):
-        if diagonals and p - o - (diagonals[-1][-1][0] - diagonals[-1][-1][1]) <= BAND:
-            diagonals[-1].append((p, o))
+def chains(seeds: list[tuple[int, int]], size: int) -> list[list[tuple[int, int]]]:
+    """Chains of seeds that go forward in the text and in the template, each on a diagonal near that of the last."""
+    done: list[list[tuple[int, int]]] = []
+    open_: list[list[tuple[int, int]]] = []
+    for p, o in sorted(seeds):
+        if open_ and open_[0][-1][0] < p - size - BAND:
+            done += [c for c in open_ if c[-1][0] < p - size - BAND]
+            open_ = [c for c in open_ if c[-1][0] >= p - size - BAND]
+        fits = [c for c in open_ if c[-1][0] < p and c[-1][1] < o and abs(p - o - c[-1][0] + c[-1][1]) <= BAND]
+        if fits:
+            min(fits, key=lambda c: (abs(p - o - c[-1][0] + c[-1][1]), -c[-1][0])).append((p, o))
         else:
-            diagonals.append([(p, o)])
-    groups: list[list[tuple[int, int]]] = []
-    for run in diagonals:
-        run.sort()
-        for k, seed in enumerate(run):
-            if k and seed[1] > run[k - 1][1]:
-                groups[-1].append(seed)
-            else:
-                groups.append([seed])
-    return groups
-
-
-def align(template: np.ndarray, ids: np.ndarray, seeds: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Longest common subsequence of the template and the text inside the band around the seeds' diagonals.
-
-    Pairs (place in template, position in text) of equal words, in order.
+            open_.append([(p, o)])
+    return done + open_
+
+
+def align(template: np.ndarray, ids: np.ndarray, chain: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Pairs (place in template, position in text) of equal words, in order, of the best alignment through the chain."""
+    fixed: list[tuple[int, int]] = []
+    for p, o in chain:
+        fixed += [(o + k, p + k) for k in range(GRAM) if not fixed or o + k > fixed[-1][0] and p + k > fixed[-1][1]]
+    (i, j), (x, y) = fixed[0], fixed[-1]
+    start = max(0, j - i - BAND)
+    before = banded(template[:i][::-1], ids[start:j][::-1], False)
+    out = [(i - 1 - a, j - 1 - b) for a, b in before[::-1]] + fixed[:1]
+    for (a, b), (c, d) in zip(fixed, fixed[1:]):
+        if c > a + 1 and d > b + 1:
+            out += [(a + 1 + k, b + 1 + m) for k, m in banded(template[a + 1 : c], ids[b + 1 : d], True)]
+        out.append((c, d))
+    rest = template[x + 1 :]
+    return out + [(x + 1 + a, y + 1 + b) for a, b in banded(rest, ids[y + 1 : y + 1 + len(rest) + BAND], False)]
+
+
+def banded(a: np.ndarray, b: np.ndarray, whole: bool) -> list[tuple[int, int]]:
+    """Pairs of equal words that make the most of 2 for each and -1 for each word of b passed over.
+
+    Those of b behind the last pair count only if the whole of b is to be aligned.
     """
-    low, high = min(p - o for p, o in seeds) - BAND, max(p - o for p, o in seeds) + BAND
-    width = high - low + 1
-    score = np.zeros((len(template) + 1, width + 2), np.int32)  # [i, d + 1]: the first i template words, text up to i + low + d
-    positions = np.arange(width) + low
-    for i in range(len(template)):
-        j = positions + i
-        inside = (j >= 0) & (j < len(ids))
-        equal = inside & (ids[np.clip(j, 0, len(ids) - 1)] == template[i])
-        row = np.maximum(score[i, 1:-1] + equal, score[i, 2:])
-        score[i + 1, 1:-1] = np.maximum.accumulate(row)
+    m, n = len(a), len(b)
+    if not m or not n:
+        return []
+    low, high = (min(0, n - m) - BAND, max(0, n - m) + BAND) if whole else (-BAND, BAND)
+    width, worst = high - low + 1, -(1 << 30)
+    steps = np.arange(width, dtype=np.int64)
+    score = np.full((m + 1, width + 2), worst, np.int64)  # [i, d + 1]: i words of a, i + low + d of b
+    at = steps + low
+    score[0, 1:-1] = np.where((at >= 0) & (at <= n), -at, worst)
+    for i in range(1, m + 1):
+        at = steps + (low + i)
+        equal = (at >= 1) & (at <= n) & (b[np.clip(at - 1, 0, n - 1)] == a[i - 1])
+        row = np.maximum(score[i - 1, 2:], np.where(equal, score[i - 1, 1:-1] + 2, worst))
+        row = np.maximum.accumulate(row + steps) - steps
+        row[(at < 0) | (at > n)] = worst
+        score[i, 1:-1] = row
+    i, d = (m, n - m - low + 1) if whole else divmod(int(score.argmax()), width + 2)
     pairs: list[tuple[int, int]] = []
-    i, d = len(template), int(score[-1, 1:-1].argmax()) + 1
-    while i > 0 and score[i, d] > 0:
-        j = positions[d - 1] + i - 1
-        if d > 1 and score[i, d - 1] == score[i, d]:
-            d -= 1
-        elif score[i - 1, d + 1] == score[i, d]:
+    while i > 0:
+        j = i + low + d - 1
+        if 1 <= j <= n and a[i - 1] == b[j - 1] and score[i, d] == score[i - 1, d] + 2:
+            i -= 1
+            pairs.append((i, j - 1))
+        elif score[i, d] == score[i - 1, d + 1]:
             i, d = i - 1, d + 1
         else:
-            pairs.append((i - 1, int(j)))
-            i -= 1
+            d -= 1
     return pairs[::-1]
 
 
-def scan_licenses(documents: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
+def scan_licenses(documents: DataFrame, templates: dict[str, str] | None = None, least_coverage: float = LEAST_COVERAGE) -> DataFrame:
     """One row for each row of documents: doc_id, matches (license, coverage, spans), by license.
 
-    A match covers LEAST_COVERAGE of the template's words or more; spans are code points of the text. Null and empty
+    A match covers `least_coverage` of the template's words or more; spans are code points of the text. Null and empty
     texts match nothing; whole texts are scanned; repeated rows each give a row; templates of fewer than GRAM words
-    can't be found; columns besides doc_id and text are ignored.
+    match where all their words stand in a row, and those without words nowhere; an empty table gives an empty result;
+    columns besides doc_id and text are ignored.
     """
     templates = TEMPLATES if templates is None else templates
     if sum(map(len, templates.values())) > MAX_TEMPLATE_CHARS:
@@ -214,7 +258,7 @@ def scan_licenses(documents: DataFrame, templates: dict[str, str] | None = None)
     shared = documents.sparkSession.sparkContext.broadcast(dict(templates))
 
     def run(batches):
-        index = Index(shared.value)
+        index = Index(shared.value, least_coverage)
         for batch, texts in text_groups(batches):
             found = [index.matches(t or "") if index.templates else [] for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, _MATCHES)], names=["doc_id", "matches"])

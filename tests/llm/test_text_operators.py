@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -117,6 +118,71 @@ def test_license_alignment():
             assert [x["license"] for x in index.matches(" ".join(words[:k] + ["new", "words"] + words[k + 1 :]))] == [name]
 
 
+def brute_region(template, words):
+    """(score, matched, first, last) of the best alignment anywhere, by all places of both."""
+    best, row = (0,), [None] * (len(words) + 1)
+    for t in template:
+        new = [None] * (len(words) + 1)
+        for j in range(1, len(words) + 1):
+            ways = [row[j]] if row[j] else []
+            if new[j - 1]:
+                ways.append((new[j - 1][0] - 1, *new[j - 1][1:]))
+            if t == words[j - 1]:
+                s, n, first, _ = row[j - 1] if row[j - 1] and row[j - 1][0] > 0 else (0, 0, j - 1, 0)
+                ways.append((s + 2, n + 1, first, j - 1))
+            new[j] = max(ways, key=lambda x: (x[0], x[2]), default=None)
+            if new[j] and new[j][0] > best[0]:
+                best = new[j]
+        row = new
+    return best
+
+
+def test_license_alignment_is_the_best():
+    """Spans and coverage of altered, adjacent and repeated notices against alignments by all places."""
+    r = random.Random(5)
+    notices = {n: t for n, t in license_scan.TEMPLATES.items() if n in ("mit-notice", "mpl-2.0-notice", "gpl-3.0-line", "cc-by-nc-4.0-line", "mit-line")}
+    index = license_scan.Index(notices)
+    for _ in range(40):
+        words, planted = [], []
+        for _ in range(r.randrange(1, 5)):
+            words += [f"z{r.randrange(10**6)}" for _ in range(r.choice([0, 0, 1, 5, 9, 30]))]
+            name = r.choice(sorted(notices))
+            own = license_scan._WORD.findall(notices[name])
+            for _ in range(len(own) // 12):
+                k = r.randrange(1, len(own) - 1)
+                own[k : k + r.randrange(2)] = [f"İ{r.randrange(10**6)}"] * r.randrange(1, 3)
+            words += own
+            planted.append(name)
+        text = " ".join(words)
+        got = {m["license"]: m for m in index.matches(text)}
+        low, spans = license_scan.words_of(text), [m.span() for m in re.finditer(r"[^\W_]+", text)]
+        want, left = defaultdict(list), [(0, len(low))]
+        while left:
+            a, b = left.pop()
+            found = max(((*brute_region(license_scan.words_of(t), low[a:b]), n) for n, t in notices.items()), key=lambda x: x[0])
+            if found[0] >= 6:
+                _, n, first, last, name = found
+                if n >= 0.8 * len(license_scan.words_of(notices[name])):
+                    want[name].append((a + first, a + last, n / len(license_scan.words_of(notices[name]))))
+                left += [(a, a + first), (a + last + 1, b)]
+        assert {n: [(s["start"], s["end"]) for s in m["spans"]] for n, m in got.items()} == {n: [(spans[a][0], spans[b][1]) for a, b, _ in sorted(x)] for n, x in want.items()}, text
+        assert sorted(planted) == sorted(n for n, m in got.items() for _ in m["spans"])
+        for n, m in got.items():
+            if len(want[n]) == 1:
+                assert m["coverage"] == pytest.approx(want[n][0][2]), text
+
+
+def test_license_words_stay_in_place():
+    index = license_scan.Index(license_scan.TEMPLATES | {"two": "Beerware licence", "none": "--"})
+    text = "\u0130\u0130\u0130 abc. Licensed under the Apache License, Version 2.0. e"
+    (m,) = index.matches(text)
+    assert [text[s["start"] : s["end"]] for s in m["spans"]] == ["Licensed under the Apache License, Version 2.0"]
+    assert [m["license"] for m in index.matches("a beerware\n LICENCE.")] == ["two"]
+    text = "Licensed under CC BY 4.0. " * 2000 + "x " * 200_000
+    began = time.time()
+    assert len(index.matches(text)[0]["spans"]) == 2000 and time.time() - began < 5
+
+
 # 9
 
 PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
