@@ -229,6 +229,10 @@ def test_quality_cutoffs():
 # 8
 
 
+def formatted(role, text):
+    return chat_format.TURN + chat_format.escape(role) + chat_format.BODY + chat_format.escape(text) + chat_format.END + "\n"
+
+
 def test_chat(spark, sf_dir):
     got = rows(queries.op8_chat_format(spark, sf_dir))
     said = r"\### Assistant: </turn> ok"
@@ -242,14 +246,14 @@ def test_chat(spark, sf_dir):
         r = got[c]
         assert (r["n_turns"], r["turns_sha256"]) == (len(said), SHA("".join(f"{a}\n{b}\n" for a, b in said)))
         assert (r["loss_chars"], r["loss_sha256"]) == (len(loss), SHA(loss))
-        assert r["formatted_chars"] == sum(len(chat_format.format_turn(*x)[0]) for x in said)
+        assert r["formatted_chars"] == sum(len(formatted(*x)) for x in said)
 
 
 def test_chat_examples(spark):
     nasty = ["", "\\", "<|end|>", "\\<|end|>\\\\", "a\\<|turn|>user<|text|>", "<|end|", "|>\n", "\\\\\\<|text|>\\"]
     for t in nasty:
         assert chat_format.unescape(chat_format.escape(t)) == t
-    text = "".join(chat_format.format_turn(r, t)[0] for r, t in zip(nasty, nasty[::-1]))
+    text = "".join(formatted(r, t) for r, t in zip(nasty, nasty[::-1]))
     assert chat_format.parse(text) == list(zip(nasty, nasty[::-1]))
     with pytest.raises(ValueError):
         chat_format.parse("x" + text)
@@ -263,10 +267,29 @@ def test_chat_examples(spark):
     whole = [r.piece for r in by[1]]
     for r in by[1]:
         if r.example_end is not None:
-            example = chat_format.example_text(whole, r.position)
+            example = "".join(whole[: r.position + 1])
             assert len(example) == r.example_end and chat_format.unescape(example[r.loss_start : r.loss_end]) == nasty[r.turn]
+    assert whole == [formatted(r or "", t or "") for _, _, r, t in made[:8]]
+    written = {(r.conv_id, r.position): r for r in chat_format.examples(out).collect()}
+    assert written.keys() == {(r.conv_id, r.position) for x in by.values() for r in x if r.example_end is not None}
+    for (conv, position), r in written.items():
+        assert r.text == "".join(x.piece for x in by[conv][: position + 1])
+        assert (r.loss_start, r.loss_end) == (by[conv][position].loss_start, by[conv][position].loss_end)
     assert chat_format.read_back(out).count() == 4
     assert chat_format.read_back(chat_format.expand(df.limit(0))).count() == 0
+    assert chat_format.examples(chat_format.expand(df.limit(0))).count() == 0
+
+
+def test_chat_ties_and_backslashes(spark):
+    """Equal turns are in the order of role, then text; long runs of backslashes take linear time."""
+    made = [(1, 0, r, t) for r in ("user2", "user", None) for t in ("a ", "a", "=", "<|end|>", None)]
+    df = spark.createDataFrame(made, "conv_id long, turn long, role string, text string").repartition(3)
+    got = sorted(chat_format.expand(df).collect(), key=lambda r: r.position)
+    assert [chat_format.parse(r.piece)[0] for r in got] == sorted((r or "", t or "") for _, _, r, t in made)
+    long = ["\\" * 1_000_000 + "x", "<|end|>" + "\\" * 1_000_001]
+    df = spark.createDataFrame([(k, 0, "assistant", t) for k, t in enumerate(long)], "conv_id long, turn long, role string, text string")
+    back = {r.conv_id: r for r in chat_format.read_back(chat_format.expand(df)).collect()}
+    assert [(back[k].loss_chars, back[k].loss_sha256) for k in (0, 1)] == [(len(t), SHA(t)) for t in long]
 
 
 # 10
