@@ -9,9 +9,12 @@ same few hundred weights whatever the data.
 
 from __future__ import annotations
 
+import collections
 import functools
+import math
 import random
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,22 +29,24 @@ BASE = KINDS[:4]
 FINDINGS = "array<struct<kind:string,start:int,end:int,base:boolean>>"
 #: Of an entity segment.
 MAX_TOKENS = 17
-TRAIN_WINDOWS, TRAIN_STEPS, SEED = 240, 30, 9
+FEWEST_DIGITS, MOST_DIGITS = 7, 19
+TRAIN_WINDOWS, TRAIN_STEPS, SEED = 400, 30, 9
 #: An added span's score is above that of no entity by so much at least.
-MARGIN = 2.0
-WINDOW_TOKENS = 4000
-
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_EMAIL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+@-")
-_EMAIL_RUN = re.compile(r"[A-Za-z0-9._%+@-]*")
-_IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+MARGIN = 1.5
+#: Scores that a worker remembers.
+MOST_KNOWN = 200_000
+
+# Runs are matched from their starts and once, so that long ones take linear time.
+_LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\s+|[^A-Za-z0-9\s]")
 
 _CHUNK, _HOT = re.compile(r"\S+"), re.compile(r"[0-9@]")
-#: Chunks of text before and after one that has a digit or an at sign, and their greatest length.
+#: Of the chunks of text before and after one that has a digit or an at sign, as many and so many characters are looked at.
 BEFORE, AFTER, CHUNK_CHARS = 3, 1, 40
 
 
@@ -61,12 +66,14 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end): leftmost non-overlapping matches of each kind that pass its test."""
     found = []
     done, at = 0, text.find("@")
-    while at >= 0:  # a match lies inside one run of the characters that an email can have
+    while at >= 0:
         start = at
-        while start > done and text[start - 1] in _EMAIL_CHARS:
+        while start > done and text[start - 1] in _LOCAL_CHARS:
             start -= 1
-        done = _EMAIL_RUN.match(text, at).end()
-        found += [("email", *m.span()) for m in _EMAIL.finditer(text, start, done)]
+        domain = _DOMAIN.match(text, at + 1) if start < at else None
+        if domain:
+            found.append(("email", start, domain.end()))
+        done = domain.end() if domain else at + 1
         at = text.find("@", done)
     if _DIGITS.search(text):
         if "." in text:
@@ -84,29 +91,39 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # The semi-Markov CRF.
 
 
-def windows(text: str) -> list[tuple[int, int]]:
+def windows(text: str) -> Iterator[tuple[int, int]]:
     """Spans of text with digits or at signs, with a few words around them, merged where they overlap."""
-    chunks = [m.span() for m in _CHUNK.finditer(text)]
-    out: list[list[int]] = []
-    for k, (a, b) in enumerate(chunks):
+    held: list[int] = []
+    before: collections.deque[tuple[int, int]] = collections.deque(maxlen=BEFORE)
+    open_ = 0  # chunks that may still follow
+    for m in _CHUNK.finditer(text):
+        a, b = m.span()
         if _HOT.search(text, a, b):
-            low, high = k, k
-            while low > max(0, k - BEFORE) and chunks[low - 1][1] - chunks[low - 1][0] <= CHUNK_CHARS:
-                low -= 1
-            while high < min(len(chunks) - 1, k + AFTER) and chunks[high + 1][1] - chunks[high + 1][0] <= CHUNK_CHARS:
-                high += 1
-            if out and chunks[low][0] <= out[-1][1]:
-                out[-1][1] = chunks[high][1]
+            low = a
+            for x, y in reversed(before):
+                low = max(x, y - CHUNK_CHARS)
+                if low > x:
+                    break
+            if held and low <= held[1]:
+                held[1] = b
             else:
-                out.append([chunks[low][0], chunks[high][1]])
-    return [(a, b) for a, b in out]
+                if held:
+                    yield held[0], held[1]
+                held = [low, b]
+            open_ = AFTER
+        elif held and open_ and held[1] < a:
+            held[1] = min(b, a + CHUNK_CHARS)
+            open_ = open_ - 1 if held[1] == b else 0
+        before.append((a, b))
+    if held:
+        yield held[0], held[1]
 
 
 def _shape(tokens: list[str]) -> str:
     return "".join(f"d{min(len(t), 9)}" if t.isdigit() else "a" if t[0].isalpha() else " " if t.isspace() else t for t in tokens)
 
 
-_CUES = {w: c for c, words in {"phone": "phone tel telephone call mobile fax cell", "email": "email mail e contact write", "ip": "ip host address server login", "card": "card visa credit payment debit", "ssn": "ssn social security taxpayer", "other": "version v no order page item id ref date chapter year section"}.items() for w in words.split()}
+_CUES = {w: c for c, words in {"phone": "phone tel telephone call mobile fax cell", "email": "email mail e contact write", "ip": "ip host address server login", "card": "card visa credit payment debit", "ssn": "ssn social security taxpayer", "other": "version v no order page item id ref date chapter year section price prices total sum count size rows"}.items() for w in words.split()}
 
 
 def _cue(tokens: list[str], start: int) -> str:
@@ -132,30 +149,51 @@ def span_features(tokens: list[str], start: int, end: int) -> list[str]:
     if "@" in text:
         out.append(f"domain={bool(re.fullmatch(r'[A-Za-z0-9-]+([.][A-Za-z0-9-]+)*[.][A-Za-z]{2,}', domain))}")
         out.append(f"local={bool(re.fullmatch(r'[A-Za-z0-9._%+-]+', text.partition('@')[0]))}")
-    if end < len(tokens):
-        out.append(f"next={'d' if tokens[end].isdigit() else 'a' if tokens[end].isalpha() else tokens[end][0]}")
-    if start:
-        out.append(f"before={'d' if tokens[start - 1].isdigit() else 'a' if tokens[start - 1].isalpha() else tokens[start - 1][0]}")
+    return out + [f"next={_beside(tokens, end)}", f"before={_beside(tokens, start - 1)}"]
+
+
+def _beside(tokens: list[str], k: int) -> str:
+    if not 0 <= k < len(tokens):
+        return ""
+    return "d" if tokens[k].isdigit() else "a" if tokens[k].isalpha() else tokens[k][0]
+
+
+def ends_of(tokens: list[str], a: int) -> list[int]:
+    """Ends of the candidates that start at a: up to MAX_TOKENS tokens of what entities consist of, no blank or closing
+    mark at the ends, with one at sign and a dot behind it, or with no letters and FEWEST_DIGITS to MOST_DIGITS digits, or three dots."""
+    out: list[int] = []
+    if not (tokens[a].isalnum() or tokens[a] in "+("):
+        return out
+    digits = dots = 0
+    letter = at = domain = blank = False
+    for b in range(a + 1, min(len(tokens), a + MAX_TOKENS) + 1):
+        last = tokens[b - 1]
+        if last.isdigit():
+            digits += len(last)
+        elif last.isalpha():
+            letter = True
+        elif last == ".":
+            dots += 1
+            domain = domain or at
+        elif last == "@":
+            if at:
+                break
+            at = True
+        elif last in " ()":
+            blank = True
+        elif last not in "+-_%":
+            break
+        if at and blank:
+            break
+        if not at and (letter or digits > MOST_DIGITS) and "@" not in tokens[b : a + MAX_TOKENS]:
+            break
+        if last.isalnum() and (domain or not at and not letter and (FEWEST_DIGITS <= digits <= MOST_DIGITS or dots == 3 and digits)):
+            out.append(b)
     return out
 
 
 def segments(tokens: list[str]) -> list[tuple[int, int]]:
-    """Candidates: up to MAX_TOKENS tokens, no blank or closing mark at the ends, with digits and no letters or an at sign."""
-    out, end = [], len(tokens)
-    for a, first in enumerate(tokens):
-        if not (first.isalnum() or first in "+("):
-            continue
-        digit = letter = at = False
-        for b in range(a + 1, min(end, a + MAX_TOKENS) + 1):
-            last = tokens[b - 1]
-            if last.isspace() and ("\n" in last or len(last) > 1):
-                break
-            digit, letter, at = digit or last.isdigit(), letter or last.isalpha(), at or last == "@"
-            if letter and not at and "@" not in tokens[b : a + MAX_TOKENS]:
-                break
-            if (at or digit and not letter) and last.isalnum():
-                out.append((a, b))
-    return out
+    return [(a, b) for a in range(len(tokens)) for b in ends_of(tokens, a)]
 
 
 class SemiCRF:
@@ -163,6 +201,27 @@ class SemiCRF:
 
     def __init__(self):
         self.weights: dict[str, np.ndarray] = {}
+        #: Of segments without an at sign, by all that their features depend on.
+        self.known: dict[tuple, tuple[int, float]] = {}
+
+    def score(self, tokens: list[str], a: int, b: int, cue: str) -> tuple[int, float]:
+        """The best kind of a segment, and its score."""
+        part, key = tokens[a:b], None
+        if "@" not in part:
+            text = "".join(part)
+            digits = [t for t in part if t.isdigit()]
+            long = sum(map(len, digits)) >= 13 and luhn("".join(digits))
+            four = text.count(".") == 3 and len(digits) == 4 and octets("".join(t for t in part if t.isdigit() or t == "."))
+            key = (_shape(part), cue, long, four, _beside(tokens, a - 1), _beside(tokens, b))
+            if key in self.known:
+                return self.known[key]
+        total = sum((self.weights[f] for f in span_features(tokens, a, b) if f in self.weights), np.zeros(len(KINDS)))
+        found = int(total.argmax()), float(total.max())
+        if key:
+            if len(self.known) > MOST_KNOWN:
+                self.known = {}
+            self.known[key] = found
+        return found
 
     def fit(self, windows: list[tuple[list[str], list[tuple[int, int, int]]]], steps: int = TRAIN_STEPS) -> SemiCRF:
         """Maximum likelihood with a quadratic penalty, by adaptive gradient steps over all windows at once."""
@@ -209,23 +268,19 @@ class SemiCRF:
         return np.exp(scores + around[:, None])
 
     def decode(self, tokens: list[str]) -> list[tuple[int, int, int, float]]:
-        """(start, end, kind, score) of the best segmentation's entities."""
-        best, back = [0.0] * (len(tokens) + 1), [None] * (len(tokens) + 1)
-        by_end: dict[int, list[int]] = {}
-        for a, b in segments(tokens):
-            by_end.setdefault(b, []).append(a)
-        none = np.zeros(len(KINDS))
-        for b in range(1, len(tokens) + 1):
-            best[b] = best[b - 1]
-            for a in by_end.get(b, ()):
-                total = none
-                for f in span_features(tokens, a, b):
-                    if f in self.weights:
-                        total = total + self.weights[f]
-                k = int(total.argmax())
-                if best[a] + total[k] > best[b]:
-                    best[b], back[b] = best[a] + total[k], (a, k, float(total[k]))
-        out, b = [], len(tokens)
+        """(start, end, kind, score) of the best segmentation's entities; of equal ones that with fewer entities."""
+        n = len(tokens)
+        best, back = [0.0] + [-math.inf] * n, [None] * (n + 1)
+        for a in range(n):  # all that ends at a is known by now
+            ends = ends_of(tokens, a)
+            cue = _cue(tokens, a) if ends else ""
+            for b in ends:
+                k, score = self.score(tokens, a, b, cue)
+                if best[a] + score > best[b]:
+                    best[b], back[b] = best[a] + score, (a, k, score)
+            if best[a] >= best[a + 1]:
+                best[a + 1], back[a + 1] = best[a], None
+        out, b = [], n
         while b:
             if back[b]:
                 a, k, score = back[b]
@@ -252,10 +307,10 @@ def training_windows(n: int, seed: int) -> list[tuple[list[str], list[tuple[int,
         "email": lambda: f"{word()}{r.choice(['', '.' + word(), digits(2), '.' + digits(2)])}@{word()}{r.choice(['', digits(1)])}.{r.choice(['com', 'org', 'example.com', 'net', 'de'])}",
         "ip": lambda: ".".join(str(r.randint(0, 255)) for _ in range(4)),
         "card": card,
-        "phone": lambda: r.choice([f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", f"({digits(3)}) {digits(3)}-{digits(4)}", f"+{r.randint(1, 99)} {digits(3)} {digits(3)} {digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}"]),
+        "phone": lambda: r.choice([f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", f"({digits(3)}) {digits(3)}-{digits(4)}", f"+{r.randint(1, 99)} {digits(3)} {digits(3)} {digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"{digits(3)}.{digits(3)}.{digits(4)}", f"0{digits(2)} {digits(4)} {digits(4)}", f"0{digits(3)} {digits(3)} {digits(4)}", f"0{digits(4)} {digits(6)}"]),
         "ssn": lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
     }
-    nothing = [lambda: digits(r.randint(1, 12)), lambda: f"{r.randint(1, 20)}.{r.randint(0, 9)}", lambda: f"{r.randint(1900, 2030)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}", lambda: f"{digits(2)}/{digits(2)}/{digits(4)}", lambda: digits(16), lambda: f"{word()}{digits(3)}", lambda: "".join(r.choices("0123456789abcdef", k=24)), lambda: f"{digits(2)}:{digits(2)}", lambda: f"@{word()}", lambda: f"{digits(1)},{digits(3)}.{digits(2)}", lambda: f"{r.randint(256, 999)}.{digits(3)}.{digits(3)}.{digits(3)}", lambda: f"{digits(2)}-{digits(2)}"]
+    nothing = [lambda: digits(r.randint(1, 12)), lambda: f"{r.randint(1, 20)}.{r.randint(0, 9)}", lambda: f"{r.randint(1900, 2030)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}", lambda: f"{digits(2)}/{digits(2)}/{digits(4)}", lambda: digits(16), lambda: f"{word()}{digits(3)}", lambda: "".join(r.choices("0123456789abcdef", k=24)), lambda: f"{digits(2)}:{digits(2)}", lambda: f"@{word()}", lambda: f"{digits(1)},{digits(3)}.{digits(2)}", lambda: f"{r.randint(256, 999)}.{digits(3)}.{digits(3)}.{digits(3)}", lambda: f"{digits(2)}-{digits(2)}", lambda: " ".join(str(r.randint(1, 10 ** r.randint(1, 4))) for _ in range(r.randint(2, 6)))]
     out = []
     cues: dict[str, list[str]] = {}
     for w, c in _CUES.items():
@@ -290,22 +345,21 @@ def find_personal_data(text: str, crf: SemiCRF) -> list[tuple[str, int, int, boo
     starts = np.array([a for a, _ in taken])
     reach = np.maximum.accumulate([b for _, b in taken]) if taken else starts
     for low, high in windows(text):
-        pieces = list(_TOKEN.finditer(text, low, high))
-        for at in range(0, len(pieces), WINDOW_TOKENS):  # longer runs are cut; a segment across a cut isn't added
-            part = pieces[at : at + WINDOW_TOKENS]
-            for a, b, kind, score in crf.decode([t[0] for t in part]):
-                start, end = part[a].start(), part[b - 1].end()
-                k = int(np.searchsorted(starts, end)) if taken else 0  # spans that start before the end
-                if score >= MARGIN and not (k and reach[k - 1] > start):
-                    out.append((KINDS[kind], start, end, False))
+        tokens = _TOKEN.findall(text, low, high)
+        ends = low + np.cumsum([len(t) for t in tokens])
+        for a, b, kind, score in crf.decode(tokens):
+            start, end = int(ends[a]) - len(tokens[a]), int(ends[b - 1])
+            k = int(np.searchsorted(starts, end)) if taken else 0  # spans that start before the end
+            if score >= MARGIN and not (k and reach[k - 1] > start):
+                out.append((KINDS[kind], start, end, False))
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), not x[3], x[2]))
 
 
 def find_pii(documents: DataFrame) -> DataFrame:
     """One row for each row of documents: doc_id, findings (kind, start, end, base) by start, then kind.
 
-    Null and empty texts have none; whole texts are searched; repeated rows each give a row; columns besides doc_id
-    and text are ignored.
+    Null and empty texts have none; whole texts are searched; repeated rows each give a row; an empty table gives an
+    empty result; columns besides doc_id and text are ignored.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model().weights)
     kinds = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))

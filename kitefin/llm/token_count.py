@@ -125,7 +125,7 @@ def count_tokens(documents: DataFrame, tokenizer_path: str, limit: int = LIMIT)
 
     tokenizer_path names a BPE file of the tokenizers library; the driver reads it once (a few MB, whatever the
     data) and broadcasts it. Null texts count as empty; whole texts are counted, without truncation; repeated rows
-    each give a row; columns besides doc_id and text are ignored.
+    each give a row; an empty table gives an empty result; columns besides doc_id and text are ignored.
     """
     with open(tokenizer_path, "rb") as f:
         shared = documents.sparkSession.sparkContext.broadcast(f.read())

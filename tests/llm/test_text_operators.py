@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kitefin.llm import license_scan, pii, queries, substring_dedup
+from kitefin.llm import license_scan, pii, queries, secret_scan, substring_dedup
 from kitefin.llm.suffix_array import suffix_arrays
 
 from .test_row_operators import SHA, documents, odd_documents, rows
@@ -232,7 +232,7 @@ def test_pii_model():
     for tokens, truth in pii.training_windows(300, seed=77):
         found = {x[:3] for x in crf.decode(tokens) if x[3] >= pii.MARGIN}
         hits, wrong, missed = hits + len(found & set(truth)), wrong + len(found - set(truth)), missed + len(set(truth) - found)
-    assert hits / (hits + wrong) > 0.95 and hits / (hits + missed) > 0.93
+    assert hits / (hits + wrong) > 0.97 and hits / (hits + missed) > 0.95
     found = pii.find_personal_data("call me: phone (212) 555-0187 today", crf)
     assert [(k, b) for k, _, _, b in found] == [("phone", False)]
     assert pii.find_personal_data("version 2.0 of 2021-03-04, 17 pages", crf) == []
@@ -248,6 +248,36 @@ def test_pii_model():
     assert sum(x[3] for x in crf.decode(tokens)) == pytest.approx(best[len(tokens)])
 
 
+def test_long_texts_take_linear_time():
+    """A million characters that patterns used to go over again and again."""
+    crf = pii.model()
+    for text in ("1" * 1_000_000 + ".", "a" * 1_000_000 + "@", "1." * 500_000, "eyJ" * 330_000, "+1 " + " " * 1_000_000, "token" + " " * 1_000_000, "-----BEGIN A " * 80_000, "AKIA" * 250_000):
+        began = time.time()
+        secret_scan.find_secrets(text)
+        pii.base_spans(text)
+        assert time.time() - began < 2, text[:20]
+    began = time.time()
+    assert pii.find_personal_data("1" * 1_000_000 + "." + " a@" * 30_000, crf) == [] and time.time() - began < 10
+    # Windows of any length are decoded whole: phones that the base doesn't match, in a table of one window.
+    line = "row 17 (212) 555-1017\n"
+    found = pii.find_personal_data(line * 3000, crf)
+    assert [x[:3] for x in found] == [("phone", k * len(line) + 7, (k + 1) * len(line) - 1) for k in range(3000)]
+
+
+def test_web_tokens():
+    pattern = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,}")
+    r = random.Random(8)
+    for _ in range(2000):
+        text = "".join(r.choices(["eyJ", "eyJabcdefgh", "x" * 16, ".", ".", " ", "y", "_-"], k=r.randrange(12)))
+        assert secret_scan._bearers(text) == [m.span() for m in pattern.finditer(text)], text
+
+
+def test_phones_of_other_forms():
+    crf = pii.model()
+    for text, number in (("call 212.555.0187 now", "212.555.0187"), ("ring 020 7946 0018 today", "020 7946 0018")):
+        assert [(k, text[a:b]) for k, a, b, _ in pii.find_personal_data(text, crf)] == [("phone", number)]
+
+
 def test_whole_license_texts():
     index = license_scan.Index(license_scan.TEMPLATES)
     for name in ("apache-2.0", "bsd-2-clause", "bsd-3-clause", "cc0-1.0", "gpl-2.0", "gpl-3.0", "isc", "lgpl-2.1", "lgpl-3.0", "mit", "mpl-2.0", "unlicense"):
