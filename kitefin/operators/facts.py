@@ -1,39 +1,134 @@
 """Call, use and points-to edges from tables of compiler facts.
 
 functions(module, name, is_decl), instructions(module, func, seq, opcode), operands(module, func, seq, idx, kind,
-target), initialisers(module, gv, kind, target), aliases(module, alias, kind, target), constants(module, id, kind,
-target): `kind` is func, gv, alias, const or local, and a const's own operands are in constants.
+target[, is_pointer]), initialisers(module, gv, kind, target), aliases(module, alias, kind, target), constants(module,
+id, kind, target): `kind` is func, gv, alias, const or local, and a const's own operands are in constants. A local is the
+result of the instruction of the same function whose seq is its target. Operand 0 of a call is what is called, its
+arguments follow; a store has the value at 0 and the pointer at 1; a load has the pointer at 0.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import is_intrinsic, virtual_init_name
+from ..functions.text import c_type
 from ..schema import GLOBAL_PREFIX
-from .iterate import closure
+from .iterate import spread
+
+CALLS = ("call", "invoke")
+#: Operands of a store.
+STORED, POINTER = 0, 1
 
 
 def resolve(targets: DataFrame, constants: DataFrame, aliases: DataFrame) -> DataFrame:
     """targets (module, ..., kind, target) with nested constants and aliases replaced by the functions and globals in them."""
     inner = constants.select("module", F.col("id").alias("node"), "kind", "target").unionByName(aliases.select("module", F.col("alias").alias("node"), "kind", "target"))
     key = lambda m, n: F.concat_ws("\t", m, n)
-    step = inner.filter(F.col("kind").isin("const", "alias")).select(key(F.col("module"), F.col("node")).alias("src"), key(F.col("module"), F.col("target")).alias("dst"))
-    ways = closure(step)
-    named = inner.select(key(F.col("module"), F.col("node")).alias("node"), "kind", "target").filter(F.col("kind").isin("func", "gv"))
-    deep = ways.select(F.col("src").alias("root"), F.col("dst").alias("node")).join(named, "node").select("root", "kind", "target")
-    leaves = deep.unionByName(named.select(F.col("node").alias("root"), "kind", "target")).distinct()
+    held = inner.select(key(F.col("module"), F.col("node")).alias("node"), "kind", "target", key(F.col("module"), F.col("target")).alias("inside"))
+    nested = held.filter(F.col("kind").isin("const", "alias")).select(F.col("inside").alias("src"), F.col("node").alias("dst"))
+    named = held.filter(F.col("kind").isin("func", "gv")).select("node", key(F.col("kind"), F.col("target")).alias("value"))
+    leaves = spread(nested, named).select(F.col("node").alias("root"), F.substring_index("value", "\t", 1).alias("kind"), F.expr("substring(value, locate('\t', value) + 1)").alias("target"))
     plain = targets.filter(F.col("kind").isin("func", "gv"))
     rest = targets.filter(F.col("kind").isin("const", "alias")).withColumn("root", key(F.col("module"), F.col("target"))).drop("kind", "target").join(leaves, "root").drop("root")
-    return plain.unionByName(rest).distinct()
+    return plain.unionByName(rest.select(*plain.columns)).distinct()
+
+
+def _with_opcode(operands: DataFrame, instructions: DataFrame) -> DataFrame:
+    return operands.join(instructions.select("module", "func", "seq", "opcode"), ["module", "func", "seq"])
 
 
 def call_edges(operands: DataFrame, instructions: DataFrame) -> DataFrame:
-    """caller -> callee of direct calls (the callee is operand 0), and of functions stored, merged by phi or passed."""
-    used = operands.filter("kind = 'func'").join(instructions.select("module", "func", "seq", "opcode"), ["module", "func", "seq"])
-    called = F.col("opcode").isin("call", "store", "phi", "load")
-    return used.filter(called & ~is_intrinsic(F.col("target"))).select("module", F.col("func").alias("src"), F.col("target").alias("dst")).distinct()
+    """caller -> callee of direct calls, of functions stored, merged by phi or passed, and of calls whose result is loaded."""
+    used = _with_opcode(operands, instructions)
+    named = used.filter("kind = 'func'")
+    taken = named.filter((F.col("opcode").isin(*CALLS, "phi") | (F.col("opcode") == "store") & (F.col("idx") == STORED)) & ~is_intrinsic(F.col("target")))
+    return taken.select("module", F.col("func").alias("src"), F.col("target").alias("dst")).unionByName(loaded_calls(operands, instructions)).distinct()
+
+
+def loaded_calls(operands: DataFrame, instructions: DataFrame) -> DataFrame:
+    """module, src, dst: the function whose call gives the pointer of a load."""
+    used = _with_opcode(operands, instructions)
+    loads = used.filter("opcode = 'load' and idx = 0 and kind = 'local'").select("module", "func", F.col("target").alias("result"))
+    calls = used.filter(F.col("opcode").isin(*CALLS) & (F.col("idx") == 0) & (F.col("kind") == "func") & ~is_intrinsic(F.col("target")))
+    calls = calls.select("module", "func", F.col("seq").cast("string").alias("result"), F.col("target").alias("dst"))
+    return loads.join(calls, ["module", "func", "result"]).select("module", F.col("func").alias("src"), "dst").distinct()
+
+
+def used_functions(operands: DataFrame, constants: DataFrame, aliases: DataFrame, declared: DataFrame) -> DataFrame:
+    """func, name, file: functions that a function's operands refer to, also inside constants and aliases, with their files."""
+    found = resolve(operands.select("module", "func", "kind", "target"), constants, aliases).filter("kind = 'func'").filter(~is_intrinsic(F.col("target")))
+    return found.select("func", F.col("target").alias("name")).distinct().join(declared.select("name", "file").dropDuplicates(["name"]), "name", "left").select("func", "name", "file")
+
+
+def used_globals(operands: DataFrame, constants: DataFrame, aliases: DataFrame, types: DataFrame) -> DataFrame:
+    """func, name, c_type of the globals that a function's operands refer to. types: name, type (of the compiler)."""
+    found = resolve(operands.select("module", "func", "kind", "target"), constants, aliases).filter("kind = 'gv'").select("func", F.col("target").alias("name")).distinct()
+    return found.join(types.select("name", c_type(F.col("type")).alias("c_type")).dropDuplicates(["name"]), "name", "left").select("func", "name", "c_type")
+
+
+def _value(kind: Column, target: Column) -> Column:
+    """A name for a value of a module: locals belong to their function."""
+    own = F.when(kind == "local", F.concat_ws("\t", F.col("module"), F.col("func"), kind, target))
+    return F.coalesce(own, F.concat_ws("\t", F.col("module"), kind, target))
+
+
+def _result() -> Column:
+    return _value(F.lit("local"), F.col("seq").cast("string"))
+
+
+def taken_functions(operands: DataFrame, instructions: DataFrame, constants: DataFrame, aliases: DataFrame) -> DataFrame:
+    """module, src, value, func: addresses of functions that instructions take, the values that point at them, and in src
+    the function around.
+
+    A stored function is pointed at by the pointer; one that any other instruction but a call has among its operands, in
+    constants and aliases too, but not through a global, by that instruction's result.
+    """
+    used = _with_opcode(operands, instructions).withColumn("value", _value(F.col("kind"), F.col("target")))
+    stored = used.filter((F.col("opcode") == "store") & (F.col("idx") == STORED) & (F.col("kind") == "func")).select("module", "func", "seq", "target", "value")
+    into = used.filter((F.col("opcode") == "store") & (F.col("idx") == POINTER)).select("module", "func", "seq", F.col("value").alias("pointer"))
+    by_store = stored.join(into, ["module", "func", "seq"]).select("module", F.col("func").alias("src"), F.explode(F.array("value", "pointer")).alias("value"), F.col("target").alias("func"))
+    other = used.filter(~F.col("opcode").isin(*CALLS, "store")).withColumn("result", _result())
+    reached = resolve(other.select("module", "func", "result", "kind", "target"), constants, aliases).filter("kind = 'func'")
+    by_rest = reached.select("module", F.col("func").alias("src"), F.explode(F.array("result", F.concat_ws("\t", "module", "kind", "target"))).alias("value"), F.col("target").alias("func"))
+    return by_store.unionByName(by_rest).distinct()
+
+
+def copies(operands: DataFrame, instructions: DataFrame) -> DataFrame:
+    """src, dst of values: what is stored goes to the pointer, and a call's result to its pointer arguments (is_pointer)."""
+    used = _with_opcode(operands, instructions).withColumn("value", _value(F.col("kind"), F.col("target")))
+    value, into = (used.filter(f"opcode = 'store' and idx = {k}").select("module", "func", "seq", F.col("value").alias(n)) for k, n in ((STORED, "src"), (POINTER, "dst")))
+    stores = value.join(into, ["module", "func", "seq"]).select("src", "dst")
+    absorbed = used.filter(F.col("opcode").isin(*CALLS) & (F.col("idx") > 0) & F.col("is_pointer")).select(_result().alias("src"), F.col("value").alias("dst"))
+    return stores.unionByName(absorbed).distinct()
+
+
+def stored_global_edges(operands: DataFrame, instructions: DataFrame, aliases: DataFrame, pointing: DataFrame) -> DataFrame:
+    """global -> function of stores into a global, or into an alias of one, of values that may point at functions."""
+    used = _with_opcode(operands, instructions).filter("opcode = 'store'").withColumn("value", _value(F.col("kind"), F.col("target")))
+    into = used.filter(F.col("idx") == POINTER).select("module", "func", "seq", "kind", "target")
+    direct = into.filter("kind = 'gv'").select("module", "func", "seq", F.col("target").alias("gv"))
+    through = into.filter("kind = 'alias'").join(aliases.filter("kind = 'gv'").select("module", F.col("alias").alias("target"), F.col("target").alias("gv")), ["module", "target"]).select("module", "func", "seq", "gv")
+    stored = used.filter(F.col("idx") == STORED).select("module", "func", "seq", "value")
+    held = direct.unionByName(through).join(stored, ["module", "func", "seq"]).join(pointing.withColumnRenamed("func", "dst"), "value")
+    return held.select(F.concat(F.lit(GLOBAL_PREFIX), "gv").alias("src"), "dst").distinct()
+
+
+def program_edges(operands: DataFrame, instructions: DataFrame, constants: DataFrame, aliases: DataFrame) -> DataFrame:
+    """src, dst of all that instructions imply: calls direct and through values, functions that arguments may point at
+    from the callee, addresses taken, and stores into globals."""
+    taken = taken_functions(operands, instructions, constants, aliases)
+    pointing = points_to(copies(operands, instructions), taken.select("value", "func"))
+    used = _with_opcode(operands, instructions).filter(F.col("opcode").isin(*CALLS)).withColumn("value", _value(F.col("kind"), F.col("target")))
+    called = used.filter("idx = 0").select("module", "func", "seq", "kind", "target", "value")
+    known = called.filter("kind = 'func'").select("module", "func", "seq", F.col("target").alias("callee"))
+    unknown = called.filter("kind <> 'func'").join(pointing.withColumnRenamed("func", "callee"), "value").select("module", "func", "seq", "callee")
+    callees = known.unionByName(unknown).distinct()
+    passed = used.filter("idx > 0").select("module", "func", "seq", "value").join(pointing.withColumnRenamed("func", "passed"), "value")
+    through = callees.join(passed.select("module", "func", "seq", "passed"), ["module", "func", "seq"]).filter("callee <> passed").select(F.col("callee").alias("src"), F.col("passed").alias("dst"))
+    edges = callees.select(F.col("func").alias("src"), F.col("callee").alias("dst")).unionByName(through).unionByName(taken.select("src", F.col("func").alias("dst")))
+    return edges.unionByName(stored_global_edges(operands, instructions, aliases, pointing)).distinct()
 
 
 def initialiser_edges(initialisers: DataFrame, constants: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -55,9 +150,7 @@ def points_to(copies: DataFrame, taken: DataFrame) -> DataFrame:
 
     A single pass in instruction order finds a subset of this; the fix-point doesn't depend on any order.
     """
-    ways = closure(copies)
-    moved = taken.select(F.col("value").alias("src"), "func").join(ways, "src").select(F.col("dst").alias("value"), "func")
-    return taken.select("value", "func").unionByName(moved).distinct()
+    return spread(copies, taken.select(F.col("value").alias("node"), F.col("func").alias("value"))).select(F.col("node").alias("value"), F.col("value").alias("func"))
 
 
 def indirect_edges(calls: DataFrame, arguments: DataFrame, pointing: DataFrame) -> DataFrame:

@@ -1,13 +1,14 @@
 """Iterative operators: reachability in its variants, peeling, components, closures.
 
 Every operator takes an optional key column, so that all subsystems share the same rounds. Each has two ways. Where no
-key has more edges than SMALL_EDGES, which is counted first, a key's edges meet in one task and a linear-time
-algorithm runs over them; keys run in parallel. Beyond that, rounds of joins run over the distributed edges, several
-hops a round, with a checkpoint each.
+key has more edges than SMALL_EDGES, which is counted first, a key's edges and the nodes at their ends meet in one task
+and a linear-time algorithm runs over them; keys run in parallel, and nodes without edges stay where they are. Beyond
+that, rounds of joins run over the distributed edges, several hops a round, with a checkpoint each, until nothing is new.
 """
 
 from __future__ import annotations
 
+import functools
 from collections import defaultdict, deque
 from collections.abc import Callable
 
@@ -18,8 +19,7 @@ from pyspark.sql import functions as F
 #: About 100 MB of names in one task.
 SMALL_EDGES = 500_000
 HOPS = 3
-MOST_ROUNDS = 10_000
-#: Tasks that follow a small graph's sources.
+#: Tasks that follow a small graph's sources or values.
 PARTS = 16
 
 
@@ -60,6 +60,16 @@ def _local(edges: DataFrame, others: DataFrame, kernel: Callable, schema: str) -
     return edges.groupBy("key").cogroup(others.groupBy("key")).applyInPandas(run, schema)
 
 
+def _touched(edges: DataFrame, nodes: DataFrame, how: str) -> DataFrame:
+    """Rows of nodes (key, name, ...) whose node is at the end of an edge (left_semi) or of none (left_anti)."""
+    ends = edges.select("key", F.explode(F.array("src", "dst")).alias("name")).distinct()
+    return nodes.join(ends, ["key", "name"], how)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def _schema(edges: DataFrame, columns: str) -> str:
     return f"key {dict(edges.dtypes)['key']}, {columns}"
 
@@ -97,10 +107,11 @@ def reach(edges: DataFrame, seeds: DataFrame, key: str | None = None, through: D
                 at = new
             return list(found.items())
 
-        return _renamed(_local(e, s, walk, kinds), key)
+        return _renamed(_local(e, s.join(e.select("key", F.col("src").alias("name")).distinct(), ["key", "name"], "left_semi"), walk, kinds), key)
     e = e.persist()
-    frontier, found, depth = s, None, 0
-    for _ in range(MOST_ROUNDS):
+    frontier, depth = s, 0
+    found: list[DataFrame] = []
+    while True:
         hops = None
         for _ in range(HOPS):
             if most_depth is not None and depth == most_depth:
@@ -112,16 +123,14 @@ def reach(edges: DataFrame, seeds: DataFrame, key: str | None = None, through: D
         if hops is None:
             break
         new = hops.groupBy("key", "name").agg(F.min("depth").alias("depth"))
-        new = _checkpoint(new if found is None else new.join(found, ["key", "name"], "left_anti"))
+        new = _checkpoint(new.join(_union(found), ["key", "name"], "left_anti") if found else new)
         if new.isEmpty():
             break
-        found = _checkpoint(new if found is None else found.unionByName(new))
+        found.append(new)
         frontier = new.filter(F.col("depth") == depth).select("key", "name")
         # Nodes found at an earlier hop of this round have been followed already, but for the last hop's.
-    else:
-        raise RuntimeError("paths are too long")
     e.unpersist()
-    return _renamed(found if found is not None else s.limit(0).withColumn("depth", F.lit(0)), key)
+    return _renamed(_union(found) if found else s.limit(0).withColumn("depth", F.lit(0)), key)
 
 
 def peel(edges: DataFrame, nodes: DataFrame, keep: DataFrame | None = None, key: str | None = None, small_edges: int = SMALL_EDGES) -> DataFrame:
@@ -151,18 +160,18 @@ def peel(edges: DataFrame, nodes: DataFrame, keep: DataFrame | None = None, key:
                         at.append(b)
             return out
 
-        return _renamed(_local(e, n, kahn, _schema(e, "name string")), key)
-    gone, left = None, n.persist()
-    for _ in range(MOST_ROUNDS):
+        alone = _touched(e, n, "left_anti").filter("not fixed").select("key", "name")
+        return _renamed(_local(e, _touched(e, n, "left_semi"), kahn, _schema(e, "name string")).unionByName(alone), key)
+    gone: list[DataFrame] = []
+    left = n.persist()
+    while True:
         free = _checkpoint(left.filter("not fixed").select("key", "name").join(e.select("key", F.col("dst").alias("name")), ["key", "name"], "left_anti"))
         if free.isEmpty():
             break
-        gone = free if gone is None else _checkpoint(gone.unionByName(free))
+        gone.append(free)
         left = _checkpoint(left.join(free, ["key", "name"], "left_anti"))
         e = _checkpoint(e.join(free.select("key", F.col("name").alias("src")), ["key", "src"], "left_anti"))
-    else:
-        raise RuntimeError("chains are too long")
-    return _renamed(gone if gone is not None else n.select("key", "name").limit(0), key)
+    return _renamed(_union(gone) if gone else n.select("key", "name").limit(0), key)
 
 
 def components(edges: DataFrame, nodes: DataFrame, key: str | None = None, small_edges: int = SMALL_EDGES) -> DataFrame:
@@ -188,10 +197,11 @@ def components(edges: DataFrame, nodes: DataFrame, key: str | None = None, small
                     root[y] = x
             return [(a, find(a)) for a in o["name"]]
 
-        return _renamed(_local(e, n, union_find, _schema(e, "name string, component string")), key)
+        alone = _touched(e, n, "left_anti").withColumn("component", F.col("name"))
+        return _renamed(_local(e, _touched(e, n, "left_semi"), union_find, _schema(e, "name string, component string")).unionByName(alone), key)
     both = e.unionByName(e.select("key", F.col("dst").alias("src"), F.col("src").alias("dst"))).filter("src <> dst").distinct().persist()
     labels = n.withColumn("component", F.col("name"))
-    for _ in range(MOST_ROUNDS):
+    while True:
         near = both.join(labels.select("key", F.col("name").alias("dst"), "component"), ["key", "dst"]).groupBy("key", F.col("src").alias("name")).agg(F.min("component").alias("near"))
         lower = labels.join(near, ["key", "name"], "left").select("key", "name", F.least("component", F.coalesce("near", "component")).alias("low"), F.col("component").alias("old"))
         # Pointer jumping: a label's own label is as good.
@@ -200,7 +210,6 @@ def components(edges: DataFrame, nodes: DataFrame, key: str | None = None, small
         labels = stepped.drop("old")
         if stepped.filter("component <> old").isEmpty():
             return _renamed(labels.select("key", "name", "component"), key)
-    raise RuntimeError("components did not settle")
 
 
 def closure(edges: DataFrame, small_edges: int = SMALL_EDGES) -> DataFrame:
@@ -228,13 +237,48 @@ def closure(edges: DataFrame, small_edges: int = SMALL_EDGES) -> DataFrame:
         copies = e.withColumn("key", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
         return _local(copies, sources, follow, "key int, src string, dst string").drop("key")
     paths = _checkpoint(e)
-    for _ in range(MOST_ROUNDS):
+    while True:
         longer = paths.join(paths.select(F.col("src").alias("dst"), F.col("dst").alias("end")), "dst").select("src", F.col("end").alias("dst"))
         after = _checkpoint(paths.unionByName(longer).distinct())
         if after.count() == paths.count():
             return after
         paths = after
-    raise RuntimeError("paths are too long")
+
+
+def spread(edges: DataFrame, held: DataFrame, small_edges: int = SMALL_EDGES) -> DataFrame:
+    """node, value: what nodes hold (node, value) and what flows to them along edges (src, dst), strings all.
+
+    No pairs of nodes are made: rows are those of the result. Few edges go to PARTS tasks whole, each following the
+    nodes of a part of the values; with more, what is new is joined on round by round.
+    """
+    e = edges.select("src", "dst").filter("src <> dst").distinct()
+    own = held.select("node", "value").distinct()
+    if is_small(e.withColumn("key", F.lit(0)), small_edges):
+
+        def follow(after, o):
+            rows = []
+            for value, nodes in o.groupby("value")["name"]:
+                found, at = set(nodes), list(nodes)
+                while at:
+                    new = [b for b in after.get(at.pop(), ()) if b not in found]
+                    found.update(new)
+                    at += new
+                rows += [(node, value) for node in found]
+            return rows
+
+        rows = own.select(F.pmod(F.xxhash64("value"), F.lit(PARTS)).cast("int").alias("key"), F.col("node").alias("name"), "value")
+        copies = e.withColumn("key", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        moving = rows.join(e.select(F.col("src").alias("name")).distinct(), "name", "left_semi").select("key", "name", "value")
+        return own.unionByName(_local(copies, moving, follow, "key int, node string, value string").drop("key")).distinct()
+    e = e.persist()
+    found = [_checkpoint(own)]
+    while True:
+        step = found[-1].withColumnRenamed("node", "src").join(e, "src").select(F.col("dst").alias("node"), "value").distinct()
+        new = _checkpoint(step.join(_union(found), ["node", "value"], "left_anti"))
+        if new.isEmpty():
+            e.unpersist()
+            return _union(found)
+        found.append(new)
 
 
 def acyclic_closure(inner: DataFrame, direct: DataFrame) -> DataFrame:
@@ -246,10 +290,8 @@ def acyclic_closure(inner: DataFrame, direct: DataFrame) -> DataFrame:
     every = e.select(F.explode(F.array("src", "dst")).alias("name")).distinct()
     settled = peel(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), every)
     open_ = e.join(settled.select(F.col("name").alias("src")), "src", "left_semi")
-    ways = closure(open_)
-    own = direct.select("key", "value").distinct()
-    inherited = ways.select(F.col("src").alias("key"), F.col("dst").alias("via")).join(own.withColumnRenamed("key", "via"), "via").select("key", "value")
-    return own.unionByName(inherited).distinct()
+    back = open_.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return spread(back, direct.select(F.col("key").alias("node"), "value")).select(F.col("node").alias("key"), "value")
 
 
 def expand_inline(edges: DataFrame, start: DataFrame, inline: DataFrame, stop: DataFrame, small_edges: int = SMALL_EDGES) -> DataFrame:

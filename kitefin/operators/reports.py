@@ -26,6 +26,22 @@ def all_zero_subsystems(summaries: DataFrame) -> DataFrame:
     return summaries.filter(all_zero(*map(F.col, COUNTS))).select("subsystem")
 
 
+def completed(summaries: DataFrame, subsystems: DataFrame) -> DataFrame:
+    """summaries with a row of zeros for each subsystem that has none."""
+    every = subsystems.select("subsystem").distinct().join(summaries, "subsystem", "left")
+    return every.select("subsystem", *(F.coalesce(c, F.lit(0)).alias(c) for c in COUNTS))
+
+
+def functions_by_file(located: DataFrame) -> DataFrame:
+    """real_file, functions: (start_loc, name) of each file's functions, from the last up."""
+    return located.groupBy("real_file").agg(F.sort_array(F.collect_list(F.struct("start_loc", "name")), False).alias("functions"))
+
+
+def files_of(names: DataFrame, declared: DataFrame) -> DataFrame:
+    """names (name, ...) with the file that declares each; null where none is known. declared: name, file."""
+    return names.join(declared.select("name", "file").dropDuplicates(["name"]), "name", "left")
+
+
 def rank_components(members: DataFrame, *keys: str) -> DataFrame:
     """Members with `rank`: components by size, largest first, then by least name, from 0; [keys...,] name, component."""
     sizes = members.groupBy(*keys, "component").agg(F.count("*").alias("size"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import include_guard, rename_word
+from ..sources.text_lines import covered, line_slice
 
 
 def renumber(placed: DataFrame) -> DataFrame:
@@ -46,18 +47,12 @@ def append(lines: DataFrame, text: str) -> DataFrame:
     return insert(lines, at.select("file", "place", F.lit(0).alias("part"), F.lit(text).alias("text")))
 
 
-def _in_ranges(lines: DataFrame, ranges: DataFrame) -> DataFrame:
-    r = ranges.select(F.col("file").alias("_file"), "start", "end")
-    on = (F.col("file") == F.col("_file")) & F.col("line_no").between(F.col("start"), F.col("end"))
-    return lines.join(r, on, "left_semi").select("file", "line_no")
-
-
 def delete_ranges(lines: DataFrame, ranges: DataFrame) -> DataFrame:
-    return renumber(_placed(lines.join(_in_ranges(lines, ranges), ["file", "line_no"], "left_anti")))
+    return renumber(_placed(lines.join(covered(lines, ranges).select("file", "line_no"), ["file", "line_no"], "left_anti")))
 
 
 def blank_ranges(lines: DataFrame, ranges: DataFrame) -> DataFrame:
-    gone = _in_ranges(lines, ranges).distinct().withColumn("_gone", F.lit(True))
+    gone = covered(lines, ranges).select("file", "line_no").distinct().withColumn("_gone", F.lit(True))
     return lines.join(gone, ["file", "line_no"], "left").select("file", "line_no", F.when(F.col("_gone"), "").otherwise(F.col("text")).alias("text"))
 
 
@@ -76,8 +71,7 @@ def rename(lines: DataFrame, old: str, new: str) -> DataFrame:
 
 def move_bodies(lines: DataFrame, spans: DataFrame) -> DataFrame:
     """Function bodies (file, start, end) moved to `<file>_code.c`, after what it has; the old places are blank."""
-    r = spans.select(F.col("file").alias("_file"), "start", "end")
-    body = lines.join(r, (F.col("file") == F.col("_file")) & F.col("line_no").between(F.col("start"), F.col("end")))
+    body = line_slice(lines, spans.select("file", "start", "end"))
     target = F.concat(F.regexp_replace("file", r"\.c$", ""), F.lit("_code.c"))
     moved = renumber(body.select(target.alias("file"), F.col("start").cast("double").alias("place"), F.col("line_no").alias("part"), "text"))
     return blank_ranges(lines, spans).unionByName(moved)
@@ -105,6 +99,21 @@ def symbol_rows(used: DataFrame, macro: str) -> DataFrame:
     return used.select("name", F.format_string(macro + "(%s)", F.col("name")).alias("text"))
 
 
+def export_macros(lines: DataFrame, wanted: DataFrame, header: str = "linux/export.h") -> DataFrame:
+    """lines with the header's include and `EXPORT_SYMBOL(name);` for each wanted row (file, name) at the files' ends.
+
+    What a file has already is not added again; the include comes before the macros, macros by name.
+    """
+    include = f"#include <{header}>"
+    row = F.concat(F.lit("EXPORT_SYMBOL("), "name", F.lit(");"))
+    new = wanted.select("file", row.alias("text"), F.lit(1).alias("rank")).unionByName(wanted.select("file", F.lit(include).alias("text"), F.lit(0).alias("rank"))).distinct()
+    held = lines.select("file", F.explode(F.array(F.regexp_extract("text", r"(EXPORT_SYMBOL\(\w+\);)", 1), F.when(F.contains("text", F.lit(include)), F.lit(include)))).alias("text")).filter("text <> ''").distinct()
+    lacking = new.join(held, ["file", "text"], "left_anti")
+    ends = lines.groupBy("file").agg((F.max("line_no") + 0.5).alias("place"))
+    part = F.row_number().over(Window.partitionBy("file").orderBy("rank", "text"))
+    return insert(lines, lacking.join(ends, "file").select("file", "place", part.alias("part"), "text"))
+
+
 def module_include(lines: DataFrame, touched: DataFrame, header: str = "linux/module.h") -> DataFrame:
     """`#include` of the header before the first include of touched files that lack it."""
     wanted = f"#include <{header}>"
@@ -115,7 +124,6 @@ def module_include(lines: DataFrame, touched: DataFrame, header: str = "linux/mo
 
 def inline_bodies(lines: DataFrame, spans: DataFrame) -> DataFrame:
     """Texts of inline functions (file, name, start, end) outside headers."""
-    kept = spans.filter(~F.col("file").endswith(".h")).select(F.col("file").alias("_file"), "name", "start", "end")
-    rows = lines.join(kept, (F.col("file") == F.col("_file")) & F.col("line_no").between(F.col("start"), F.col("end")))
+    rows = line_slice(lines, spans.filter(~F.col("file").endswith(".h")).select("file", "name", "start", "end"))
     body: Column = F.array_sort(F.collect_list(F.struct("line_no", "text")))
     return rows.groupBy("file", "name").agg(body.alias("rows")).select("file", "name", F.array_join(F.transform("rows", lambda r: r["text"]), "\n").alias("body"))

@@ -164,7 +164,7 @@ def module_files(spark, sf):
 def debug_locations(spark, sf):
     i = F.col("id")
     text = F.explode(F.array(F.concat(F.lit("define i32 @"), "name", F.lit("(i32 %0) "), F.when(i % 3 > 0, F.concat(F.lit("!dbg !"), (i * 2).cast("string"))).otherwise(""), F.lit(" {")), F.concat(F.lit("!"), (i * 2).cast("string"), F.lit(" = distinct !DISubprogram(name: "), "name", F.lit(", file: !"), (i * 2 + 1).cast("string"), F.lit(", line: "), F.col("size").cast("string"), F.lit(", scope: !1)")), F.concat(F.lit("!"), (i * 2 + 1).cast("string"), F.lit(' = !DIFile(filename: "'), F.substring(F.col("file"), 2, 100), F.lit('.c", directory: "/home/x/Kernel_src")'))))
-    return graphs.debug_locations(D.nodes(spark, sf).select(F.lit("m").alias("file"), F.lit(0).alias("line_no"), text.alias("text")), "Kernel_src")
+    return graphs.debug_locations(D.nodes(spark, sf).select(F.lit("m").alias("file"), F.lit(0).alias("line_no"), text.alias("text")), "Kernel_src").drop("module")
 
 
 # Names
@@ -440,16 +440,10 @@ def summary_total(spark, sf):
     return reports.total(summary_counts(spark, sf))
 
 
-def _advice_counts(spark, sf):
-    """Advice by brand directory, with directories that have nothing to move."""
-    every = _typed(spark, sf).select(F.explode(N.path_prefixes(F.col("file"))).alias("subsystem"), "type")
-    kept = F.col("type").isin(*A.KEPT)
-    return every.groupBy("subsystem").agg(*(F.count_if(kept & (F.lit(k) == 0)).alias(c) if k else F.count_if(kept & (F.col("type") != "PLAIN")).alias(c) for k, c in enumerate(reports.COUNTS)))
-
-
-@query(with_("n", "l", "t") + "SELECT subsystem FROM (SELECT unnest(['/' || split_part(file, '/', 2), '/' || split_part(file, '/', 2) || '/' || split_part(file, '/', 3)]) AS subsystem, type FROM t) GROUP BY 1 HAVING count(*) FILTER (type = 'VIRTUAL_STRUCTS_REACH_TOP') = 0")
+@query(with_("n", "e", "l", "t", _ALL_ADVICE, recursive=True) + "SELECT subsystem FROM (SELECT DISTINCT unnest(['/' || split_part(file, '/', 2), '/' || split_part(file, '/', 2) || '/' || split_part(file, '/', 3)]) AS subsystem FROM n) WHERE subsystem NOT IN (SELECT subsystem FROM av)")
 def zero_modules(spark, sf):
-    return reports.all_zero_subsystems(_advice_counts(spark, sf))
+    every = D.nodes(spark, sf).select(F.explode(N.path_prefixes(F.col("file"))).alias("subsystem"))
+    return reports.all_zero_subsystems(reports.completed(summary_counts(spark, sf), every))
 
 
 _MEMBERS = "k(name, other) AS (SELECT name, name FROM n UNION SELECT k.name, j.y FROM k JOIN (SELECT src AS x, dst AS y FROM e UNION SELECT dst, src FROM e) AS j ON j.x = k.other), m AS (SELECT name, min(other) AS component FROM k GROUP BY name)"
@@ -471,15 +465,9 @@ def inline_expand(spark, sf):
     return iterate.expand_inline(D.edges(spark, sf), start, _label(spark, sf, "INLINE"), _label(spark, sf, "EXPORT"))
 
 
-@query(with_("n", "e", "c(src, dst) AS (SELECT src, dst FROM e WHERE src < dst AND CAST(substr(src, 2) AS BIGINT) % 2 = 0 UNION SELECT c.src, e.dst FROM c JOIN e ON c.dst = e.src WHERE e.src < e.dst AND CAST(substr(e.src, 2) AS BIGINT) % 2 = 0)", recursive=True) + "SELECT src, dst FROM c")
-def transitive_closure(spark, sf):
-    even = F.substring(F.col("src"), 2, 20).cast("long") % 2 == 0
-    return iterate.closure(D.edges(spark, sf).filter((F.col("src") < F.col("dst")) & even))
-
-
 @query(with_("n", "e", "c(src, dst) AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM c JOIN e ON c.dst = e.src)", recursive=True) + "SELECT src, dst FROM c")
-def transitive_closure_whole(spark, sf):
-    """All paths of graph A, through cycles too; transitive_closure is held to a part of the edges by its SQL."""
+def transitive_closure(spark, sf):
+    """All paths of graph A, through cycles too."""
     return iterate.closure(D.edges(spark, sf))
 
 
@@ -507,10 +495,16 @@ def unlocated_functions(spark, sf):
 
 @query(with_("n") + "SELECT file AS real_file, count(*) AS n, max(size) AS last FROM n WHERE id % 9 > 0 GROUP BY 1")
 def functions_by_file(spark, sf):
-    grouped = _locations(spark, sf).groupBy("real_file").agg(F.sort_array(F.collect_list(F.struct("start_loc", "name")), False).alias("functions"))
+    grouped = reports.functions_by_file(_locations(spark, sf))
     return grouped.select("real_file", F.size("functions").cast("long").alias("n"), F.col("functions")[0]["start_loc"].alias("last"))
 
 
+@query(with_("n", "e") + "SELECT src, dst, file FROM e LEFT JOIN (SELECT name, file FROM n WHERE id % 9 > 0) ON name = dst")
+def files_of_callees(spark, sf):
+    declared = D.nodes(spark, sf).filter("id % 9 > 0")
+    return reports.files_of(D.edges(spark, sf).select("src", F.col("dst").alias("name")), declared).select("src", F.col("name").alias("dst"), "file")
+
+
 @query(with_("n") + "SELECT CASE WHEN size % 3 = 0 THEN 'NORMAL' ELSE 'INTERFACE' END AS handle_way, count(*) FILTER (id % 4 > 0) AS handled FROM n GROUP BY 1")
 def handle_counts(spark, sf):
     said = F.when(F.col("size") % 3 == 0, "NORMAL").when(F.col("size") % 3 == 1, "INTERFACE").otherwise("DELETE")
@@ -548,21 +542,36 @@ def _code(spark, sf):
     return D.lines(spark, sf).withColumn("text", F.translate("text", "io", "{}"))
 
 
-_BRACES = "x AS (SELECT file, line_no, translate(text, 'io', '{}') AS text FROM d), w AS (SELECT *, len(text) - len(replace(text, '{', '')) - len(text) + len(replace(text, '}', '')) AS change, max(CASE WHEN contains(text, '{') THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY line_no) = 1 AS opened FROM x WHERE line_no >= 2), y AS (SELECT *, sum(CASE WHEN opened THEN change ELSE 0 END) OVER (PARTITION BY file ORDER BY line_no) AS level FROM w)"
+_BRACES = "x AS (SELECT file, line_no, translate(text, 'io', '{}') AS text FROM d), w AS (SELECT s.line_no AS start, x.*, len(x.text) - len(replace(x.text, '{', '')) - len(x.text) + len(replace(x.text, '}', '')) AS change, max(CASE WHEN contains(x.text, '{') THEN 1 ELSE 0 END) OVER (PARTITION BY file, s.line_no ORDER BY x.line_no) = 1 AS opened FROM x JOIN (SELECT file, line_no FROM x) AS s USING (file) WHERE x.line_no >= s.line_no), y AS (SELECT *, sum(CASE WHEN opened THEN change ELSE 0 END) OVER (PARTITION BY file, start ORDER BY line_no) AS level FROM w)"
 
 
-@query(with_("d", _BRACES) + "SELECT file, CAST(2 AS BIGINT) AS start, coalesce(min(line_no) FILTER (opened AND level <= 0), 2) AS \"end\" FROM (SELECT DISTINCT file FROM d) LEFT JOIN y USING (file) GROUP BY file")
+@query(with_("d", _BRACES) + "SELECT file, start, coalesce(min(line_no) FILTER (opened AND level <= 0), start) AS \"end\" FROM y GROUP BY file, start")
 def brace_span(spark, sf):
+    """Every line as a start."""
     code = _code(spark, sf)
-    starts = code.select("file").distinct().withColumn("start", F.lit(2))
-    return text_lines.brace_spans(code, starts).select("file", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    return text_lines.brace_spans(code, code.select("file", F.col("line_no").alias("start"))).select("file", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
 
 
-@query(with_("d") + r"SELECT file, CAST(1 AS BIGINT) AS start, CAST(1 - CASE WHEN regexp_matches(split_part(text, ' ', 1), '^\S*\s*$') THEN 1 ELSE 0 END AS BIGINT) AS first FROM (SELECT file, line_no, text FROM d WHERE line_no = 1)")
+@query(with_("d") + r"SELECT file, line_no AS start, line_no - CASE WHEN regexp_matches(split_part(text, ' ', 1), '^\S*\s*$') THEN 1 ELSE 0 END AS first FROM d")
 def return_type_line(spark, sf):
+    """Every line as a start."""
     code = D.lines(spark, sf).withColumn("text", F.regexp_replace(F.col("text"), " .*", "("))
-    starts = code.select("file").distinct().withColumn("start", F.lit(1))
-    return text_lines.return_type_line(code, starts).select("file", F.col("start").cast("long").alias("start"), F.col("first").cast("long").alias("first"))
+    return text_lines.return_type_line(code, code.select("file", F.col("line_no").alias("start"))).select("file", F.col("start").cast("long").alias("start"), F.col("first").cast("long").alias("first"))
+
+
+@query(with_("d") + r"SELECT file, line_no, trim(text) AS text FROM (SELECT file, line_no, replace(text, 'A ', '#define A ') AS text FROM d) WHERE starts_with(ltrim(text, ' '), '#define')")
+def macro_scan(spark, sf):
+    lines = D.lines(spark, sf).withColumn("text", F.replace(F.col("text"), F.lit("A "), F.lit("#define A ")))
+    return text_lines.macros(lines).select("file", F.col("line_no").cast("long").alias("line_no"), "text")
+
+
+@query(with_("d", "x AS (SELECT file, line_no * 3 AS line_no, regexp_extract(text, '^(\\w+)', 1) AS name FROM d)") + "SELECT file, name, line_no AS start, line_no + 2 AS \"end\" FROM x WHERE name <> ''")
+def struct_scan(spark, sf):
+    """Each line's first word as a struct of three lines."""
+    name = F.regexp_extract("text", r"^([A-Za-z0-9_]+)", 1)
+    made = D.lines(spark, sf).select("file", "line_no", F.posexplode(F.array(F.concat(F.lit("struct "), name, F.lit(" {")), F.lit(" int a;"), F.lit("};"))).alias("k", "text"))
+    found = text_lines.struct_definitions(made.select("file", (F.col("line_no") * 3 + F.col("k")).cast("int").alias("line_no"), "text"))
+    return found.select("file", "name", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
 
 
 @query(with_("d") + "SELECT file, line_no, text FROM d WHERE line_no BETWEEN 2 AND 2 + CAST(substr(file, 2) AS BIGINT) % 5")
@@ -664,14 +673,8 @@ def move_bodies(spark, sf):
     return rewrite.move_bodies(D.lines(spark, sf), _spans(spark, sf)).withColumn("line_no", F.col("line_no").cast("long"))
 
 
-@query(with_("d", "g AS (SELECT unnest(range(1, 10001)) AS line_no)") + "SELECT file, line_no, CASE WHEN file = 'd3' AND line_no = 10000 THEN 'x' ELSE text END AS text FROM d WHERE file IN ('d3', 'd4') UNION ALL SELECT 'd3', line_no, CASE WHEN line_no = 10000 THEN 'x' ELSE '' END FROM g WHERE line_no > (SELECT max(line_no) FROM d WHERE file = 'd3')")
-def replace_line(spark, sf):
-    return rewrite.replace_line(D.lines(spark, sf).filter("file in ('d3', 'd4')"), "d3", 10_000, "x").withColumn("line_no", F.col("line_no").cast("long"))
-
-
 @query(with_("d", "g AS (SELECT unnest(range(1, 10001)) AS line_no)") + "SELECT file, line_no, CASE WHEN file = 'd3' AND line_no = 10000 THEN 'x' ELSE text END AS text FROM d UNION ALL SELECT 'd3', line_no, CASE WHEN line_no = 10000 THEN 'x' ELSE '' END FROM g WHERE line_no > (SELECT max(line_no) FROM d WHERE file = 'd3')")
-def replace_line_whole(spark, sf):
-    """The lines of all documents with one line set; replace_line is held to two documents by its SQL."""
+def replace_line(spark, sf):
     return rewrite.replace_line(D.lines(spark, sf), "d3", 10_000, "x").withColumn("line_no", F.col("line_no").cast("long"))
 
 
@@ -708,7 +711,7 @@ def _facts(spark, sf):
     target = F.when(F.col("l_linenumber") == 1, part).when(F.col("l_linenumber") == 2, F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))).otherwise(F.concat(F.lit("c"), (F.col("l_partkey") % 40).cast("string")))
     operands = items.select(module.alias("module"), D.part_name(F.col("l_orderkey") % 100).alias("func"), F.col("l_orderkey").alias("seq"), F.col("l_linenumber").alias("idx"), kind.alias("kind"), target.alias("target"))
     n = spark.range(50).select(F.concat(F.lit("m/"), F.col("id").cast("string"), F.lit("-x.c")).alias("module"))
-    c = n.join(spark.range(40).select(F.col("id").alias("k")), F.lit(True))
+    c = n.select("module", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("k"))
     constants = c.select("module", F.concat(F.lit("c"), F.col("k").cast("string")).alias("id"), F.when(F.col("k") % 2 == 0, "const").otherwise("func").alias("kind"), F.when(F.col("k") % 2 == 0, F.concat(F.lit("c"), (F.col("k") + 1).cast("string"))).otherwise(D.part_name(F.col("k"))).alias("target"))
     return operands, constants
 
@@ -736,10 +739,10 @@ def ir_global_edges(spark, sf):
     return facts.global_edges(operands, operands.select("module", F.col("func").alias("gv"), "kind", "target"), constants, spark.createDataFrame([], _NO_ALIAS))
 
 
-@query(with_("n", "e", "q AS (SELECT name AS value, 'f' || id AS func FROM n WHERE size = 1)", "r(value, func) AS (SELECT value, func FROM q UNION SELECT dst, func FROM r JOIN e ON src = value WHERE src < dst)", recursive=True) + "SELECT value, func FROM r")
+@query(with_("n", "e", "q AS (SELECT name AS value, 'f' || id AS func FROM n WHERE size = 1)", "r(value, func) AS (SELECT value, func FROM q UNION SELECT dst, func FROM r JOIN e ON src = value)", recursive=True) + "SELECT value, func FROM r")
 def ir_points_to(spark, sf):
     taken = D.nodes(spark, sf).filter("size = 1").select(F.col("name").alias("value"), F.concat(F.lit("f"), F.col("id").cast("string")).alias("func"))
-    return facts.points_to(D.edges(spark, sf).filter("src < dst"), taken)
+    return facts.points_to(D.edges(spark, sf), taken)
 
 
 @query(with_("n", "e", "q AS (SELECT name AS value, 'f' || (id % 20) AS func FROM n)") + "SELECT e.src, q.func AS dst FROM e JOIN q ON q.value = e.dst UNION SELECT q.func, p.func FROM e JOIN q ON q.value = e.dst JOIN q AS p ON p.value = e.src")
@@ -755,3 +758,76 @@ def ir_adjacency_text(spark, sf):
     return facts.adjacency_text(functions, D.edges(spark, sf).withColumn("module", F.lit("m")))
 
 
+@query(with_("o", "i", "u", "l AS (SELECT module, func, target AS result FROM u WHERE opcode = 'load' AND idx = 0 AND kind = 'local')") + "SELECT module, func AS src, target AS dst FROM u WHERE kind = 'func' AND (opcode IN ('call', 'invoke', 'phi') OR opcode = 'store' AND idx = 0) UNION SELECT l.module, l.func, u.target FROM l JOIN u ON u.module = l.module AND u.func = l.func AND CAST(u.seq AS VARCHAR) = result AND opcode IN ('call', 'invoke') AND idx = 0 AND kind = 'func'")
+def ir_program_calls(spark, sf):
+    """Calls, functions stored, merged or passed, and calls whose result is loaded."""
+    operands, instructions, _, _ = D.program(spark, sf)
+    return facts.call_edges(operands, instructions)
+
+
+@query(with_("o", "x", "z AS (SELECT func, coalesce(x.kind, o.kind) AS kind, coalesce(x.target, o.target) AS name FROM o LEFT JOIN x ON node = o.target AND o.kind IN ('const', 'alias'))") + "SELECT DISTINCT func, name, CASE WHEN CAST(substr(name, 2) AS BIGINT) % 3 > 0 THEN 'src/' || name || '.c' END AS file FROM z WHERE kind = 'func'")
+def ir_used_functions(spark, sf):
+    operands, _, constants, aliases = D.program(spark, sf)
+    declared = spark.range(200).filter("id % 3 > 0").select(F.concat(F.lit("g"), F.col("id").cast("string")).alias("name")).withColumn("file", F.concat(F.lit("src/"), "name", F.lit(".c")))
+    return facts.used_functions(operands, constants, aliases, declared)
+
+
+@query(with_("o", "x", "z AS (SELECT func, coalesce(x.kind, o.kind) AS kind, coalesce(x.target, o.target) AS name FROM o LEFT JOIN x ON node = o.target AND o.kind IN ('const', 'alias'))") + "SELECT DISTINCT func, name, CASE CAST(substr(name, 2) AS BIGINT) % 3 WHEN 0 THEN 'int []' WHEN 1 THEN 'struct ' || name || ' *' ELSE 'char' END AS c_type FROM z JOIN supplier ON s_suppkey = CAST(substr(name, 2) AS BIGINT) WHERE kind = 'gv' UNION SELECT DISTINCT func, name, NULL FROM z WHERE kind = 'gv' AND CAST(substr(name, 2) AS BIGINT) NOT IN (SELECT s_suppkey FROM supplier)")
+def ir_used_globals(spark, sf):
+    operands, _, constants, aliases = D.program(spark, sf)
+    k, name = F.col("s_suppkey"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))
+    types = D.table(spark, sf, "supplier").select(name.alias("name"), F.when(k % 3 == 0, "[4 x i32]").when(k % 3 == 1, F.concat(F.lit("%struct."), name, F.lit("*"))).otherwise("i8").alias("type"))
+    return facts.used_globals(operands, constants, aliases, types)
+
+
+_VALUE = "CASE kind WHEN 'local' THEN module || chr(9) || func || chr(9) || kind || chr(9) || target ELSE module || chr(9) || kind || chr(9) || target END"
+_RESULT = "module || chr(9) || func || chr(9) || 'local' || chr(9) || seq"
+_POINTING = (
+    f"w AS (SELECT *, {_VALUE} AS value, {_RESULT} AS result FROM u)",
+    "st AS (SELECT a.module, a.func, a.kind, a.target, a.value, b.value AS pointer, b.kind AS p_kind, b.target AS p_target FROM w AS a JOIN w AS b ON a.module = b.module AND a.func = b.func AND a.seq = b.seq WHERE a.opcode = 'store' AND a.idx = 0 AND b.idx = 1)",
+    f"tk AS (SELECT func AS src, unnest([value, pointer]) AS value, target AS f FROM st WHERE kind = 'func' UNION SELECT func, unnest([{_RESULT}, module || chr(9) || 'func' || chr(9) || leaf_target]), leaf_target FROM v WHERE opcode NOT IN ('call', 'invoke', 'store') AND leaf = 'func')",
+    "cp AS (SELECT value AS a, pointer AS b FROM st UNION SELECT result, value FROM w WHERE opcode IN ('call', 'invoke') AND idx > 0 AND is_pointer)",
+    "pt(value, f) AS (SELECT value, f FROM tk UNION SELECT b, f FROM pt JOIN cp ON a = value)",
+)
+
+
+@query(with_("o", "i", "x", "u", "v", *_POINTING, recursive=True) + "SELECT value, f AS func FROM pt")
+def ir_pointing_values(spark, sf):
+    """Addresses taken by stores and other instructions, through stores and into the pointer arguments of calls."""
+    operands, instructions, constants, aliases = D.program(spark, sf)
+    taken = facts.taken_functions(operands, instructions, constants, aliases)
+    return facts.points_to(facts.copies(operands, instructions), taken)
+
+
+@query(
+    with_("o", "i", "x", "u", "v", *_POINTING, "ce AS (SELECT module, func, seq, target AS callee FROM w WHERE opcode IN ('call', 'invoke') AND idx = 0 AND kind = 'func' UNION SELECT module, func, seq, f FROM w JOIN pt USING (value) WHERE opcode IN ('call', 'invoke') AND idx = 0 AND kind <> 'func')", "pa AS (SELECT module, func, seq, f AS passed FROM w JOIN pt USING (value) WHERE opcode IN ('call', 'invoke') AND idx > 0)", "ga AS (SELECT 'a' || k AS alias, 's' || k AS gv FROM (SELECT unnest(range(0, 30)) AS k) WHERE k % 3 = 2)", recursive=True)
+    + "SELECT func AS src, callee AS dst FROM ce UNION SELECT callee, passed FROM ce JOIN pa USING (module, func, seq) WHERE callee <> passed UNION SELECT src, f FROM tk UNION SELECT '__virtual__global__' || coalesce(gv, p_target), f FROM st JOIN pt USING (value) LEFT JOIN ga ON alias = p_target AND p_kind = 'alias' WHERE p_kind = 'gv' OR gv IS NOT NULL"
+)
+def ir_program_edges(spark, sf):
+    """All edges that the instructions imply."""
+    return facts.program_edges(*D.program(spark, sf))
+
+
+@query(with_("n") + "SELECT DISTINCT title AS name, file FROM n WHERE id % 4 > 0 AND size % 2 = 0")
+def global_locations(spark, sf):
+    n = D.nodes(spark, sf)
+    return graphs.global_locations(n.select(F.col("title").alias("name"), F.when(F.col("id") % 4 > 0, F.col("file")).alias("file"), (F.col("size") % 2 == 0).alias("has_initialiser")))
+
+
+@query(with_("n") + "SELECT brand AS func, arg_min(file, row(name, size, file)) AS file, arg_min(size, row(name, size, file)) AS line FROM n GROUP BY brand")
+def function_locations(spark, sf):
+    """The first of the places that a name is at."""
+    return graphs.function_locations(D.nodes(spark, sf).select(F.col("name").alias("module"), F.col("brand").alias("func"), "file", F.col("size").alias("line")))
+
+
+@query(with_("d", "w AS (SELECT DISTINCT file, 'g' || (CAST(substr(file, 2) AS BIGINT) % 7) AS name FROM d)", "p AS (SELECT file, line_no::DOUBLE AS place, 0 AS part, text FROM d UNION ALL SELECT file, max(line_no) + 0.5, 1, '#include <linux/export.h>' FROM d GROUP BY file UNION ALL SELECT w.file, max(line_no) + 0.5, 2, 'EXPORT_SYMBOL(' || name || ');' FROM d JOIN w USING (file) GROUP BY w.file, name)") + "SELECT file, row_number() OVER (PARTITION BY file ORDER BY place, part) AS line_no, text FROM p")
+def export_macros(spark, sf):
+    lines = D.lines(spark, sf)
+    wanted = lines.select("file").distinct().withColumn("name", F.concat(F.lit("g"), (F.substring(F.col("file"), 2, 20).cast("long") % 7).cast("string")))
+    return rewrite.export_macros(lines, wanted).withColumn("line_no", F.col("line_no").cast("long"))
+
+
+@query(with_("n", "l", "t") + "SELECT name, type FROM (SELECT name, CASE WHEN id % 6 = 0 THEN 'VIRTUAL' ELSE type END AS type FROM t JOIN n USING (name)) WHERE type <> 'VIRTUAL'")
+def drop_virtual(spark, sf):
+    typed = _typed(spark, sf).withColumn("type", F.when(F.substring(F.col("name"), 2, 20).cast("long") % 6 == 0, "VIRTUAL").otherwise(F.col("type")))
+    return graph.without_virtual(typed).select("name", "type")

@@ -91,4 +91,15 @@ def debug_locations(lines: DataFrame, root: str) -> DataFrame:
     files = metadata.select(F.col("file").alias("f_module"), F.col("id").alias("f_id"), F.regexp_extract("text", r'filename: "([^"]*)"', 1).alias("filename"), F.regexp_extract("text", r'directory: "([^"]*)"', 1).alias("directory"))
     joined = defines.join(program, (F.col("module") == F.col("p_module")) & (F.col("dbg") == F.col("p_id"))).join(files, (F.col("module") == F.col("f_module")) & (F.col("file_id") == F.col("f_id")))
     path = F.concat_ws("/", F.nullif("directory", F.lit("")), "filename")
-    return joined.select("func", F.substring_index(path, root, -1).alias("file"), "line")
+    return joined.select("module", "func", F.substring_index(path, root, -1).alias("file"), "line")
+
+
+def function_locations(located: DataFrame) -> DataFrame:
+    """func, file, line of each name's first location (module, func, file, line), by module, then line."""
+    first = located.groupBy("func").agg(F.min(F.struct("module", "line", "file")).alias("at"))
+    return first.select("func", "at.file", "at.line")
+
+
+def global_locations(facts: DataFrame) -> DataFrame:
+    """name, file of globals that have debug information and an initialiser, from facts (name, file, has_initialiser)."""
+    return facts.filter("file is not null and has_initialiser").select("name", "file").distinct()

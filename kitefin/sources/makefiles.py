@@ -44,7 +44,7 @@ def substitute(found: DataFrame) -> DataFrame:
     return direct.unionAll(found.filter("form = 'object_config'").select("dir", "config", "target"))
 
 
-def descend(rules: DataFrame, tops: DataFrame, most_depth: int = 32) -> DataFrame:
+def descend(rules: DataFrame, tops: DataFrame) -> DataFrame:
     """dir, config, file of all directories that can be reached from tops (dir): a target that ends in a slash leads on.
 
     A directory's core targets belong to the config under which it was entered.
@@ -52,7 +52,7 @@ def descend(rules: DataFrame, tops: DataFrame, most_depth: int = 32) -> DataFram
     rules = rules.select(F.col("dir").alias("r_dir"), F.col("config").alias("own"), "target").distinct().persist()
     frontier = tops.select("dir", F.lit(CORE).alias("entered")).distinct()
     levels, seen = [], frontier
-    for _ in range(most_depth):
+    while True:
         here = frontier.join(rules, F.col("dir") == F.col("r_dir")).select("dir", F.when(F.col("own") == CORE, F.col("entered")).otherwise(F.col("own")).alias("config"), "target").checkpoint()
         levels.append(here.filter(~F.col("target").endswith("/")))
         frontier = here.filter(F.col("target").endswith("/")).select(F.concat(F.regexp_replace("dir", "/+$", ""), F.lit("/"), F.regexp_replace("target", "/+$", "")).alias("dir"), F.col("config").alias("entered")).distinct()
@@ -60,8 +60,6 @@ def descend(rules: DataFrame, tops: DataFrame, most_depth: int = 32) -> DataFram
         if frontier.isEmpty():
             break
         seen = seen.unionAll(frontier).checkpoint()
-    else:
-        raise RuntimeError(f"directories are nested more than {most_depth} deep")
     out = levels[0]
     for x in levels[1:]:
         out = out.unionAll(x)

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import configparser
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graphs import render_dot
+from .text_lines import latest_modification
 
 
 def write_advice(advice: DataFrame, path: str) -> None:
@@ -33,6 +36,20 @@ def write_module_lists(summaries: DataFrame, zero: DataFrame, path: str) -> None
         rows.sort("subsystem").write.mode("overwrite").text(f"{path}/{name}")
 
 
+def reuse(spark: SparkSession, sources: str, path: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table at path, built and written anew if a file below sources has changed since, or if there is none yet."""
+    changed = latest_modification(spark, sources).first().latest
+    try:
+        written = latest_modification(spark, path).first().latest
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        written = None
+    if written is None or changed is not None and changed > written:
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def read_settings(path: str) -> dict[str, dict[str, str]]:
     parser = configparser.ConfigParser()
     parser.optionxform = str

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -23,10 +24,20 @@ def take_while(lines: DataFrame, holds: Column) -> DataFrame:
     return lines.withColumn("_broken", seen).filter("_broken = 0").drop("_broken")
 
 
+def covered(lines: DataFrame, ranges: DataFrame) -> DataFrame:
+    """One row for each line inside [start, end] of ranges (file, start, end, ...): line_no and the range's columns.
+
+    Ranges are cut to their file's lines before they are written out, so that joins with lines are on (file, line_no).
+    """
+    last = lines.groupBy(F.col("file").alias("_file")).agg(F.max("line_no").alias("_last"))
+    first, end = F.greatest("start", F.lit(1)).cast("int"), F.least("end", "_last").cast("int")
+    held = ranges.join(last, F.col("file") == F.col("_file")).withColumns({"_first": first, "_end": end}).filter("_first <= _end")
+    return held.select(*ranges.columns, F.explode(F.sequence("_first", "_end")).alias("line_no"))
+
+
 def line_slice(lines: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Lines inside [start, end] of ranges (file, start, end, ...); an equi join on the file, the range is checked after."""
-    r = ranges.withColumnRenamed("file", "_file")
-    return lines.join(r, (F.col("file") == F.col("_file")) & F.col("line_no").between(F.col("start"), F.col("end"))).drop("_file")
+    """Lines inside [start, end] of ranges (file, start, end, ...), with the range's columns."""
+    return lines.join(covered(lines, ranges), ["file", "line_no"])
 
 
 def continuation_groups(lines: DataFrame, mark: str = "\\") -> DataFrame:
@@ -60,16 +71,41 @@ def macros(lines: DataFrame) -> DataFrame:
     return continuation_groups(lines).filter(F.ltrim("text").startswith("#define")).select("file", "line_no", F.trim("text").alias("text"))
 
 
+def _spans(batches):
+    """Of lines in order and the starts among them: where the braces that open at or after a start balance.
+
+    Starts wait for an opening brace; then they are open until the level is back at what it was before that brace. Later
+    ones open at higher levels, so that a stack has them all and each line and each start is looked at once.
+    """
+    file, level = None, 0
+    waiting: list[int] = []
+    open_: list[tuple[int, int]] = []
+    for batch in batches:
+        out: list[tuple] = []
+        for f, number, start, change, opens in zip(*(batch.column(c).to_pylist() for c in ("file", "line_no", "start", "change", "opens"))):
+            if f != file:
+                file, level, waiting, open_ = f, 0, [], []
+            if start:
+                waiting.append(number)
+            if opens:
+                open_ += [(level, x) for x in waiting]
+                waiting = []
+            level += change
+            while open_ and open_[-1][0] >= level:
+                out.append((file, open_.pop()[1], number))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else ((), (), ()), (pa.string(), pa.int32(), pa.int32()))], names=["file", "start", "end"])
+
+
 def brace_spans(lines: DataFrame, starts: DataFrame) -> DataFrame:
-    """End of the braces that open at or after each start (file, start): the first line where they balance."""
-    named = starts.select(F.col("file").alias("_file"), "start")
-    rows = lines.join(named, (F.col("file") == F.col("_file")) & (F.col("line_no") >= F.col("start")))
+    """End of the braces that open at or after each start (file, start): the first line where they balance.
+
+    A file's lines pass through one task in order, once, however many starts it has; the task holds only open starts.
+    """
+    at = starts.select("file", F.col("start").cast("int").alias("line_no"), F.lit(True).alias("is_start")).distinct()
     change = F.regexp_count("text", F.lit(r"\{")) - F.regexp_count("text", F.lit(r"\}"))
-    order = Window.partitionBy("file", "start").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    opened = F.max(F.col("text").contains("{")).over(order)
-    # Braces before the first opening one don't count, so the running sum starts there.
-    run = rows.withColumn("opened", opened).withColumn("level", F.sum(F.when(F.col("opened"), change).otherwise(0)).over(order))
-    ends = run.filter("opened and level <= 0").groupBy("file", "start").agg(F.min("line_no").alias("end"))
+    marks = lines.select("file", F.col("line_no").cast("int").alias("line_no"), F.coalesce(change, F.lit(0)).alias("change"), F.coalesce(F.contains("text", F.lit("{")), F.lit(False)).alias("opens"))
+    rows = marks.join(at, ["file", "line_no"], "left").select("file", "line_no", F.coalesce("is_start", F.lit(False)).alias("start"), "change", "opens")
+    ends = rows.repartition("file").sortWithinPartitions("file", "line_no").mapInArrow(_spans, "file string, start int, end int")
     return starts.select("file", "start").join(ends, ["file", "start"], "left").select("file", "start", F.coalesce("end", "start").alias("end"))
 
 

@@ -26,7 +26,7 @@ def test_registered_closure_is_whole(spark, sf_dir):
             found |= new
             at += new
         want |= {(a, b) for b in found}
-    got = [tuple(r) for r in graph_queries.QUERIES["transitive_closure_whole"](spark, sf_dir).collect()]
+    got = [tuple(r) for r in graph_queries.QUERIES["transitive_closure"](spark, sf_dir).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert any(a == b for a, b in got) and any(int(a[1:]) % 2 for a, _ in got)
 
@@ -35,5 +35,5 @@ def test_registered_replace_line_is_whole(spark, sf_dir):
     want = {(r.file, r.line_no): r.text for r in D.lines(spark, sf_dir).collect()}
     last = max(n for f, n in want if f == "d3")
     want |= {("d3", n): "" for n in range(last + 1, 10_000)} | {("d3", 10_000): "x"}
-    got = graph_queries.QUERIES["replace_line_whole"](spark, sf_dir).collect()
+    got = graph_queries.QUERIES["replace_line"](spark, sf_dir).collect()
     assert len(got) == len(want) and {(r.file, r.line_no): r.text for r in got} == want
