@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,8 +40,12 @@ def is_virtual_init(c: Column) -> Column:
     return c.endswith(INIT_SUFFIX)
 
 
+#: Prefixes of system calls.
+SYSCALL_PREFIXES = ("ia32_", "x64_", "se_", "do_sys", "do_compat_sys")
+
+
 def is_syscall(c: Column) -> Column:
-    return c.rlike("^__(ia32_|x64_|se_|do_sys|do_compat_sys)")
+    return functools.reduce(lambda x, y: x | y, (c.startswith("__" + p) for p in SYSCALL_PREFIXES))
 
 
 def is_trace(c: Column) -> Column:

@@ -30,7 +30,6 @@ TYPE_COLOURS = {
     "MODULAR": "orange",
 }
 RECOMMENDATION_COLOURS = {"INTERFACE": "blue", "NORMAL": "white", "DELETE": "red"}
-FILE_COLOURS = {"MODULE": "yellow", "BOOL": "blue", "CORE": "red", "OTHER": "white", "UNDECT": "gray"}
 #: Names that contraction and the points-to stage make.
 SOURCE, DESTINATION = "virtual_source", "virtual_destination"
 GLOBAL_PREFIX, INIT_SUFFIX = "__virtual__global__", "__virtual_init"

@@ -54,6 +54,7 @@ def render_dot(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def file_attributes(lines: DataFrame) -> DataFrame:
     """name -> file of lines like `name [file="..."]`; the last line of a name wins."""
+    # Fixed value: the line format of the attribute file.
     pattern = r'^(.*?)\s*\[file="(.*?)"(.*?)\]'
     found = lines.select("line_no", clean_name(F.trim(F.regexp_extract("text", pattern, 1))).alias("name"), F.regexp_extract("text", pattern, 2).alias("path"))
     return found.filter("name <> ''").groupBy("name").agg(F.max_by("path", "line_no").alias("file"))
@@ -61,6 +62,7 @@ def file_attributes(lines: DataFrame) -> DataFrame:
 
 def identifier_edges(lines: DataFrame) -> DataFrame:
     """Distinct (src, dst) of lines like `a -> b`, of C identifiers only."""
+    # Fixed value: the line format of edges between identifiers.
     pattern = r'"?\b([a-zA-Z_]\w*)\b"?\s*->\s*"?\b([a-zA-Z_]\w*)\b"?'
     return lines.select(F.regexp_extract("text", pattern, 1).alias("src"), F.regexp_extract("text", pattern, 2).alias("dst")).filter("src <> ''").distinct()
 

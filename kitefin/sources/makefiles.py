@@ -8,28 +8,25 @@ from pyspark.sql import functions as F
 from .text_lines import continuation_groups
 
 CORE = "core"
-#: The statement forms in the order in which they are tried.
-FORMS = (
-    ("core", r"^obj-y\s*[+:]?=\s*(.+)$", None, 1),
-    ("config", r"^obj-\$\((\w+)\)\s*[:+]?=\s*(.+)$", 1, 2),
-    ("object", r"^([-_\w]+)-(?:y|objs)\s*[:+]?=\s*(.+)$", 1, 2),
-    ("object_config", r"^([-_\w]+)-\$\((\w+)\)\s*[+:]?=\s*(.+)$", 1, 3),
-    ("variable", r"^([-\w]+)\s*[+:]?=\s*(.+)", 1, 2),
-)
+#: Assignments of Kbuild makefiles: what is assigned to, one of the four operators, the values.
+ASSIGNMENT = r"^([^\s:+?=]+)\s*[:+?]?=\s*(\S.*)$"
 
 
 def statements(lines: DataFrame) -> DataFrame:
-    """dir, line_no, form, subject, config, target (one row for each) of makefile lines (file = directory)."""
+    """dir, line_no, form, subject, config, target (one row for each) of makefile lines (file = directory).
+
+    `obj-y` is core; `obj-$(CONFIG)` belongs to a config; `name-y` and `name-objs` list the members of a composite object,
+    `name-$(CONFIG)` those under a config; any other name is a variable. Compiler flags of directories are left out.
+    """
     text = F.trim("text")
-    form, subject, config, values = F.lit(None).cast("string"), F.lit("").cast("string"), F.lit("").cast("string"), F.lit("")
-    for name, pattern, who, what in reversed(FORMS):
-        hit = text.rlike(pattern)
-        form = F.when(hit, name).otherwise(form)
-        subject = F.when(hit, F.regexp_extract(text, pattern, who) if who and name != "config" else F.lit("")).otherwise(subject)
-        config = F.when(hit, F.regexp_extract(text, pattern, 2 if name == "object_config" else 1) if name in ("config", "object_config") else F.lit("")).otherwise(config)
-        values = F.when(hit, F.regexp_extract(text, pattern, what)).otherwise(values)
+    left, right = (F.regexp_extract(text, ASSIGNMENT, k) for k in (1, 2))
+    stem, last = F.regexp_extract(left, "^(.*)-([^-]*)$", 1), F.regexp_extract(left, "^(.*)-([^-]*)$", 2)
+    config = F.regexp_extract(last, r"^\$\(([A-Za-z0-9_]+)\)$", 1)
+    conditional, listed = (stem != "") & (config != ""), (stem != "") & last.isin("y", "objs")
+    form = F.when(conditional, F.when(stem == "obj", "config").otherwise("object_config")).when(left == "obj-y", CORE).when(listed, "object").when(left.rlike("^[-A-Za-z0-9_]+$"), "variable")
+    subject = F.when(form.isin("object", "object_config"), stem).when(form == "variable", left).otherwise("")
     folded = continuation_groups(lines)
-    parsed = folded.select(F.col("file").alias("dir"), "line_no", form.alias("form"), subject.alias("subject"), config.alias("config"), F.explode(F.split(F.trim(values), r"\s+")).alias("target"))
+    parsed = folded.select(F.col("file").alias("dir"), "line_no", form.alias("form"), subject.alias("subject"), F.when(conditional, config).otherwise("").alias("config"), F.explode(F.split(F.trim(right), r"\s+")).alias("target"))
     return parsed.filter("form is not null and target <> '' and subject <> 'ccflags'")
 
 
