@@ -1,9 +1,10 @@
 """Mixing sources to target weights: hash-random order within each source, distributed prefix sums, exact cuts.
 
-Each document gets a hash key that only depends on the seed and the document. A source's keys are cut into ranges
-(the top bits), so that a hot source is spread over many tasks: sums of ranges are added up over a source's few
-ranges, and the documents of a range are sorted and summed from the range's offset on. A source whose budget is
-beyond its size repeats whole epochs, and the last epoch is cut inside the document where the budget ends.
+Each document gets a hash key that depends on the seed and the document alone. A source's keys are cut into ranges
+(leading digits of the hash), so that a hot source is spread over many tasks. Prefix sums have three levels: groups of
+ranges within a source, ranges within a group, documents within a range; each is a window over a bounded mean of rows. A
+source whose budget is beyond its size repeats whole epochs, and the last epoch is cut inside the document where the
+budget ends.
 """
 
 from __future__ import annotations
@@ -17,8 +18,10 @@ from ._common import WORD_PATTERN, stage
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
 SEED = 20
-#: Mean documents of a key range over all sources; ranges grow in number with the input.
+#: Mean documents of a key range over all sources at most; ranges grow in number with the input, by 16.
 RANGE_ROWS = 512
+#: Ranges of a group share all but so many leading digits.
+GROUP_DIGITS = 3
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_epochs: int = MOST_EPOCHS) -> DataFrame:
@@ -60,22 +63,28 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_epochs: i
     Null texts have size 0 and take nothing; a null source is a source, the last one; equal rows get equal keys and
     follow one another, in any order, which no result depends on beyond which of the equal rows is cut; an empty
     table gives an empty result. Columns besides doc_id, text and source are ignored. Runs agree: keys depend on
-    seed, doc_id and source only.
+    seed, doc_id, source and text only.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
-    sized = stage(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64(F.lit(seed), "doc_id", "source").alias("sort_key")))
-    ranges = sized.agg(F.greatest(F.ceil(F.count("*") / F.lit(range_rows)), F.lit(1)).cast("long")).first()[0]
-    # Arithmetic shift keeps the order of signed keys; ranges are numbered in key order.
-    bits = max(0, min(40, (ranges - 1).bit_length()))
-    sized = sized.withColumn("key_range", F.shiftright("sort_key", 64 - bits) if bits else F.lit(0).cast("long"))
-    sums = sized.groupBy("source", "key_range").agg(F.sum("size").alias("range_size"))
-    inside_source = Window.partitionBy("source").orderBy("key_range")
-    offsets = sums.select(F.col("source").alias("o_source"), F.col("key_range").alias("o_range"), (F.sum("range_size").over(inside_source) - F.col("range_size")).alias("range_offset"))
+    said = F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("source").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    sized = stage(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.md5(said.cast("binary")).alias("sort_key")))
+    rows = sized.count()
+    digits = next(d for d in range(16) if rows <= range_rows * 16**d)
+    sized = sized.withColumn("key_range", F.substring("sort_key", 1, digits))
+    sums = stage(sized.groupBy("source", "key_range").agg(F.sum("size").alias("range_size")))
+    group = F.substring("key_range", 1, max(0, digits - GROUP_DIGITS)).alias("key_group")
+    # Each level's sums before, from that level's rows alone.
+    ahead = lambda value, order, *within: F.coalesce(F.sum(value).over(Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = sums.groupBy("source", group).agg(F.sum("range_size").alias("group_size"))
+    groups = groups.select(F.col("source").alias("g_source"), F.col("key_group").alias("g_group"), ahead("group_size", "key_group", "source").alias("group_offset"))
+    inside = sums.select("source", "key_range", group, "range_size").withColumn("range_offset", ahead("range_size", "key_range", "source", "key_group"))
+    offsets = inside.join(groups, F.col("source").eqNullSafe(F.col("g_source")) & (F.col("key_group") == F.col("g_group")))
+    offsets = offsets.select(F.col("source").alias("o_source"), F.col("key_range").alias("o_range"), (F.col("group_offset") + F.col("range_offset")).alias("offset"))
     targets = source_targets(sums.select("source", F.col("range_size").alias("size")), weights, most_epochs).select(F.col("source").alias("t_source"), "source_size", "target")
     offsets = offsets.join(targets, F.col("o_source").eqNullSafe(F.col("t_source"))).drop("t_source")
     in_range = Window.partitionBy("source", "key_range").orderBy("sort_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = sized.withColumn("inside", F.sum("size").over(in_range) - F.col("size")).join(offsets, F.col("source").eqNullSafe(F.col("o_source")) & (F.col("key_range") == F.col("o_range")))
-    placed = placed.withColumn("words_before", F.col("range_offset") + F.col("inside"))
+    placed = placed.withColumn("words_before", F.col("offset") + F.col("inside"))
     budget = F.floor("target").cast("long")
     whole = F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as bigint) div source_size")).otherwise(0)
     rest = budget - whole * F.col("source_size")

@@ -35,3 +35,60 @@ CAST(coalesce(sum(len(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_
 CAST(sum(len('<|turn|>' || {_ESCAPED.format("role")} || '<|text|>' || {_ESCAPED.format("text")} || '<|end|>' || chr(10))) AS BIGINT) AS formatted_chars
 FROM t GROUP BY conv_id
 """
+
+_WORDS = r"[^\x20\x09-\x0D]+"
+
+OP4 = rf"""
+WITH d AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{_WORDS}')) AS BIGINT) AS size,
+  md5('20|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(source, '') || '|' || md5(coalesce(text, ''))) AS k FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM d GROUP BY source),
+w AS (SELECT *, [5, 2, 1][CAST(i % 3 AS INTEGER) + 1] AS weight, 3 * source_size AS bound FROM s),
+b AS (SELECT *, sum(source_size) OVER () AS total, sum(weight) OVER () AS all_weight, coalesce(sum(bound) OVER o, 0) AS bound_before, coalesce(sum(weight) OVER o, 0) AS weight_before FROM w
+  WINDOW o AS (ORDER BY bound / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+m AS (SELECT *, bound * (all_weight - weight_before) <= weight * (total - bound_before) AS met FROM b),
+n AS (SELECT *, sum(CASE WHEN met THEN bound ELSE 0 END) OVER () AS bound_met, sum(CASE WHEN met THEN weight ELSE 0 END) OVER () AS weight_met FROM m),
+t AS (SELECT source, source_size, CASE WHEN met THEN CAST(bound AS DOUBLE) ELSE CAST(weight * (total - bound_met) AS DOUBLE) / CAST(all_weight - weight_met AS DOUBLE) END AS target FROM n),
+p AS (SELECT d.*, t.source_size, t.target, CAST(floor(target) AS BIGINT) AS budget, CAST(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS whole FROM p)
+SELECT doc_id, size, source_size, target, CAST(whole * size + greatest(0, least(size, budget - whole * source_size - before)) AS BIGINT) AS taken FROM e
+"""
+
+
+def _spans(kind: int, name: str, pattern: str, passes: str, options: str = "''") -> str:
+    """Starts are the lengths of the pieces between matches and of the matches before."""
+    return rf"""SELECT doc_id, {kind} AS kind, '{name}' AS name, m, CAST(list_sum([length(x) for x in ps[1 : i]]) + coalesce(list_sum([length(x) for x in ms[1 : i - 1]]), 0) AS BIGINT) AS a
+FROM (SELECT doc_id, ms, ps, unnest(ms) AS m, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}', 0, {options}) AS ms, string_split_regex(text, '{pattern}', {options}) AS ps FROM d)) WHERE {passes}"""
+
+
+_ASSIGN = r"""(?:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+"""
+_VALUE = r"""regexp_extract(m, '^(?:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?(.*)$', 1, 'is')"""
+
+OP5 = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+f AS ({" UNION ALL ".join((
+    _spans(0, "assign", _ASSIGN, f"length({_VALUE}) >= 8", "'i'"),
+    _spans(1, "access", "AKIA[A-Z0-9]+", "length(m) >= 16"),
+    _spans(2, "hex", "[0-9a-f]+", "length(m) >= 32"),
+    _spans(3, "private_key", r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----)?", "true"),
+    _spans(4, "bearer", r"eyJ[A-Za-z0-9_-]{{8,}}\.eyJ[A-Za-z0-9_-]{{8,}}\.[A-Za-z0-9_-]{{16,}}".replace("{{", "{").replace("}}", "}"), "true"),
+    _spans(5, "forge", "gh[pousr]_[A-Za-z0-9]{36,}", "true"),
+))}),
+g AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+  string_agg(name || ':' || a || ':' || (a + length(m)), ',' ORDER BY a, kind) FILTER (kind < 3) AS base, string_agg(name || ':' || a || ':' || (a + length(m)), ',' ORDER BY a, kind) AS spans FROM f GROUP BY doc_id)
+SELECT CAST(doc_id AS BIGINT) AS doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)
+"""
+
+OP3 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+k AS (SELECT doc_id, o, substr(h, 2 * o + 1, 798) AS part FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99, 300)) AS o FROM d WHERE len(h) >= 200)),
+p AS (SELECT doc_id, o + x AS i, md5_number(substr(part, 2 * x + 1, 200)) AS string FROM (SELECT doc_id, o, part, unnest(range(0, least(300, len(part) // 2 - 99))) AS x FROM k)),
+s AS (SELECT doc_id, i, row_number() OVER (PARTITION BY string ORDER BY doc_id, i) AS r FROM p),
+l AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS j FROM s WHERE r > 1),
+g AS (SELECT doc_id, i, sum(CASE WHEN j IS NULL OR i > j + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM l),
+q AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM g GROUP BY doc_id, k),
+c AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS ends FROM q GROUP BY doc_id)
+SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+sha256(unhex(CASE WHEN starts IS NULL THEN h ELSE array_to_string([substr(h, 2 * (CASE WHEN x = 1 THEN 0 ELSE ends[x - 1] END) + 1, 2 * ((CASE WHEN x > len(starts) THEN len(h) // 2 ELSE starts[x] END) - (CASE WHEN x = 1 THEN 0 ELSE ends[x - 1] END))) for x in range(1, len(starts) + 2)], '') END)) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id)
+"""
