@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Texts are handed on in groups of about this many characters, so that what one group needs stays bounded.
 GROUP_CHARS = 4_000_000
@@ -27,6 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_key() -> Column:
+    """Of a row's text: with doc_id it names a row where ids are null or repeated. Null texts are empty."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_key")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's spark.checkpoint.dir, or a new one for a local master."""
     sc = spark.sparkContext
@@ -41,27 +45,35 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-_staged: list[tuple[SparkSession, str]] = []
+#: Of Spark, since 4.1: a query's shuffle files go when the query is over.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_staged: dict[str, SparkSession] = {}
 
 
 def stage(df: DataFrame, *partition_by: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again: cuts the lineage, survives lost executors."""
+    """Write df as Parquet into the shared folder and read it again: cuts the lineage, survives lost executors.
+
+    Nothing reads the query's shuffle files again, so Spark deletes them behind it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
-    _staged.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
+    before = spark.conf.get(CLEAN_SHUFFLES, None)
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        df.write.partitionBy(*partition_by).parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_SHUFFLES) if before is None else spark.conf.set(CLEAN_SHUFFLES, before)
+    _staged[path] = spark
+    found = spark.read.schema(df.schema).parquet(path)
+    found._stage_path = path
+    return found
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files behind what has been staged.
 
-    It does when the JVM collects their plans, which takes two collections, and deletes in the background.
-    """
-    gc.collect()
-    for _ in range(3):
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+def drop(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for df in tables:
+        path = df._stage_path
+        delete_path(_staged.pop(path), path)
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
@@ -72,7 +84,7 @@ def delete_path(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _clear_staged() -> None:
-    for spark, path in _staged:
+    for path, spark in _staged.items():
         try:
             delete_path(spark, path)
         except Exception:  # noqa: BLE001  the session may have ended before

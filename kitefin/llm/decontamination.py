@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import shared_dir, text_groups
+from ._common import shared_dir, text_groups, text_key
 
 WINDOW = 10
 #: What one automaton and its broadcast may hold; an item of b bytes has about WINDOW * b pattern characters.
@@ -27,8 +27,8 @@ MAX_PATTERN_CHARS = 8_000_000
 _NORMAL = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
-OUTPUT = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
-CARRIED = "doc_id long, text string, hits array<long>, items array<string>"
+OUTPUT = "doc_id long, text_key long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
+CARRIED = "doc_id long, text_key long, text string, hits array<long>, items array<string>"
 
 
 def normalise(text: str) -> list[bytes]:
@@ -99,7 +99,7 @@ def original_spans(text: str, runs: list[tuple[int, int]]) -> list[dict]:
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_pattern_chars: int = MAX_PATTERN_CHARS) -> DataFrame:
-    """One row for each row of documents: doc_id, n_words, n_hit, items (sorted ids), spans (hit runs, code points).
+    """One row for each row of documents: doc_id, text_key, n_words, n_hit, items (sorted ids), spans (hit runs, code points).
 
     documents needs doc_id and text, benchmark item_id and text; other columns are ignored, whatever their names.
     Null or empty texts have no words and no hits; repeated rows each give a row; items with a null id still make
@@ -108,7 +108,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     spark = documents.sparkSession
     shared_dir(spark)
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(), "text")
     blocks = pattern_blocks(items, window, max_pattern_chars)
     block, first = next(blocks), True
     while True:
@@ -134,9 +134,9 @@ def _pass(shared, first: bool, last: bool):
                 row = (len(words), sum(b - a for a, b in runs), items, original_spans(text, runs) if runs else []) if last else (text, [x for r in runs for x in r], items, None)
                 for column, value in zip(columns, row):
                     column.append(value)
-            doc_id = batch.column("doc_id")
+            ids = [batch.column(c) for c in ("doc_id", "text_key")]
             kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))] if last else [pa.string(), pa.list_(pa.int64()), pa.list_(pa.string())]
-            names = ["doc_id", "n_words", "n_hit", "items", "spans"] if last else ["doc_id", "text", "hits", "items"]
-            yield pa.RecordBatch.from_arrays([doc_id, *(pa.array(c, k) for c, k in zip(columns, kinds))], names=names)
+            names = ["doc_id", "text_key", *(["n_words", "n_hit", "items", "spans"] if last else ["text", "hits", "items"])]
+            yield pa.RecordBatch.from_arrays([*ids, *(pa.array(c, k) for c, k in zip(columns, kinds))], names=names)
 
     return run

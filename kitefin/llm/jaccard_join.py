@@ -1,19 +1,26 @@
 """Exact Jaccard join of documents' shingle sets as a metric-space join.
 
-The Jaccard distance is a metric, but unrelated texts are all at distance 1 from one another, so that pivots alone
-can't tell them apart: a plain Voronoi partition would replicate every document into every region. The first split is
-therefore by content. The shingle universe is cut into parts; two sets that differ in D shingles agree on one of any
-D + 1 parts, so linked documents meet in a region (part, what the set has there), and D follows from the threshold
-and the sizes (`most_different`). Shingles that very many documents share are left out of the parts, which keeps the
-argument and avoids crowded regions; sets that lack parts then use all their shingles in further regions.
-
-Inside regions the metric does the work, round by round. A large region gets a few pivots, and its sets their exact
-distances to them. A set within the threshold r of a pivot is in that pivot's cell (the first pivot's, if there are
-several); a cell's sets are linked through the pivot and need no comparison among themselves, as only components are
-asked for. Sets in no cell go on as a smaller region with new pivots. By the triangle inequality a set w outside can
-only link to a set x of a cell if w is within 2 r of the pivot and their distances to it differ by r at most, so these
-boundary sets alone are compared with the cell too. Comparisons inside a component found so far are dropped. Regions
-of up to SMALL sets compare all that is left.
+The Jaccard distance is a metric; let r be the threshold's distance. Unrelated texts are all at distance 1 from one
+another, so that pivots alone can't tell them apart: a Voronoi partition by a few pivots would replicate every document
+into every region. The first regions are therefore by content. The shingle universe is cut into parts; two sets that
+differ in D shingles agree on one of any D + 1 parts, so linked sets meet in a region (part, what the set has there),
+and D follows from the threshold and the sizes (`most_different`). Shingles that very many documents share are left out
+of the parts, which keeps the argument and avoids crowded regions; sets that lack parts then use all their shingles in
+further regions. Regions of the same sets are one region.
+
+1. Voronoi cells, recursively (`_cells`). Each region's pivot is the set that shares most regions with others. Sets get
+   their exact distances to the pivots they meet. A set joins the cell of its nearest pivot if that is within r (so
+   a cell's sets are all linked through the pivot); the rest of a region is a smaller region with new pivots. What no
+   round takes in is a cell of its own.
+2. Cells that meet in a region, not yet in one component: a link between a set of the cell of p and one of q needs
+   d(p, q) <= r + the radii of both cells. Pivots that are so near are measured.
+3. Windows. A set x of p can only link into q's cell if d(p, q) - d(x, p) <= r + q's radius: these boundary sets are
+   replicated to q and measured against it, and the other way round. Of what the distances then allow (x and y differ by
+   r at most in their distances to p and to q), x and y are compared themselves.
+
+No step depends on the one before having found all it could: what a step leaves, the next looks at. Pairs already in one
+component are left out, as only components are asked for. A pair is measured once in a step, however many regions the two
+share, and only if sketches don't rule its distance out. Each join makes rows for pairs near enough alone.
 """
 
 from __future__ import annotations
@@ -26,22 +33,22 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import free_shuffles, shared_dir, stage, text_groups
+from ._common import drop, shared_dir, stage, text_groups, text_key
 
 SHINGLE = 4
 #: Link: 100 * intersection >= PERCENT * union.
 PERCENT = 85
 BAND_RATIO, LEAST_BAND = 1.5, 6
-#: Sets of a region that are all compared, and pivots of a larger one; both grow by GROWTH each round, while what is
-#: left shrinks, so that few rounds are needed.
-SMALL, PIVOTS, GROWTH = 48, 8, 4
+#: Rounds in which the sets of a region that are in no cell yet get new pivots.
+PIVOT_ROUNDS = 2
 #: Documents that are looked at to find very common shingles, how often one must be in them, and how many are kept.
 #: They only choose which regions are made; whatever they are, no link is lost.
 SAMPLE_DOCS, SAMPLE_HITS, MOST_COMMON = 16_000, 8, 200_000
 SKETCH_BITS = 1024
-#: Members of one pivot that one task compares.
-PIVOT_SHARE = 500
-MOST_ROUNDS = 20
+#: Orders of the regions in which two cells look for a region that stands for all that both are in.
+ORDERS = 8
+#: Over any rounding of a distance.
+TINY = 1e-9
 #: Of a graph whose components one task finds.
 SMALL_EDGES = 500_000
 
@@ -89,11 +96,6 @@ def set_id(shingles: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes()))))
 
 
-def boundary_of(percent: int) -> int:
-    """The similarity at a distance of twice the threshold's."""
-    return max(0, 2 * percent - 100)
-
-
 def most_different(a: int, low: int, high: int, percent: int = PERCENT) -> int:
     """The greatest symmetric difference of a set of a shingles and a linked one of low to high; -1 if none can link."""
     b = np.arange(max(low, -(-percent * a // 100)), min(high, 100 * a // percent) + 1)
@@ -138,13 +140,18 @@ def regions(shingles: np.ndarray, common: np.ndarray, percent: int = PERCENT) ->
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
-def sketch(shingles: np.ndarray) -> bytes:
+WORDS = SKETCH_BITS // 64
+_SKETCH = tuple(f"s_{k}" for k in range(WORDS))
+
+
+def sketch(shingles: np.ndarray) -> np.ndarray:
     """Parities of how many shingles fall on each of SKETCH_BITS places: two sketches differ no more than their sets do."""
-    return np.packbits(np.bincount((shingles & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1).tobytes()
+    odd = np.bincount((shingles & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _profiles(shared, shingle: int, percent: int):
-    """What is known of each text: set size, set id, sketch and regions."""
+    """What is known of each text: set size, set id and regions."""
 
     def run(batches):
         shingler, common = Shingler(shingle), np.frombuffer(shared.value, np.uint64)
@@ -152,8 +159,8 @@ def _profiles(shared, shingle: int, percent: int):
             sets = [shingler(t) for t in texts]
             keys = [regions(s, common, percent) for s in sets]
             held = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate(keys), pa.int64()))
-            columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary()), held]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n", "sid", "sketch", "regions"])
+            columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), held]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), *columns], names=["doc_id", "text_key", "n", "sid", "regions"])
 
     return run
 
@@ -168,31 +175,22 @@ def _shingles(shingle: int):
 
 
 def _sets(shingle: int):
+    """Sets of the texts whose id is the row's, with sizes and sketches."""
+
     def run(batches):
         shingler = Shingler(shingle)
         for batch, texts in text_groups(batches):
-            found = [(i, s.tobytes()) for i, s in zip(batch.column("sid").to_pylist(), map(shingler, texts)) if set_id(s) == i]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], names=["sid", "shingles"])
+            found = [(i, s) for i, s in zip(batch.column("sid").to_pylist(), map(shingler, texts)) if set_id(s) == i]
+            if not found:
+                continue
+            ids, sets = zip(*found)
+            held = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+            sketches = np.stack([sketch(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), held, *(pa.array(sketches[:, k]) for k in range(WORDS))], names=["sid", "n", "shingles", *_SKETCH])
 
     return run
 
 
-def _compare(batches):
-    """Sizes of intersections: rows of a pivot's share, the pivot's set first."""
-    pivot, held = None, np.zeros(0, np.uint64)
-    for batch in batches:
-        out: list[tuple[int, int, int]] = []
-        for p, sid, data in zip(*(batch.column(c).to_pylist() for c in ("pivot", "sid", "shingles"))):
-            own = np.frombuffer(data, np.uint64)
-            if sid is None:
-                pivot, held = p, own
-            elif p == pivot:
-                at = np.searchsorted(held, own)
-                at[at == len(held)] = 0
-                out.append((p, sid, int((held[at] == own).sum())))
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], names=["pivot", "sid", "common"])
-
-
 def _union_find(batches):
     root: dict[int, int] = {}
 
@@ -232,44 +230,28 @@ def components(edges: DataFrame) -> DataFrame:
         edges = after
 
 
-def _near(a: str, b: str, percent: int) -> Column:
-    """Whether sizes (n, pn) and sketches (arrays of longs) let two sets be that similar: exact the one way."""
-    differ = functools.reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{a}_{k}").bitwiseXOR(F.col(f"{b}_{k}"))) for k in range(SKETCH_BITS // 64)))
-    sizes = F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent
-    return sizes & (differ * (100 + percent) <= (F.col("n") + F.col("pn")) * (100 - percent))
+def _near(a: str, b: str, most: Column) -> Column:
+    """Whether sizes and sketches (columns a_n, a_s_0, a_s_1, ...) let two sets be at a distance of `most` or less: exact
+    the one way. The difference D of sets of m and n shingles is at least that of their sketches, and their distance is
+    2 D / (m + n + D)."""
+    differ = functools.reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{a}_{c}").bitwiseXOR(F.col(f"{b}_{c}"))) for c in _SKETCH))
+    m, n = F.col(f"{a}_n"), F.col(f"{b}_n")
+    sizes = F.least(m, n) >= F.greatest(m, n) * (1 - most - TINY)
+    return sizes & (differ * (2 - most) <= (most + TINY) * (m + n))
 
 
-def _sketched(df: DataFrame, kinds: DataFrame, column: str, name: str) -> DataFrame:
-    """df with the sketch of the set in a column as longs name_0, name_1, ..."""
-    words = [F.conv(F.hex(F.substring("sketch", 8 * k + 1, 8)), 16, -10).cast("long").alias(f"{name}_{k}") for k in range(SKETCH_BITS // 64)]
-    known = kinds.select(F.col("sid").alias(f"{name}_sid"), *words)
+def _sketched(df: DataFrame, sets: DataFrame, column: str, name: str) -> DataFrame:
+    """df with the size and the sketch of the set in a column as name_n, name_s_0, name_s_1, ..."""
+    known = sets.select(F.col("sid").alias(f"{name}_sid"), *(F.col(c).alias(f"{name}_{c}") for c in ("n", *_SKETCH)))
     return df.join(known, F.col(column) == F.col(f"{name}_sid")).drop(f"{name}_sid")
 
 
-def _distances(pairs: DataFrame, profiles: DataFrame, sets: DataFrame, limit: int) -> DataFrame:
-    """pairs (pivot, pn, sid, n), with common; pairs whose sketches show them to be beyond the boundary are left out."""
-    sizes = F.least("n", "pn") * 100 >= F.greatest("n", "pn") * limit
-    one, two = (profiles.select(F.col("sid").alias(f"{k}_sid"), F.col("sketch").alias(f"{k}_sketch")) for k in ("o", "t"))
-    held = pairs.filter(sizes).join(one, F.col("sid") == F.col("o_sid")).join(two, F.col("pivot") == F.col("t_sid"))
-
-    def near(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH_BITS // 8) for c in ("o_sketch", "t_sketch"))
-            n = batch.column("n").to_numpy() + batch.column("pn").to_numpy()
-            keep = np.bitwise_count(a ^ b).sum(axis=1) * (100 + limit) <= (100 - limit) * n
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("pivot", "pn", "sid", "n")], names=["pivot", "pn", "sid", "n"]).filter(pa.array(keep))
-
-    close = stage(held.mapInArrow(near, "pivot long, pn long, sid long, n long"))
-    # A pivot with many members is compared in shares of them, each with the pivot's set in front.
-    shares = close.groupBy("pivot").agg(F.ceil(F.count("*") / PIVOT_SHARE).cast("int").alias("shares")).withColumnRenamed("pivot", "s_pivot")
-    dealt = close.join(shares, F.col("pivot") == F.col("s_pivot")).select("pivot", F.pmod("sid", F.col("shares")).cast("int").alias("share"), "sid")
-    members = dealt.join(sets.withColumnRenamed("sid", "m_sid"), F.col("sid") == F.col("m_sid")).select("pivot", "share", "sid", "shingles")
-    heads = shares.select(F.col("s_pivot").alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share")).join(sets, F.col("pivot") == F.col("sid")).select("pivot", "share", F.lit(None).cast("long").alias("sid"), "shingles")
-    rows = members.unionByName(heads).repartition("pivot", "share").sortWithinPartitions("pivot", "share", F.col("sid").asc_nulls_first())
-    counted = rows.select("pivot", "sid", "shingles").mapInArrow(_compare, "pivot long, sid long, common long")
-    return counted.join(close.select(F.col("pivot").alias("c_pivot"), "pn", F.col("sid").alias("c_sid"), "n"), (F.col("pivot") == F.col("c_pivot")) & (F.col("sid") == F.col("c_sid"))).select("pivot", "pn", "sid", "n", "common")
+def _measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Staged pairs (pivot, sid), each once, with common and joint (the sizes of intersection and union) and distance."""
+    one, two = (sets.select(F.col("sid").alias(f"{k}_sid"), F.col("shingles").alias(k)) for k in ("one", "two"))
+    held = pairs.select("pivot", "sid").join(one, F.col("sid") == F.col("one_sid")).join(two, F.col("pivot") == F.col("two_sid"))
+    counted = held.select("pivot", "sid", F.size(F.array_intersect("one", "two")).cast("long").alias("common"), (F.size("one") + F.size("two")).cast("long").alias("both"))
+    return stage(counted.select("pivot", "sid", "common", (F.col("both") - F.col("common")).alias("joint"), (1 - F.col("common") / (F.col("both") - F.col("common"))).alias("distance")))
 
 
 def common_shingles(documents: DataFrame, shingle: int = SHINGLE) -> np.ndarray:
@@ -280,105 +262,132 @@ def common_shingles(documents: DataFrame, shingle: int = SHINGLE) -> np.ndarray:
     return np.sort(np.array([r.shingle for r in often.orderBy(F.desc("count"), "shingle").limit(MOST_COMMON).collect()], np.int64).view(np.uint64))
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    """rows (region, sid) of one region of those with the same sets (by two 64-bit digests), and how many those are."""
+    each = rows.groupBy("region").agg(F.count("*").alias("members"), *(F.bit_xor(F.xxhash64("sid", F.lit(k))).alias(f"digest_{k}") for k in (1, 2)))
+    kept = each.groupBy("members", "digest_1", "digest_2").agg(F.min("region").alias("k_region"), F.count("*").alias("times"))
+    return rows.join(kept.select("k_region", "times"), F.col("region") == F.col("k_region")).select("region", "sid", "times")
+
+
+def _of(classes: DataFrame, name: str, as_: str) -> DataFrame:
+    return classes.select(F.col("node").alias(name), F.col("component").alias(as_))
+
+
+def _apart(pairs: DataFrame, classes: DataFrame, a: str, b: str) -> DataFrame:
+    """Rows whose sets in columns a and b aren't known to be in one component."""
+    held = pairs.join(_of(classes, "a_node", "a_class"), F.col(a) == F.col("a_node"), "left").join(_of(classes, "b_node", "b_class"), F.col(b) == F.col("b_node"), "left")
+    return held.filter(F.coalesce("a_class", a) != F.coalesce("b_class", b)).select(*pairs.columns)
+
+
+def _links(measured: DataFrame, percent: int) -> DataFrame:
+    return measured.filter(f"100 * common >= {percent} * joint")
+
+
+def _cells(shared: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(sid, cell, distance) of sets within the threshold of a pivot and of pivots; all links found (pivot, sid).
+
+    shared: region, sid, score, sizes and sketches; of what is left of a region, the set of the highest score is the pivot.
+    """
+    cells, links, todo = [], [], shared
+    columns = ("n", *_SKETCH)
+    for _ in range(PIVOT_ROUNDS):
+        heads = todo.groupBy("region").agg(F.max(F.struct("score", "sid", *(f"a_{c}" for c in columns))).alias("head"), F.count("*").alias("members")).filter("members > 1")
+        heads = stage(heads.select(F.col("region").alias("h_region"), F.col("head.sid").alias("pivot"), *(F.col(f"head.a_{c}").alias(f"b_{c}") for c in columns)))
+        met = todo.join(heads, (F.col("region") == F.col("h_region")) & (F.col("sid") != F.col("pivot")) & _near("a", "b", F.lit((100 - percent) / 100)))
+        # Each pair is measured once, even if both are pivots.
+        pairs = met.groupBy(F.least("sid", "pivot").alias("low"), F.greatest("sid", "pivot").alias("high")).agg(F.max("pivot").alias("pivot"))
+        pairs = stage(pairs.select("pivot", F.when(F.col("pivot") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("sid")))
+        linked = _links(_measure(pairs, sets), percent)
+        links.append(linked.select("pivot", "sid"))
+        # A pivot is nearest to itself.
+        homes = linked.select("sid", F.col("pivot").alias("cell"), "distance").unionByName(heads.select(F.col("pivot").alias("sid"), F.col("pivot").alias("cell"), F.lit(0.0).alias("distance")))
+        homes = homes.groupBy("sid").agg(F.min(F.struct("distance", "cell")).alias("home"))
+        cells.append(stage(homes.select("sid", F.col("home.cell").alias("cell"), F.col("home.distance").alias("distance"))))
+        if len(cells) == PIVOT_ROUNDS or linked.isEmpty():
+            break
+        todo = stage(todo.join(cells[-1].select(F.col("sid").alias("t_sid")), F.col("sid") == F.col("t_sid"), "left_anti"))
+    union = lambda parts: functools.reduce(DataFrame.unionByName, parts)
+    return union(cells), union(links)
+
+
+def _with_links(links: DataFrame, measured: DataFrame, classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """links and classes with those of measured pairs."""
+    new = _links(measured, percent).select("pivot", "sid")
+    if new.isEmpty():
+        return links, classes
+    links = links.unionByName(new)
+    return links, stage(components(links.toDF("a", "b")))
+
+
 def link_sets(profiles: DataFrame, documents: DataFrame, repeated_ids: bool = True, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """node, component over the ids of different sets that have links. documents: doc_id, text; profiles of them."""
-    spark, limit = documents.sparkSession, boundary_of(percent)
-    placed = profiles.select(F.explode("regions").alias("region"), "sid", "n")
+    r = (100 - percent) / 100
+    placed = profiles.select(F.explode("regions").alias("region"), "sid")
     crowded = placed.groupBy("region").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).filter("low < high").select(F.col("region").alias("c_region"))
     # Staged, so that the join deals both sides anew and Spark can split a region that is in every second set.
     crowded = stage(crowded)
-    free_shuffles(spark)
-    found = stage(placed.join(crowded, F.col("region") == F.col("c_region"), "left_semi").distinct())
-    free_shuffles(spark)
-    score = stage(found.groupBy(F.col("sid").alias("s_sid")).agg(F.count("*").alias("score")))
-    todo = stage(found.join(score, F.col("sid") == F.col("s_sid")).select("region", "sid", "n", "score"))
+    shared = stage(placed.join(crowded, F.col("region") == F.col("c_region"), "left_semi").distinct())
+    found = stage(_once(shared))
+    drop(crowded, shared)
     # The sets of all that share a region, from one document each.
-    first = profiles.groupBy("sid").agg(F.min("doc_id").alias("f_doc")).join(score, F.col("sid") == F.col("s_sid"), "left_semi").withColumnRenamed("sid", "f_sid")
-    sets = documents.join(first, F.col("doc_id").eqNullSafe(F.col("f_doc"))).select(F.col("f_sid").alias("sid"), "text")
-    sets = sets.mapInArrow(_sets(shingle), "sid long, shingles binary")
+    scores = found.groupBy(F.col("sid").alias("s_sid")).agg(F.sum("times").alias("score"))
+    first = profiles.groupBy("sid").agg(F.min("doc_id").alias("f_doc")).join(scores.select("s_sid"), F.col("sid") == F.col("s_sid"), "left_semi").withColumnRenamed("sid", "f_sid")
+    sets = documents.join(stage(first), F.col("doc_id").eqNullSafe(F.col("f_doc"))).select(F.col("f_sid").alias("sid"), "text")
+    sets = sets.mapInArrow(_sets(shingle), "sid long, n long, shingles array<long>, " + ", ".join(f"{c} long" for c in _SKETCH))
     sets = stage(sets.dropDuplicates(["sid"]) if repeated_ids else sets)
-    kinds = profiles.select("doc_id", "sid", "sketch").join(first, (F.col("sid") == F.col("f_sid")) & F.col("doc_id").eqNullSafe(F.col("f_doc")), "left_semi").select("sid", "sketch")
-    kinds = stage(kinds.dropDuplicates(["sid"]) if repeated_ids else kinds)
-    free_shuffles(spark)
-    links, classes, crossing = None, None, None
-    for number in range(MOST_ROUNDS):
-        all_of, some = SMALL * GROWTH**number, PIVOTS * GROWTH**number
-        heads = todo.groupBy("region").agg(F.max(F.struct("score", "sid")).alias("head"), F.count("*").alias("members")).filter("members > 1")
-        heads = heads.select(F.col("region").alias("h_region"), F.col("head.sid").alias("head"), "members")
-        cells = stage(todo.join(heads, F.col("region") == F.col("h_region")).drop("h_region"))
-        # Pairs of a small region; of a large one those with its pivots, which are the head and some others.
-        # What sketches rule out is no row of the joins.
-        small = _sketched(cells.filter(f"members <= {all_of}").select("region", "sid", "n"), kinds, "sid", "a")
-        other = _sketched(cells.filter(f"members <= {all_of}").select(F.col("region").alias("o_region"), F.col("sid").alias("pivot"), F.col("n").alias("pn")), kinds, "pivot", "b")
-        pairs = small.join(other, (F.col("region") == F.col("o_region")) & (F.col("sid") < F.col("pivot")) & _near("a", "b", percent)).select("pivot", "pn", "sid", "n")
-        large = cells.filter(f"members > {all_of}")
-        chosen = (F.col("sid") == F.col("head")) | (F.pmod(F.xxhash64("sid", F.lit(number)), F.ceil(F.col("members") / some)) == 0)
-        pivots = large.filter(chosen).select(F.col("region").alias("p_region"), F.col("sid").alias("pivot"), F.col("n").alias("pn"))
-        is_large = not large.isEmpty()
-        if is_large:
-            tops = _sketched(pivots, kinds, "pivot", "b")
-            stars = _sketched(large.select("region", "sid", "n"), kinds, "sid", "a").join(tops, (F.col("region") == F.col("p_region")) & (F.col("sid") != F.col("pivot")) & _near("a", "b", limit))
-            stars = stage(stars.select("region", "sid", "n", "pivot", "pn"))
-            # A pair is measured once, whichever of its ends is the pivot.
-            low, high = F.col("sid") < F.col("pivot"), F.col("sid") > F.col("pivot")
-            turned = stars.select(F.when(low, F.col("pivot")).otherwise(F.col("sid")).alias("pivot"), F.when(low, F.col("pn")).otherwise(F.col("n")).alias("pn"), F.when(high, F.col("pivot")).otherwise(F.col("sid")).alias("sid"), F.when(high, F.col("pn")).otherwise(F.col("n")).alias("n"))
-            pairs = pairs.unionByName(turned)
-        if crossing is not None:
-            pairs = pairs.unionByName(crossing)
-        pairs = pairs.distinct()
-        if classes is not None:
-            pairs = _apart(pairs, classes)
-        measured = stage(_distances(pairs, kinds, sets, limit)).withColumn("joint", F.col("n") + F.col("pn") - F.col("common"))
-        edges = measured.filter(f"100 * common >= {percent} * joint").select(F.col("pivot").alias("a"), F.col("sid").alias("b"))
-        links = stage(edges if links is None else edges.unionByName(links))
-        classes = stage(components(links))
-        if not is_large:
-            return classes
-        # Distances in both directions, beside the classes known by now.
-        either = measured.select(F.col("pivot").alias("d_pivot"), F.col("sid").alias("d_sid"), "common", "joint")
-        either = either.unionByName(either.select(F.col("d_sid").alias("d_pivot"), F.col("d_pivot").alias("d_sid"), "common", "joint"))
-        known = stars.join(either, (F.col("pivot") == F.col("d_pivot")) & (F.col("sid") == F.col("d_sid")), "left").drop("d_pivot", "d_sid")
-        a, b = (classes.select(F.col("node").alias(f"{k}_node"), F.col("component").alias(f"{k}_class")) for k in "ab")
-        known = known.join(a, F.col("sid") == F.col("a_node"), "left").join(b, F.col("pivot") == F.col("b_node"), "left")
-        inner = F.coalesce(F.expr(f"100 * common >= {percent} * joint"), F.lit(False))
-        known = known.select("region", "sid", "n", "pivot", "pn", F.coalesce("a_class", "sid").alias("class"), F.coalesce("b_class", "pivot").alias("p_class"), (F.col("common") / F.col("joint")).alias("near"), inner.alias("inner"))
-        # A set's cell is that of the least pivot it is linked to, or its own if it is a pivot and that is less.
-        marked = pivots.select(F.col("p_region").alias("m_region"), F.col("pivot").alias("m_sid"))
-        linked = known.filter("inner").groupBy(F.col("region").alias("k_region"), F.col("sid").alias("k_sid")).agg(F.min("pivot").alias("linked"))
-        home = large.select("region", "sid", "n", "score").join(linked, (F.col("region") == F.col("k_region")) & (F.col("sid") == F.col("k_sid")), "left")
-        home = home.join(marked, (F.col("region") == F.col("m_region")) & (F.col("sid") == F.col("m_sid")), "left").join(a, F.col("sid") == F.col("a_node"), "left")
-        home = stage(home.select("region", "sid", "n", "score", F.coalesce("a_class", "sid").alias("class"), F.least("linked", "m_sid").alias("home")))
-        # Sets in no cell go on; a region whose sets are all of one component has nothing left to find.
-        outside = home.filter("home is null")
-        open_ = outside.groupBy("region").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select(F.col("region").alias("o_region"))
-        todo = stage(outside.join(open_, F.col("region") == F.col("o_region"), "left_semi").select("region", "sid", "n", "score"))
-        # What is near a pivot, but in a later cell or none, is compared with the pivot's cell, unless a path joins them.
-        homes = home.select(F.col("region").alias("c_region"), F.col("sid").alias("c_sid"), "home")
-        placed_at = known.join(homes, (F.col("region") == F.col("c_region")) & (F.col("sid") == F.col("c_sid")))
-        boundary = placed_at.filter("class <> p_class and near is not null and (home is null or home > pivot)").filter(F.col("near") * 100 >= limit - 1e-7)
-        # A pivot stands for its cell in all its regions, so that what regions share is joined once.
-        boundary = _sketched(boundary.select(F.col("pivot").alias("b_pivot"), F.col("sid").alias("pivot"), F.col("n").alias("pn"), F.col("near").alias("b_near")).distinct(), kinds, "pivot", "b")
-        cell = _sketched(placed_at.filter("home = pivot").select(F.col("pivot").alias("cell"), "sid", "n", "near").distinct(), kinds, "sid", "a")
-        # Similarities to the pivot that differ by more than the threshold rule a link out; a little over, for rounding.
-        window = F.col("near") - F.col("b_near") <= (100 - percent) / 100 + 1e-9
-        crossing = cell.join(boundary, (F.col("cell") == F.col("b_pivot")) & (F.col("sid") != F.col("pivot")) & window & _near("a", "b", percent))
-        crossing = stage(_apart(crossing.select("pivot", "pn", "sid", "n").distinct(), classes))
-        if crossing.isEmpty():
-            crossing = None
-            if todo.isEmpty():
-                return classes
-    raise RuntimeError(f"regions are left after {MOST_ROUNDS} rounds")
-
-
-def _apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of sets that aren't known to be in one component."""
-    a, b = (classes.select(F.col("node").alias(f"{k}_node"), F.col("component").alias(f"{k}_class")) for k in "ab")
-    held = pairs.join(a, F.col("pivot") == F.col("a_node"), "left").join(b, F.col("sid") == F.col("b_node"), "left")
-    return held.filter("coalesce(a_class, pivot) <> coalesce(b_class, sid)").select("pivot", "pn", "sid", "n")
+    drop(profiles)
+    wide = stage(_sketched(found.join(scores, F.col("sid") == F.col("s_sid")).select("region", "sid", "score"), sets, "sid", "a"))
+    homes, links = _cells(wide, sets, percent)
+    classes = stage(components(links.toDF("a", "b")))
+    homes = stage(sets.select("sid").join(homes.withColumnRenamed("sid", "h_sid"), F.col("sid") == F.col("h_sid"), "left").select("sid", F.coalesce("cell", "sid").alias("cell"), F.coalesce("distance", F.lit(0.0)).alias("distance")))
+    # Cells that meet, as far as no path joins them.
+    radii = homes.groupBy("cell").agg(F.max("distance").alias("radius")).join(_of(classes, "node", "class"), F.col("cell") == F.col("node"), "left")
+    known = _sketched(radii.select(F.col("cell").alias("k_cell"), "radius", F.coalesce("class", "cell").alias("class")), sets, "k_cell", "a")
+    met = stage(found.join(homes.select(F.col("sid").alias("h_sid"), "cell"), F.col("sid") == F.col("h_sid")).select("region", "cell").distinct())
+    leasts = met.groupBy(F.col("cell").alias("l_cell")).agg(*(F.min_by("region", F.xxhash64("region", F.lit(k))).alias(f"a_least_{k}") for k in range(ORDERS)))
+    met = stage(met.join(known.join(leasts, F.col("k_cell") == F.col("l_cell")), F.col("cell") == F.col("k_cell")).drop("k_cell", "l_cell"))
+    other = met.select(F.col("region").alias("o_region"), F.col("cell").alias("other"), F.col("class").alias("o_class"), F.col("radius").alias("o_radius"), *(F.col(f"a_{c}").alias(f"b_{c}") for c in ("n", *_SKETCH)), *(F.col(f"a_least_{k}").alias(f"b_least_{k}") for k in range(ORDERS)))
+    # In one of the regions that both are in, if they have the same least region by some order; else in all.
+    here = F.lit(True)
+    for k in reversed(range(ORDERS)):
+        here = F.when(F.col(f"a_least_{k}") == F.col(f"b_least_{k}"), F.col("region") == F.col(f"a_least_{k}")).otherwise(here)
+    reach = F.lit(r) + F.col("radius") + F.col("o_radius")
+    pairs = met.join(other, (F.col("region") == F.col("o_region")) & (F.col("cell") < F.col("other")) & (F.col("class") != F.col("o_class")) & here & _near("a", "b", reach))
+    pairs = stage(pairs.select(F.col("cell").alias("pivot"), F.col("other").alias("sid"), "radius", "o_radius").distinct())
+    drop(found, wide)
+    measured = _measure(pairs, sets)
+    links, classes = _with_links(links, measured, classes, percent)
+    # Windows: boundary sets go to the other cell's pivot.
+    radius = pairs.filter("radius > 0 or o_radius > 0").select(F.col("pivot").alias("w_pivot"), F.col("sid").alias("w_sid"), "radius", "o_radius")
+    near = measured.join(radius, (F.col("pivot") == F.col("w_pivot")) & (F.col("sid") == F.col("w_sid")) & (F.col("distance") <= F.lit(r + TINY) + F.col("radius") + F.col("o_radius")))
+    near = stage(_apart(near.select("pivot", "sid", "distance", "radius", "o_radius"), classes, "pivot", "sid"))
+    sides = near.select(F.col("pivot").alias("own"), F.col("sid").alias("to"), "distance", F.col("o_radius").alias("radius"))
+    sides = sides.unionByName(near.select(F.col("sid").alias("own"), F.col("pivot").alias("to"), "distance", "radius"))
+    members = homes.filter("sid <> cell").select(F.col("sid").alias("x"), F.col("cell").alias("x_cell"), F.col("distance").alias("x_distance"))
+    members, sides = _sketched(members, sets, "x", "a"), _sketched(sides, sets, "to", "b")
+    window = F.col("distance") - F.col("x_distance") <= F.lit(r + TINY) + F.col("radius")
+    boundary = members.join(sides, (F.col("x_cell") == F.col("own")) & window & _near("a", "b", F.lit(r) + F.col("radius")))
+    boundary = stage(boundary.select("x", "own", "x_distance", "to", "radius"))
+    if boundary.isEmpty():
+        return classes
+    reached = _measure(boundary.select(F.col("to").alias("pivot"), F.col("x").alias("sid")).distinct(), sets)
+    links, classes = _with_links(links, reached, classes, percent)
+    # What is left: two boundary sets of two cells.
+    reached = reached.select(F.col("pivot").alias("t_pivot"), F.col("sid").alias("t_sid"), F.col("distance").alias("to_distance"))
+    placed_at = boundary.join(reached, (F.col("to") == F.col("t_pivot")) & (F.col("x") == F.col("t_sid")) & (F.col("to_distance") <= F.lit(r + TINY) + F.col("radius")))
+    placed_at = stage(_apart(placed_at.select("x", "own", "x_distance", "to", "to_distance"), classes, "own", "to"))
+    ones = _sketched(placed_at.filter("own < to"), sets, "x", "a")
+    twos = placed_at.filter("own > to").select(F.col("x").alias("y"), F.col("own").alias("y_own"), F.col("x_distance").alias("y_distance"), F.col("to").alias("y_to"), F.col("to_distance").alias("y_to_distance"))
+    twos = _sketched(twos, sets, "y", "b")
+    window = (F.abs(F.col("x_distance") - F.col("y_to_distance")) <= r + TINY) & (F.abs(F.col("to_distance") - F.col("y_distance")) <= r + TINY)
+    last = ones.join(twos, (F.col("own") == F.col("y_to")) & (F.col("to") == F.col("y_own")) & window & _near("a", "b", F.lit(r)))
+    last = stage(last.select(F.col("x").alias("pivot"), F.col("y").alias("sid")).distinct())
+    return classes if last.isEmpty() else _with_links(links, _measure(last, sets), classes, percent)[1]
 
 
 def join_documents(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row for each row of documents: doc_id, n_shingles, component_id (the least doc_id that links reach).
+    """One row for each row of documents: doc_id, n_shingles, component_id (the least doc_id that links reach), class_id (a
+    number of the component, null for texts without words) and text_key.
 
     Sets are of 64-bit hashes of shingles and are identified by 64-bit digests. Texts without words have empty sets
     and are linked with nothing, whatever else is empty; equal sets are linked; rows of one doc_id count as one node
@@ -386,15 +395,15 @@ def join_documents(documents: DataFrame, shingle: int = SHINGLE, percent: int =
     table has no rows. Columns besides doc_id and text are ignored.
     """
     shared_dir(documents.sparkSession)
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(), "text")
     shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle).tobytes())
-    profiles = stage(docs.mapInArrow(_profiles(shared, shingle, percent), "doc_id long, n long, sid long, sketch binary, regions array<long>"))
-    filled = profiles.filter("n > 0")
-    rows, ids = profiles.agg(F.count("*"), F.count_distinct("doc_id")).first()
-    classes = link_sets(filled, docs, rows != ids, shingle, percent).withColumnRenamed("node", "c_node")
-    ids = filled.groupBy("sid").agg(F.min("doc_id").alias("least"))
-    ids = ids.join(classes, F.col("sid") == F.col("c_node"), "left").select("sid", "least", F.coalesce("component", "sid").alias("class"))
-    least = ids.groupBy("class").agg(F.min("least").alias("component_id")).withColumnRenamed("class", "l_class")
-    named = stage(ids.join(least, F.col("class") == F.col("l_class")).select(F.col("sid").alias("i_sid"), "component_id"))
-    joined = profiles.join(named, (F.col("n") > 0) & (F.col("sid") == F.col("i_sid")), "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    profiles = stage(docs.mapInArrow(_profiles(shared, shingle, percent), "doc_id long, text_key long, n long, sid long, regions array<long>"))
+    rows = stage(profiles.select("doc_id", "text_key", "n", "sid"))
+    total, ids = rows.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    classes = link_sets(profiles, docs, total != ids, shingle, percent).withColumnRenamed("node", "c_node")
+    filled = rows.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
+    filled = filled.join(classes, F.col("sid") == F.col("c_node"), "left").select("sid", "least", F.coalesce("component", "sid").alias("class"))
+    least = filled.groupBy("class").agg(F.min("least").alias("component_id")).withColumnRenamed("class", "l_class")
+    named = stage(filled.join(least, F.col("class") == F.col("l_class")).select(F.col("sid").alias("i_sid"), "component_id", F.col("class").alias("class_id")))
+    joined = rows.join(named, (F.col("n") > 0) & (F.col("sid") == F.col("i_sid")), "left")
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "class_id", "text_key")

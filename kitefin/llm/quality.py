@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import stage, text_groups
+from ._common import stage, text_groups, text_key
 
 RULES = ("repeats", "duplicate_lines", "symbols", "capitals", "exclamations", "word_length")
 LEVELS = 200
@@ -67,7 +67,7 @@ def _measures(batches):
     for batch, texts in text_groups(batches):
         both = [measure(t or "") for t in texts]
         counts = [pa.array([c[k] for c, _ in both], pa.int64()) for k in range(len(COUNTS))]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("stratum"), *counts, pa.array([x for _, x in both], pa.list_(pa.int32()))], names=["doc_id", "stratum", *COUNTS, "levels"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), batch.column("stratum"), *counts, pa.array([x for _, x in both], pa.list_(pa.int32()))], names=["doc_id", "text_key", "stratum", *COUNTS, "levels"])
 
 
 def tail_at_most(k: np.ndarray, n: int, p: float) -> np.ndarray:
@@ -146,14 +146,14 @@ def cutoffs(levels: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: f
 
 
 def assess(documents: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """One row for each row of documents: doc_id, stratum, counts, levels, base_failed, rejected_by, kept.
+    """One row for each row of documents: doc_id, text_key, stratum, counts, levels, base_failed, rejected_by, kept.
 
     The stratum is lang (null: a stratum of its own, the empty string). Null texts have no words and fail the base;
     repeated rows each give a row; empty labels or an empty table mean no cutoffs. Whole texts are measured; columns
     besides doc_id, text and lang are ignored.
     """
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("stratum"), "text")
-    measured = rows.mapInArrow(_measures, "doc_id long, stratum string, " + "".join(f"{c} long, " for c in COUNTS) + "levels array<int>")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("stratum"), "text")
+    measured = rows.mapInArrow(_measures, "doc_id long, text_key long, stratum string, " + "".join(f"{c} long, " for c in COUNTS) + "levels array<int>")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATS * F.col("n_words"))
     levels = stage(measured.withColumn("base_failed", failed))
     chosen = cutoffs(levels, labels, alpha, delta).select(F.col("stratum").alias("c_stratum"), "cutoffs")
@@ -162,4 +162,4 @@ def assess(documents: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
     above = F.expr("coalesce(filter(sequence(0, size(levels) - 1), i -> levels[i] > cutoffs[i]), array())").cast("array<int>")
     joined = joined.withColumn("above", F.when(F.col("cutoffs").isNull(), F.array().cast("array<int>")).otherwise(above))
     rejected = F.transform("above", lambda i: names[i])
-    return joined.select("doc_id", "stratum", *COUNTS, "levels", "base_failed", rejected.alias("rejected_by"), (~F.col("base_failed") & (F.size("above") == 0)).alias("kept"))
+    return joined.select("doc_id", "text_key", "stratum", *COUNTS, "levels", "base_failed", rejected.alias("rejected_by"), (~F.col("base_failed") & (F.size("above") == 0)).alias("kept"))

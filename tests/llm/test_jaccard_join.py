@@ -70,10 +70,27 @@ def family(r, n, words, most):
     return [" ".join(x) for x in made]
 
 
-@pytest.mark.parametrize("seed, small, sample", [(1, 3, 16_000), (2, 2, 1)])
-def test_join_families(spark, monkeypatch, seed, small, sample):
-    monkeypatch.setattr(jaccard_join, "SMALL", small)
-    monkeypatch.setattr(jaccard_join, "PIVOTS", small)
+def test_pivots_find_the_links(spark, monkeypatch):
+    """On the given tables: sets are measured against pivots of cells, and most links come from there."""
+    found = {}
+    cells = jaccard_join._cells
+
+    def seen(*args):
+        out = cells(*args)
+        found["cells"], found["links"] = (x.count() for x in out)
+        return out
+
+    monkeypatch.setattr(jaccard_join, "_cells", seen)
+    measure, pairs = jaccard_join._measure, []
+    monkeypatch.setattr(jaccard_join, "_measure", lambda p, sets: pairs.append(p.count()) or measure(p, sets))
+    df = jaccard_join.join_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    linked = df.filter("doc_id <> component_id").count()
+    assert found["cells"] > found["links"] > 0 and linked > 0 and pairs[0] >= found["links"]
+
+
+@pytest.mark.parametrize("seed, rounds, sample", [(1, 3, 16_000), (2, 1, 1)])
+def test_join_families(spark, monkeypatch, seed, rounds, sample):
+    monkeypatch.setattr(jaccard_join, "PIVOT_ROUNDS", rounds)
     monkeypatch.setattr(jaccard_join, "SAMPLE_HITS", 8 if sample > 1 else 1_000_000)
     r = random.Random(seed)
     words = ["".join(r.choices("abcdefgé", k=5)) for _ in range(400)]

@@ -6,6 +6,7 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -45,7 +46,9 @@ def test_pipeline(spark, sf_dir):
 
 
 def test_stages_with_odd_rows(spark, sf_dir):
-    odd = odd_documents(spark)
+    odd = odd_documents(spark).withColumns({"`a.b`": F.lit(1), "`x``y`": F.lit("z")})
+    odd = odd.toDF(*[c.strip("`").replace("``", "`") for c in odd.columns])
+    assert {"a.b", "x`y"} <= set(odd.columns)
     left = [8]
     for (name, function), want in zip(corpus_pipeline.STAGES[:-1], (0, 7, 8, 8)):
         out = function(spark, odd, sf_dir)
@@ -71,3 +74,16 @@ def test_oracles(spark, sf_dir, name):
 def test_registry():
     assert {n.split("_")[0] for n in entry.queries() if n.startswith("op")} == {f"op{k}" for k in range(1, 11)}
     assert "pipeline" in entry.queries()
+
+
+def test_rows_without_ids_stand_by_their_own_texts(spark, sf_dir):
+    """Rows with a null or a repeated doc_id go for what their own texts are."""
+    long = lambda k: " ".join(f"w{k}x{x}" for x in range(80))
+    made = [(None, "short"), (None, long(1)), (None, long(2)), (7, "short"), (7, long(3)), (3, long(4)), (None, long(4) + " end"), (9, long(5)), (9, long(5) + " end"), (None, long(6)), (None, long(6) + " end")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in made], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.quality_rules(spark, docs, sf_dir)
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted((i or 0, t) for i, t in made if t != "short")
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()]
+    for group in ([(None, "short"), (7, "short")], [(9, long(5)), (9, long(5) + " end")], [(None, long(6)), (None, long(6) + " end")]):
+        assert sum(x in left for x in group) == 1, group
+    assert {(None, long(1)), (None, long(2)), (7, long(3)), (3, long(4))} <= set(left) and len(left) == 7
