@@ -1,8 +1,9 @@
 """A training corpus from `documents`: quality rules, near duplicates, decontamination, secrets, mixing.
 
-Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. Rows of one doc_id stand and fall
-together, but for repeated rows of a near-duplicate group. Stages handle what their operators handle: nulls, empty and
-long texts, repeated rows, empty tables, further columns of any name.
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. Decisions are joined back by row: by
+doc_id, null being equal to null, and a hash of the text, so that rows of one doc_id, or of none, stand and fall by
+their own texts. Stages handle what their operators handle: nulls, empty and long texts, repeated rows, empty tables,
+further columns of any name.
 """
 
 from __future__ import annotations
@@ -11,13 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kitefin.llm import decontamination, jaccard_join, mixing, quality, secret_scan
-from kitefin.llm._common import shared_dir, stage, table
+from kitefin.llm._common import shared_dir, stage, table, text_key
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in ids, a null doc_id being equal to a null."""
-    gone = stage(ids.select(F.col("doc_id").cast("long").alias("_gone_doc_id")).distinct())
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_gone_doc_id"]), "left_anti")
+def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs without the rows that have a doc_id and a text_key of rows."""
+    gone = stage(rows.select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).distinct())
+    same = docs["doc_id"].cast("long").eqNullSafe(gone["_gone_id"]) & (text_key() == gone["_gone_key"])
+    return docs.join(gone, same, "left_anti")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,11 +32,14 @@ NEAR_SHINGLE, NEAR_PERCENT = 5, 80
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents the one with the least doc_id stays; of equal rows one stays."""
-    found = stage(jaccard_join.join_documents(docs, NEAR_SHINGLE, NEAR_PERCENT))
-    kept = _without(docs, found.filter("not doc_id <=> component_id"))
-    rows, ids = found.agg(F.count("*"), F.count_distinct("doc_id")).first()
-    return kept if rows == ids else kept.dropDuplicates(["doc_id", "text"])
+    """Of each component of linked documents one with the least doc_id stays, and one row of those equal to it."""
+    found = stage(jaccard_join.join_documents(docs, NEAR_SHINGLE, NEAR_PERCENT)).filter("class_id is not null")
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
+    first = found.groupBy(F.col("class_id").alias("f_class")).agg(F.min(row).alias("first"))
+    rest = found.join(first, F.col("class_id") == F.col("f_class")).filter(~row.eqNullSafe(F.col("first")))
+    kept = _without(docs, rest)
+    rows, different = found.agg(F.count("*"), F.count_distinct(row)).first()
+    return kept if rows == different else kept.dropDuplicates(["doc_id", "text"])
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
