@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import drop, shared_dir, stage, text_groups, text_key
+from ._common import drop, shared_dir, stage, text_groups, text_key, with_checked_size
 
 SHINGLE = 4
 #: Link: 100 * intersection >= PERCENT * union.
@@ -332,7 +332,7 @@ def link_sets(profiles: DataFrame, documents: DataFrame, repeated_ids: bool = Tr
     # The sets of all that share a region, from one document each.
     scores = found.groupBy(F.col("sid").alias("s_sid")).agg(F.sum("times").alias("score"))
     first = profiles.groupBy("sid").agg(F.min("doc_id").alias("f_doc")).join(scores.select("s_sid"), F.col("sid") == F.col("s_sid"), "left_semi").withColumnRenamed("sid", "f_sid")
-    sets = documents.join(stage(first), F.col("doc_id").eqNullSafe(F.col("f_doc"))).select(F.col("f_sid").alias("sid"), "text")
+    sets = documents.join(with_checked_size(stage(first)), F.col("doc_id").eqNullSafe(F.col("f_doc"))).select(F.col("f_sid").alias("sid"), "text")
     sets = sets.mapInArrow(_sets(shingle), "sid long, n long, shingles array<long>, " + ", ".join(f"{c} long" for c in _SKETCH))
     sets = stage(sets.dropDuplicates(["sid"]) if repeated_ids else sets)
     drop(profiles)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kitefin.llm import jaccard_join, queries
+from kitefin.llm import _common, jaccard_join, queries
 from kitefin.llm._common import ASCII_LOWER
 
 from .test_row_operators import documents, odd_documents, rows
@@ -91,6 +91,7 @@ def test_pivots_find_the_links(spark, monkeypatch):
 @pytest.mark.parametrize("seed, rounds, sample", [(1, 3, 16_000), (2, 1, 1)])
 def test_join_families(spark, monkeypatch, seed, rounds, sample):
     monkeypatch.setattr(jaccard_join, "PIVOT_ROUNDS", rounds)
+    monkeypatch.setattr(_common, "MOST_BROADCAST", 0 if rounds == 1 else 1000)
     monkeypatch.setattr(jaccard_join, "SAMPLE_HITS", 8 if sample > 1 else 1_000_000)
     r = random.Random(seed)
     words = ["".join(r.choices("abcdefgé", k=5)) for _ in range(400)]
