@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kitefin.llm import decontamination, jaccard_join, mixing, quality, secret_scan
-from kitefin.llm._common import shared_dir, stage, table, text_key
+from kitefin.llm._common import shared_dir, stage, table, text_key, with_checked_size
 
 
 def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """docs without the rows that have a doc_id and a text_key of rows."""
-    gone = stage(rows.select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).distinct())
+    gone = with_checked_size(stage(rows.select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).distinct()))
     same = docs["doc_id"].cast("long").eqNullSafe(gone["_gone_id"]) & (text_key() == gone["_gone_key"])
     return docs.join(gone, same, "left_anti")
 
