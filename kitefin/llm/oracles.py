@@ -92,3 +92,28 @@ SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes,
 sha256(unhex(CASE WHEN starts IS NULL THEN h ELSE array_to_string([substr(h, 2 * (CASE WHEN x = 1 THEN 0 ELSE ends[x - 1] END) + 1, 2 * ((CASE WHEN x > len(starts) THEN len(h) // 2 ELSE starts[x] END) - (CASE WHEN x = 1 THEN 0 ELSE ends[x - 1] END))) for x in range(1, len(starts) + 2)], '') END)) AS kept_sha256
 FROM d LEFT JOIN c USING (doc_id)
 """
+
+
+def _rounds(n: int) -> str:
+    """Lloyd's rounds as common tables: a{r} assigns parts to the entries of b{r}, b{r + 1} has the moved entries."""
+    out = []
+    for r in range(n + 1):
+        apart = "list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c)"
+        out.append(f"a{r} AS MATERIALIZED (SELECT i, part, any_value(x) AS x, CAST(min(d) AS BIGINT) AS d, arg_min(entry, d * 256 + entry) AS entry FROM (SELECT i, p.part, x, entry, {apart} AS d FROM p JOIN b{r} USING (part)) GROUP BY i, part)")
+        if r < n:
+            sums = f"SELECT part, entry, j, floor(sum(x[j]) / count(*)) AS m FROM (SELECT *, unnest(range(1, len(x) + 1)) AS j FROM a{r}) GROUP BY part, entry, j"
+            out.append(f"b{r + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m, c) AS c FROM b{r} LEFT JOIN (SELECT part, entry, list(m ORDER BY j) AS m FROM ({sums}) GROUP BY part, entry) USING (part, entry))")
+    return ",\n".join(out)
+
+
+#: Whole numbers far below 2^53 are exact as doubles.
+OP12 = rf"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, x) - 1 AS i, * FROM (SELECT CAST(vec_id AS BIGINT) AS vec_id, label, [floor(1024 * CAST(e AS DOUBLE)) for e in embedding] AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND len([1 for e in embedding if e IS NULL OR NOT isfinite(e)]) = 0)),
+p AS MATERIALIZED (SELECT i, part, x[part * (len(x) // 4) + 1 : (part + 1) * (len(x) // 4)] AS x FROM v, range(4) AS r(part)),
+b0 AS MATERIALIZED (SELECT part, i AS entry, x AS c FROM p WHERE i < 256),
+{_rounds(4)},
+h AS (SELECT sha256(coalesce(string_agg(array_to_string([CAST(CAST(e AS BIGINT) AS VARCHAR) for e in c], ','), ',' ORDER BY part, entry), '')) AS codebooks_sha256 FROM b4),
+f AS (SELECT i, string_agg(printf('%02x', CAST(entry AS BIGINT)), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a4 GROUP BY i)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN f USING (i), h
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, jaccard_join, license_scan, mixing, oracles, pii, quality, secret_scan, substring_dedup, token_count
+from . import chat_format, decontamination, jaccard_join, license_scan, mixing, oracles, pii, quality, secret_scan, substring_dedup, token_count, vector_codes
 from ._common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -63,6 +63,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, tokenizer_path: str | No
     return token_count.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path)
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digest(*vector_codes.compress(table(spark, sf_dir, "embeddings")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -76,6 +80,7 @@ QUERIES = {
         op8_chat_format,
         op9_personal_data,
         op10_token_counts,
+        op12_vector_codes,
     )
 }
 #: The others need learned models, alignments or a tokenizer; tests hold them against plain Python.
@@ -86,4 +91,5 @@ ORACLES = {
     "op5_secret_scan": oracles.OP5,
     "op7_jaccard_join": oracles.OP7,
     "op8_chat_format": oracles.OP8,
+    "op12_vector_codes": oracles.OP12,
 }
