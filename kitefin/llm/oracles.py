@@ -117,3 +117,20 @@ h AS (SELECT sha256(coalesce(string_agg(array_to_string([CAST(CAST(e AS BIGINT)
 f AS (SELECT i, string_agg(printf('%02x', CAST(entry AS BIGINT)), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a4 GROUP BY i)
 SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN f USING (i), h
 """
+
+#: CRC-32 bit by bit; a turn's key is the digest of its role's length, role and text, a prefix the keys of its turns.
+OP13 = """
+WITH RECURSIVE t AS (SELECT CAST(conv_id AS BIGINT) AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, list({'k': md5(length(role) || ':' || role || text), 'n': CAST(length(text) AS BIGINT)} ORDER BY turn NULLS FIRST, role, text) AS own FROM t GROUP BY c),
+crc(c, b, i, x) AS (SELECT c, CAST(c AS VARCHAR), 0, CAST(4294967295 AS UBIGINT) FROM o
+  UNION ALL SELECT c, b, i + 1, xor(y >> 1, CASE WHEN y & 1 = 1 THEN CAST(3988292384 AS UBIGINT) ELSE CAST(0 AS UBIGINT) END) FROM (SELECT *, CASE WHEN i % 8 = 0 THEN xor(x, CAST(ascii(b[i // 8 + 1]) AS UBIGINT)) ELSE x END AS y FROM crc WHERE i < 8 * length(b))),
+h AS (SELECT c, CAST(xor(x, CAST(4294967295 AS UBIGINT)) % 6 AS BIGINT) AS h FROM crc WHERE i = 8 * length(b)),
+r AS (SELECT o.c, list_concat(coalesce(d.own[1 : h], []), o.own[h + 1 :]) AS s FROM o JOIN h USING (c) LEFT JOIN o AS d ON d.c = o.c - o.c % 100),
+v AS (SELECT c, d, len(s) = d AS ends, array_to_string([x.k for x in s[1 : d]], ',') AS p, CASE WHEN d > 0 THEN array_to_string([x.k for x in s[1 : d - 1]], ',') END AS q, CASE WHEN d > 0 THEN s[d].n ELSE 0 END AS chars,
+  [array_to_string([x.k for x in s[1 : k]], ',') for k in range(0, d + 1)] AS above FROM (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM r)),
+n AS (SELECT p, any_value(q) AS q, any_value(above) AS above, min(c) AS conv_id, any_value(d) AS depth, count(*) AS n_convs, any_value(chars) AS chars, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256 FROM v GROUP BY p),
+k AS (SELECT q AS p, count(*) AS n_children FROM n GROUP BY q),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (p)),
+u AS (SELECT a AS p, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum((n_convs - 1) * chars) AS BIGINT) AS saved_tokens FROM (SELECT *, unnest(above) AS a FROM m) GROUP BY a)
+SELECT m.conv_id, CAST(m.depth AS BIGINT) AS depth, up.conv_id AS parent_conv_id, m.n_convs, m.n_children, u.n_leaves, u.saved_tokens, m.ends_sha256 FROM m JOIN u USING (p) LEFT JOIN m AS up ON up.p = m.q
+"""

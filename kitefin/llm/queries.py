@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, jaccard_join, license_scan, mixing, oracles, pii, quality, secret_scan, substring_dedup, token_count, vector_codes
+from . import chat_format, decontamination, jaccard_join, license_scan, mixing, oracles, pii, prefix_trie, quality, secret_scan, substring_dedup, token_count, vector_codes
 from ._common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -67,6 +67,10 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.digest(*vector_codes.compress(table(spark, sf_dir, "embeddings")))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefixes(table(spark, sf_dir, "conversations")).drop("hi", "lo")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -81,6 +85,7 @@ QUERIES = {
         op9_personal_data,
         op10_token_counts,
         op12_vector_codes,
+        op13_prefix_trie,
     )
 }
 #: The others need learned models, alignments or a tokenizer; tests hold them against plain Python.
@@ -92,4 +97,5 @@ ORACLES = {
     "op7_jaccard_join": oracles.OP7,
     "op8_chat_format": oracles.OP8,
     "op12_vector_codes": oracles.OP12,
+    "op13_prefix_trie": oracles.OP13,
 }
