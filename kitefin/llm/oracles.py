@@ -134,3 +134,13 @@ m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING
 u AS (SELECT a AS p, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum((n_convs - 1) * chars) AS BIGINT) AS saved_tokens FROM (SELECT *, unnest(above) AS a FROM m) GROUP BY a)
 SELECT m.conv_id, CAST(m.depth AS BIGINT) AS depth, up.conv_id AS parent_conv_id, m.n_convs, m.n_children, u.n_leaves, u.saved_tokens, m.ends_sha256 FROM m JOIN u USING (p) LEFT JOIN m AS up ON up.p = m.q
 """
+
+OP11 = rf"""
+WITH d AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS ws FROM documents),
+w AS (SELECT doc_id, i, array_to_string(ws[i : i + 12], ' ') AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d WHERE len(ws) >= 13)),
+m AS (SELECT win, min(doc_id) AS home FROM w GROUP BY win HAVING min(doc_id) < max(doc_id)),
+x AS (SELECT DISTINCT doc_id, k FROM (SELECT doc_id, unnest(range(i, i + 13)) AS k FROM w JOIN m USING (win) WHERE doc_id > home)),
+g AS (SELECT doc_id, count(*) AS n_removed FROM x GROUP BY doc_id),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS kept FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS k FROM d) ANTI JOIN x USING (doc_id, k) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN g USING (doc_id) LEFT JOIN k USING (doc_id)
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, jaccard_join, license_scan, mixing, oracles, pii, prefix_trie, quality, secret_scan, substring_dedup, token_count, vector_codes
+from . import chat_format, decontamination, jaccard_join, license_scan, mixing, oracles, pii, prefix_trie, quality, repeated_phrases, secret_scan, substring_dedup, token_count, vector_codes
 from ._common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -63,6 +63,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, tokenizer_path: str | No
     return token_count.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path)
 
 
+def op11_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_phrases.dedup_phrases(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.digest(*vector_codes.compress(table(spark, sf_dir, "embeddings")))
 
@@ -84,6 +89,7 @@ QUERIES = {
         op8_chat_format,
         op9_personal_data,
         op10_token_counts,
+        op11_repeated_phrases,
         op12_vector_codes,
         op13_prefix_trie,
     )
@@ -96,6 +102,7 @@ ORACLES = {
     "op5_secret_scan": oracles.OP5,
     "op7_jaccard_join": oracles.OP7,
     "op8_chat_format": oracles.OP8,
+    "op11_repeated_phrases": oracles.OP11,
     "op12_vector_codes": oracles.OP12,
     "op13_prefix_trie": oracles.OP13,
 }
