@@ -5,6 +5,8 @@ New lines get a place between their neighbours', and lines are numbered anew by
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,12 +71,27 @@ def rename(lines: DataFrame, old: str, new: str) -> DataFrame:
     return lines.withColumn("text", rename_word(F.col("text"), old, new))
 
 
+#: A moved body comes behind the last line of its target that has one of these.
+HEAD_MARKS = ("#include", "#define")
+
+
 def move_bodies(lines: DataFrame, spans: DataFrame) -> DataFrame:
-    """Function bodies (file, start, end) moved to `<file>_code.c`, after what it has; the old places are blank."""
-    body = line_slice(lines, spans.select("file", "start", "end"))
+    """Function bodies (file, start, end) moved to `<file>_code.c`; the old places are blank.
+
+    Where that file exists, bodies come behind its last include or define, on top if it has none; where not, they are the
+    file. Bodies of one target are in the order of their files and starts. A span's lines are moved whole, also where
+    another span has them; lines of a target that are moved on themselves are blank there.
+    """
     target = F.concat(F.regexp_replace("file", r"\.c$", ""), F.lit("_code.c"))
-    moved = renumber(body.select(target.alias("file"), F.col("start").cast("double").alias("place"), F.col("line_no").alias("part"), "text"))
-    return blank_ranges(lines, spans).unionByName(moved)
+    body = line_slice(lines, spans.select("file", "start", "end").distinct()).select(target.alias("target"), "file", "start", "end", "line_no", "text")
+    part = F.row_number().over(Window.partitionBy("target").orderBy("file", "start", "end", "line_no"))
+    moved = body.select(F.col("target").alias("file"), part.alias("part"), "text")
+    left, targets = blank_ranges(lines, spans), moved.select("file").distinct()
+    held = left.join(targets, "file", "left_semi")
+    marked = functools.reduce(Column.__or__, (F.contains("text", F.lit(m)) for m in HEAD_MARKS))
+    head = held.filter(marked).groupBy("file").agg(F.max("line_no").alias("head"))
+    new = moved.join(head, "file", "left").select("file", (F.coalesce("head", F.lit(0)) + 0.5).alias("place"), "part", "text")
+    return left.join(targets, "file", "left_anti").unionByName(insert(held, new))
 
 
 def interface_rows(functions: DataFrame) -> DataFrame:

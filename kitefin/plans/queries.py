@@ -668,9 +668,34 @@ def delete_range(spark, sf):
     return rewrite.delete_ranges(D.lines(spark, sf), _spans(spark, sf)).withColumn("line_no", F.col("line_no").cast("long"))
 
 
-@query(with_("d") + f"SELECT file, line_no, CASE WHEN {_EVEN} THEN '' ELSE text END AS text FROM d UNION ALL SELECT file || '_code.c', row_number() OVER (PARTITION BY file ORDER BY line_no), text FROM d WHERE {_EVEN}")
+def _code_files(lines):
+    """Targets that exist: every fourth document's, with the lines of the next one; some of those are includes and defines."""
+    number = F.substring("file", 2, 20).cast("long")
+    mark = F.when(F.col("line_no") % 5 == 1, "#include ").when(F.col("line_no") % 7 == 3, "  # define x #define ").otherwise("")
+    name = F.concat(F.lit("d"), (number - 1).cast("string"), F.lit("_code.c"))
+    return lines.filter(number % 8 == 1).select(name.alias("file"), "line_no", F.concat(F.when(number % 16 == 1, mark).otherwise(""), "text").alias("text"))
+
+
+def _bodies(spark, sf):
+    """Lines 2 to 4 of documents with an even number, and of every sixth from 4 to beyond its end."""
+    even = _spans(spark, sf)
+    return even.unionByName(even.filter(F.substring("file", 2, 20).cast("long") % 6 == 0).select("file", F.lit(4).alias("start"), F.lit(100_000).alias("end")))
+
+
+_MOVED = with_(
+    "d",
+    "c AS (SELECT 'd' || (k - 1) || '_code.c' AS file, line_no, CASE WHEN k % 16 <> 1 THEN '' WHEN line_no % 5 = 1 THEN '#include ' WHEN line_no % 7 = 3 THEN '  # define x #define ' ELSE '' END || text AS text FROM (SELECT *, CAST(substr(file, 2) AS BIGINT) AS k FROM d) WHERE k % 8 = 1)",
+    "s AS (SELECT file, k, a, b FROM (SELECT 'd' || doc_id AS file, doc_id AS k FROM documents), (VALUES (2, 4), (4, 100000)) AS r(a, b) WHERE k % 2 = 0 AND (a = 2 OR k % 6 = 0))",
+    "w AS (SELECT file || '_code.c' AS file, a, line_no, text FROM d JOIN s USING (file) WHERE line_no BETWEEN a AND b)",
+    "h AS (SELECT file, max(line_no) AS head FROM c WHERE contains(text, '#include') OR contains(text, '#define') GROUP BY file)",
+    "p AS (SELECT file, line_no::DOUBLE AS place, 0 AS a, 0 AS n, text FROM c UNION ALL SELECT file, coalesce(head, 0) + 0.5, a, line_no, text FROM w LEFT JOIN h USING (file))",
+)
+
+
+@query(_MOVED + "SELECT file, line_no, CASE WHEN EXISTS (SELECT 1 FROM s WHERE s.file = d.file AND line_no BETWEEN a AND b) THEN '' ELSE text END AS text FROM d UNION ALL SELECT file, row_number() OVER (PARTITION BY file ORDER BY place, a, n), text FROM p")
 def move_bodies(spark, sf):
-    return rewrite.move_bodies(D.lines(spark, sf), _spans(spark, sf)).withColumn("line_no", F.col("line_no").cast("long"))
+    code = D.lines(spark, sf)
+    return rewrite.move_bodies(code.unionByName(_code_files(code)), _bodies(spark, sf)).withColumn("line_no", F.col("line_no").cast("long"))
 
 
 @query(with_("d", "g AS (SELECT unnest(range(1, 10001)) AS line_no)") + "SELECT file, line_no, CASE WHEN file = 'd3' AND line_no = 10000 THEN 'x' ELSE text END AS text FROM d UNION ALL SELECT 'd3', line_no, CASE WHEN line_no = 10000 THEN 'x' ELSE '' END FROM g WHERE line_no > (SELECT max(line_no) FROM d WHERE file = 'd3')")

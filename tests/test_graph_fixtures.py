@@ -191,6 +191,14 @@ def test_rewriting(spark):
     assert text(rewrite.delete_ranges(code, span)) == ["#include <a.h>", "int y;"]
     moved = rewrite.move_bodies(code, span)
     assert text(moved.filter("file = 'f.c'")) == ["#include <a.h>", "", "int y;"] and text(moved.filter("file = 'f_code.c'")) == ["int x;"]
+    # Beside an existing target: behind its last include or define, else on top; a function's lines stay together.
+    at = lambda *rows: spark.createDataFrame([(f, k + 1, t) for f, whole in rows for k, t in enumerate(whole.split("\n"))], "file string, line_no int, text string")
+    both = at(("f.c", "a\nb\n#define c\nd"), ("f_code.c", "#include <x>\nint k;\n  #define K 1\nint z;"), ("g.c", "u\nv"), ("g_code.c", "w"), ("h.c", "h"))
+    spans = spark.createDataFrame([("f.c", 3, 9), ("f.c", 1, 2), ("f.c", 1, 2), ("g.c", 2, 2), ("none.c", 1, 5)], "file string, start int, end int")
+    moved = rewrite.move_bodies(both, spans)
+    assert moved.groupBy("file", "line_no").count().filter("count > 1").count() == 0
+    found = {f: text(moved.filter(F.col("file") == f)) for f in ("f.c", "f_code.c", "g.c", "g_code.c", "h.c", "none_code.c")}
+    assert found == {"f.c": [""] * 4, "f_code.c": ["#include <x>", "int k;", "  #define K 1", "a", "b", "#define c", "d", "int z;"], "g.c": ["u", ""], "g_code.c": ["v", "w"], "h.c": ["h"], "none_code.c": []}
     assert text(rewrite.module_include(code, code)) == ["#include <linux/module.h>", "#include <a.h>", "int x;", "int y;"]
 
 
