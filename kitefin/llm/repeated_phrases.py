@@ -10,8 +10,8 @@ smallest of those ids; a word is removed where a recurring window of another hom
    candidates: a key that two windows share costs a look and no more.
 3. Passages. Runs of windows with one home are cut out of the texts: in the home itself they are the phrases to look for,
    elsewhere the places to look at.
-4. Automata, sharded by home. A task builds automata of the windows of its homes' passages, a character for each word
-   that they hold, and streams all places through them; what they find is removed. Homes that are copied very often are
+4. Automata, sharded by home. A task builds automata of its homes' passages, a character for each word that they hold,
+   and streams all places through them; windows that they find are removed. Homes that are copied very often are
    dealt over many tasks, and their phrases with them.
 5. A window that its home's automaton doesn't hold had the key of another; these few are compared by their words.
 6. Texts and found ranges meet by pack, and what is left of each text is put together.
@@ -209,10 +209,15 @@ def _passages(window: int, bits: int, key_bits: int):
 
 
 class Automata:
-    """Aho-Corasick automata over words, a character for each word; a new one begins when characters run out."""
+    """Aho-Corasick automata over words, a character for each word; a new one begins when characters run out.
+
+    Patterns are the grams of half a window that stand in a phrase one behind the other: every window of the phrase holds
+    one of them whole, with one node of the automaton for each word instead of a window of nodes. Where one is found, the
+    windows that hold it are compared with those of the phrases.
+    """
 
     def __init__(self, window: int):
-        self.window, self.all = window, []
+        self.window, self.gram, self.all = window, (window + 1) // 2, []
 
     def _letters(self, words: list[bytes]) -> str:
         letters = self.all[-1][0]
@@ -225,25 +230,32 @@ class Automata:
     def add(self, phrase: bytes, home: int) -> None:
         words = phrase.split(b" ")
         if not self.all or len(self.all[-1][0]) + len(words) > MOST_WORDS:
-            self.all.append(({}, ahocorasick.Automaton(ahocorasick.STORE_ANY)))
-        said, automaton = self._letters(words), self.all[-1][1]
+            self.all.append(({}, ahocorasick.Automaton(ahocorasick.STORE_LENGTH), {}))
+        said, (_, automaton, homes) = self._letters(words), self.all[-1]
+        for k in range(0, len(said) - self.gram + 1, self.gram):
+            automaton.add_word(said[k : k + self.gram])
         for k in range(len(said) - self.window + 1):
             w = said[k : k + self.window]
-            automaton.add_word(w, min(home, automaton.get(w, home)))
+            if homes.setdefault(w, home) > home:
+                homes[w] = home
 
     def compile(self) -> None:
-        for _, automaton in self.all:
+        for _, automaton, _ in self.all:
             automaton.make_automaton()
 
     def find(self, words: list[bytes]) -> dict[int, int]:
         """Starts of windows of phrases, with the smallest home."""
         found: dict[int, int] = {}
-        before = self.window - 1
-        for letters, automaton in self.all:
+        last = len(words) - self.window
+        for letters, automaton, homes in self.all:
             said = "".join([letters.get(w, "\0") for w in words])
-            for end, home in automaton.iter(said):
-                if found.setdefault(end - before, home) > home:
-                    found[end - before] = home
+            done = 0
+            for end, _ in automaton.iter(said):
+                for k in range(max(done, end + 1 - self.window), min(last, end + 1 - self.gram) + 1):
+                    home = homes.get(said[k : k + self.window])
+                    if home is not None and found.setdefault(k, home) > home:
+                        found[k] = home
+                done = max(done, end + 2 - self.gram)
         return found
 
 
