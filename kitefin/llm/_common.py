@@ -76,13 +76,9 @@ def drop(*tables: DataFrame) -> None:
         delete_path(_staged.pop(path), path)
 
 
-#: Rows of a few numbers that are sent to all executors, some 40 MB there, instead of moving all texts to them.
-MOST_BROADCAST = 1_000_000
-
-
-def with_checked_size(staged: DataFrame, most: int | None = None) -> DataFrame:
-    """A staged table of a few numbers a row, to be broadcast if it has `most` rows or fewer; else it is joined by key."""
-    return F.broadcast(staged) if staged.count() <= (MOST_BROADCAST if most is None else most) else staged
+def moved(table: DataFrame) -> DataFrame:
+    """A table that grows with the input, to be joined by key at every size: what a small run shows, a large one does."""
+    return table.hint("merge")
 
 
 def delete_path(spark: SparkSession, path: str) -> None:

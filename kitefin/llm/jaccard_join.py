@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import drop, shared_dir, stage, text_groups, text_key, with_checked_size
+from ._common import drop, moved, shared_dir, stage, text_groups, text_key
 
 SHINGLE = 4
 #: Link: 100 * intersection >= PERCENT * union.
@@ -160,7 +160,7 @@ def _profiles(shared, shingle: int, percent: int):
             keys = [regions(s, common, percent) for s in sets]
             held = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate(keys), pa.int64()))
             columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), held]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), *columns], names=["doc_id", "text_key", "n", "sid", "regions"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "text_key", "row_key")), *columns], names=["doc_id", "text_key", "row_key", "n", "sid", "regions"])
 
     return run
 
@@ -319,8 +319,8 @@ def _with_links(links: DataFrame, measured: DataFrame, classes: DataFrame, perce
     return links, stage(components(links.toDF("a", "b")))
 
 
-def link_sets(profiles: DataFrame, documents: DataFrame, repeated_ids: bool = True, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """node, component over the ids of different sets that have links. documents: doc_id, text; profiles of them."""
+def link_sets(profiles: DataFrame, documents: DataFrame, repeated_keys: bool = True, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """node, component over the ids of different sets that have links. documents: row_key, text; profiles of them."""
     r = (100 - percent) / 100
     placed = profiles.select(F.explode("regions").alias("region"), "sid")
     crowded = placed.groupBy("region").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).filter("low < high").select(F.col("region").alias("c_region"))
@@ -329,12 +329,12 @@ def link_sets(profiles: DataFrame, documents: DataFrame, repeated_ids: bool = Tr
     shared = stage(placed.join(crowded, F.col("region") == F.col("c_region"), "left_semi").distinct())
     found = stage(_once(shared))
     drop(crowded, shared)
-    # The sets of all that share a region, from one document each.
+    # The sets of all that share a region, from one row each. A row key that two rows share is told by the set's id.
     scores = found.groupBy(F.col("sid").alias("s_sid")).agg(F.sum("times").alias("score"))
-    first = profiles.groupBy("sid").agg(F.min("doc_id").alias("f_doc")).join(scores.select("s_sid"), F.col("sid") == F.col("s_sid"), "left_semi").withColumnRenamed("sid", "f_sid")
-    sets = documents.join(with_checked_size(stage(first)), F.col("doc_id").eqNullSafe(F.col("f_doc"))).select(F.col("f_sid").alias("sid"), "text")
+    first = profiles.groupBy("sid").agg(F.min("row_key").alias("f_key")).join(scores.select("s_sid"), F.col("sid") == F.col("s_sid"), "left_semi").withColumnRenamed("sid", "f_sid")
+    sets = documents.join(moved(stage(first)), F.col("row_key") == F.col("f_key")).select(F.col("f_sid").alias("sid"), "text")
     sets = sets.mapInArrow(_sets(shingle), "sid long, n long, shingles array<long>, " + ", ".join(f"{c} long" for c in _SKETCH))
-    sets = stage(sets.dropDuplicates(["sid"]) if repeated_ids else sets)
+    sets = stage(sets.dropDuplicates(["sid"]) if repeated_keys else sets)
     drop(profiles)
     wide = stage(_sketched(found.join(scores, F.col("sid") == F.col("s_sid")).select("region", "sid", "score"), sets, "sid", "a"))
     homes, links = _cells(wide, sets, percent)
@@ -395,12 +395,12 @@ def join_documents(documents: DataFrame, shingle: int = SHINGLE, percent: int =
     table has no rows. Columns besides doc_id and text are ignored.
     """
     shared_dir(documents.sparkSession)
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(), "text")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(), "text").select("doc_id", "text_key", F.xxhash64("doc_id", "text_key").alias("row_key"), "text")
     shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle).tobytes())
-    profiles = stage(docs.mapInArrow(_profiles(shared, shingle, percent), "doc_id long, text_key long, n long, sid long, regions array<long>"))
+    profiles = stage(docs.mapInArrow(_profiles(shared, shingle, percent), "doc_id long, text_key long, row_key long, n long, sid long, regions array<long>"))
     rows = stage(profiles.select("doc_id", "text_key", "n", "sid"))
-    total, ids = rows.agg(F.count("*"), F.count_distinct("doc_id")).first()
-    classes = link_sets(profiles, docs, total != ids, shingle, percent).withColumnRenamed("node", "c_node")
+    total, keys = profiles.agg(F.count("*"), F.count_distinct("row_key")).first()
+    classes = link_sets(profiles, docs, total != keys, shingle, percent).withColumnRenamed("node", "c_node")
     filled = rows.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
     filled = filled.join(classes, F.col("sid") == F.col("c_node"), "left").select("sid", "least", F.coalesce("component", "sid").alias("class"))
     least = filled.groupBy("class").agg(F.min("least").alias("component_id")).withColumnRenamed("class", "l_class")

@@ -17,7 +17,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import shared_dir, stage, text_groups
+from ._common import moved, shared_dir, stage, text_groups
 
 #: Kinds in the order in which spans with equal starts are listed; the first three are the base.
 KINDS = ("assign", "access", "hex", "private_key", "bearer", "forge")
@@ -140,21 +140,29 @@ def redact(documents: DataFrame, ledger_path: str, rule_version: str = RULE_VERS
     found = scan_secrets(documents, ledger_path, rule_version).select(F.col("blob").alias("f_blob"), F.col("findings").alias("f_findings")).filter(F.size("f_findings") > 0).dropDuplicates(["f_blob"])
     blob = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
     held = documents.select(F.struct(*(F.col("`" + n.replace("`", "``") + "`") for n in names)).alias("row"), blob.alias("blob"))
-    joined = held.join(found, held.blob == found.f_blob, "left")
-
-    clean = joined.filter("f_findings is null").select("row.*")
-    schema = documents.schema
+    # Staged, so that Spark can split a text that very many rows hold.
+    joined = held.join(moved(stage(found)), held.blob == F.col("f_blob"), "left").select("row", "f_findings")
     at = names.index("text")
-    counted = [k for k, f in enumerate(schema) if f.name == "n_chars"]
+    counted = [k for k, f in enumerate(documents.schema) if f.name == "n_chars"]
 
     def rewrite(batches):
         for batch in batches:
-            rows = batch.column("row")
-            texts = [_without(t, f) for t, f in zip(rows.field(at).to_pylist(), batch.column("f_findings").to_pylist())]
-            columns = {at: texts} | {k: list(map(len, texts)) for k in counted}
-            yield pa.RecordBatch.from_arrays([pa.array(columns[k], rows.field(k).type) if k in columns else rows.field(k) for k in range(len(names))], names=names)
-
-    return clean.unionAll(joined.filter("f_findings is not null").select("row", "f_findings").mapInArrow(rewrite, schema))
+            rows, findings = batch.column("row"), batch.column("f_findings")
+            columns = [rows.field(k) for k in range(len(names))]
+            hit = [k for k, f in enumerate(findings.is_valid().to_pylist()) if f]
+            if hit:
+                texts = columns[at].to_pylist()
+                lengths = {k: columns[k].to_pylist() for k in counted}
+                for k in hit:
+                    texts[k] = _without(texts[k], findings[k].as_py())
+                    for n in lengths.values():
+                        n[k] = len(texts[k])
+                columns[at] = pa.array(texts, columns[at].type)
+                for k, n in lengths.items():
+                    columns[k] = pa.array(n, columns[k].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return joined.mapInArrow(rewrite, documents.schema)
 
 
 def _without(text: str, findings: list[dict]) -> str:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kitefin.llm import _common, jaccard_join, queries
+from kitefin.llm import jaccard_join, queries
 from kitefin.llm._common import ASCII_LOWER
 
 from .test_row_operators import documents, odd_documents, rows
@@ -91,7 +91,6 @@ def test_pivots_find_the_links(spark, monkeypatch):
 @pytest.mark.parametrize("seed, rounds, sample", [(1, 3, 16_000), (2, 1, 1)])
 def test_join_families(spark, monkeypatch, seed, rounds, sample):
     monkeypatch.setattr(jaccard_join, "PIVOT_ROUNDS", rounds)
-    monkeypatch.setattr(_common, "MOST_BROADCAST", 0 if rounds == 1 else 1000)
     monkeypatch.setattr(jaccard_join, "SAMPLE_HITS", 8 if sample > 1 else 1_000_000)
     r = random.Random(seed)
     words = ["".join(r.choices("abcdefgé", k=5)) for _ in range(400)]
@@ -114,6 +113,32 @@ def test_join_odd_rows(spark):
     assert got == {(5, 57): 4, (5, 2): 5, (4, 58): 4, (None, 57): 4, (9, 2): 5}
 
 
+def test_rows_without_ids_are_joined_by_their_texts(spark):
+    """As many rows of one doc_id, or of none, as of many: each is looked up by its own key."""
+    r = random.Random(9)
+    texts = [" ".join(r.choices("abcdefghij", k=30)) for _ in range(1000)]
+    texts += [t + " k" for t in texts]
+    made = [(None if k % 2 else 5, t) for k, t in enumerate(texts)] + [(5, texts[0])] * 20
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(4)
+    found = jaccard_join.join_documents(df)
+    got = found.groupBy("class_id").agg(F.count("*").alias("n"), F.min("component_id").alias("c"), F.count_distinct("text_key").alias("texts")).collect()
+    assert len(got) == 1000 and sorted(x.n for x in got) == [2] * 999 + [22] and all(x.texts == 2 for x in got)
+    seen, keep = [], jaccard_join.stage
+
+    def count(df, *partition_by):
+        out = keep(df, *partition_by)
+        if "shingles" in out.columns:
+            seen.append(out.count())
+        return out
+
+    jaccard_join.stage = count
+    try:
+        jaccard_join.join_documents(df.limit(500)).count()
+    finally:
+        jaccard_join.stage = keep
+    assert seen and max(seen) <= 500
+
+
 def test_regions_meet():
     """Linked sets share a region, whatever counts as common."""
     r = random.Random(6)

@@ -72,7 +72,7 @@ def test_oracles(spark, sf_dir, name):
 
 
 def test_registry():
-    assert {n.split("_")[0] for n in entry.queries() if n.startswith("op")} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in entry.queries() if n.startswith("op")} == {f"op{k}" for k in range(1, 14)}
     assert "pipeline" in entry.queries()
 
 
