@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kitefin.llm import decontamination, jaccard_join, mixing, quality, secret_scan
-from kitefin.llm._common import shared_dir, stage, table, text_key, with_checked_size
+from kitefin.llm._common import WORD_PATTERN, moved, shared_dir, stage, table, text_key
 
 
 def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """docs without the rows that have a doc_id and a text_key of rows."""
-    gone = with_checked_size(stage(rows.select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).distinct()))
+    gone = moved(stage(rows.select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).distinct()))
     same = docs["doc_id"].cast("long").eqNullSafe(gone["_gone_id"]) & (text_key() == gone["_gone_key"])
     return docs.join(gone, same, "left_anti")
 
@@ -32,14 +32,20 @@ NEAR_SHINGLE, NEAR_PERCENT = 5, 80
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents one with the least doc_id stays, and one row of those equal to it."""
+    """Of each component of linked documents one with the least doc_id stays, and one row of those equal to it.
+
+    Texts without words are in no component: all their rows stay.
+    """
     found = stage(jaccard_join.join_documents(docs, NEAR_SHINGLE, NEAR_PERCENT)).filter("class_id is not null")
     row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
     first = found.groupBy(F.col("class_id").alias("f_class")).agg(F.min(row).alias("first"))
     rest = found.join(first, F.col("class_id") == F.col("f_class")).filter(~row.eqNullSafe(F.col("first")))
     kept = _without(docs, rest)
     rows, different = found.agg(F.count("*"), F.count_distinct(row)).first()
-    return kept if rows == different else kept.dropDuplicates(["doc_id", "text"])
+    if rows == different:
+        return kept
+    has_word = F.coalesce(F.col("text").rlike(WORD_PATTERN), F.lit(False))
+    return kept.filter(has_word).dropDuplicates(["doc_id", "text"]).unionAll(kept.filter(~has_word))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
