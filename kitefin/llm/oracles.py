@@ -144,3 +144,31 @@ g AS (SELECT doc_id, count(*) AS n_removed FROM x GROUP BY doc_id),
 k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS kept FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS k FROM d) ANTI JOIN x USING (doc_id, k) GROUP BY doc_id)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN g USING (doc_id) LEFT JOIN k USING (doc_id)
 """
+
+#: What op6 counts before any learned cutoff.
+QUALITY_COUNTS = rf"""
+WITH d AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS ws FROM documents),
+l AS (SELECT doc_id, [x for x in string_split(text, chr(10)) if regexp_matches(x, '{_WORDS}')] AS lines FROM d),
+w AS (SELECT doc_id, i, array_to_string(ws[i : i + 2], ' ') AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM d WHERE len(ws) >= 3)),
+r AS (SELECT doc_id, win FROM w GROUP BY 1, 2 HAVING count(*) > 1),
+c AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS k FROM w JOIN r USING (doc_id, win)) GROUP BY 1),
+m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum([length(x) for x in ws]), 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+  CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM d JOIN l USING (doc_id) LEFT JOIN c USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m
+"""
+
+_ONLY_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum([CASE WHEN (length({_ONLY_DIGITS}) - k) % 2 = 0 THEN CAST({_ONLY_DIGITS}[k] AS BIGINT) WHEN CAST({_ONLY_DIGITS}[k] AS BIGINT) > 4 THEN 2 * CAST({_ONLY_DIGITS}[k] AS BIGINT) - 9 ELSE 2 * CAST({_ONLY_DIGITS}[k] AS BIGINT) END for k in range(1, length({_ONLY_DIGITS}) + 1)]) % 10 = 0"
+
+#: What op9 finds by its fixed patterns.
+PERSONAL_DATA_BASE = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+f AS ({" UNION ALL ".join((
+    _spans(0, "email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+    _spans(1, "ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "len([x for x in string_split(m, '.') if length(ltrim(x, '0')) > 3 OR CAST('0' || right(x, 3) AS BIGINT) > 255]) = 0"),
+    _spans(2, "card", r"[0-9](?:[\x20-]?[0-9])+", f"length({_ONLY_DIGITS}) BETWEEN 14 AND 19 AND {_LUHN}"),
+    _spans(3, "phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_ONLY_DIGITS}) BETWEEN 10 AND 15"),
+))}),
+g AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = {k}) AS n_{n}" for k, n in enumerate(("email", "ip", "card", "phone")))}, string_agg(name || ':' || a || ':' || (a + length(m)), ',' ORDER BY a, kind) AS base FROM f GROUP BY doc_id)
+SELECT CAST(doc_id AS BIGINT) AS doc_id, {", ".join(f"coalesce(n_{n}, 0) AS n_{n}" for n in ("email", "ip", "card", "phone"))}, sha256(coalesce(base, '')) AS base_sha256 FROM d LEFT JOIN g USING (doc_id)
+"""

@@ -76,6 +76,16 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefixes(table(spark, sf_dir, "conversations")).drop("hi", "lo")
 
 
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op6 without its learned cutoffs."""
+    return op6_quality_rules(spark, sf_dir).drop("kept")
+
+
+def personal_data_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9 without the spans that its model adds."""
+    return op9_personal_data(spark, sf_dir).drop("spans")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -92,9 +102,12 @@ QUERIES = {
         op11_repeated_phrases,
         op12_vector_codes,
         op13_prefix_trie,
+        quality_counts,
+        personal_data_base,
     )
 }
-#: The others need learned models, alignments or a tokenizer; tests hold them against plain Python.
+#: The others need learned models, alignments or a tokenizer; tests hold them against plain Python. What op6 and op9 do
+#: before their models is queried apart.
 ORACLES = {
     "op1_decontamination": oracles.OP1,
     "op3_substring_dedup": oracles.OP3,
@@ -105,4 +118,6 @@ ORACLES = {
     "op11_repeated_phrases": oracles.OP11,
     "op12_vector_codes": oracles.OP12,
     "op13_prefix_trie": oracles.OP13,
+    "quality_counts": oracles.QUALITY_COUNTS,
+    "personal_data_base": oracles.PERSONAL_DATA_BASE,
 }
