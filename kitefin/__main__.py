@@ -1,4 +1,4 @@
-"""Command line: `advise` directories, `combine` adjacency text into one graph, `partition` a graph into components."""
+"""Command line: `advise` directories, `combine` adjacency text into one graph, `partition` a graph into components, as a table or as DOT clusters."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .operators import graph, iterate, labels, reports
 from .plans.advise import advise, by_subsystem
-from .sources import graphs, sinks, text_lines
+from .sources import dot_source, graphs, sinks, text_lines
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -21,6 +21,7 @@ def main(argv: list[str] | None = None) -> None:
         sub.add_argument("-o", "--output", required=True)
     commands.choices["advise"].add_argument("-s", "--subsystem", help="a single directory; all, at every depth, without it")
     commands.choices["combine"].add_argument("--points-to", action="store_true")
+    commands.choices["partition"].add_argument("--dot", action="store_true", help="DOT files with a cluster a component instead of Parquet")
     given = parser.parse_args(argv)
     spark = SparkSession.builder.appName("kitefin").getOrCreate()
     read = lambda name: spark.read.parquet(f"{given.input}/{name}")
@@ -40,7 +41,11 @@ def main(argv: list[str] | None = None) -> None:
     else:
         edges = spark.read.parquet(given.input)
         members = iterate.components(edges, graph.endpoints(edges))
-        reports.rank_components(members).write.mode("overwrite").parquet(given.output)
+        ranked = reports.rank_components(members)
+        if given.dot:
+            dot_source.write_clusters(ranked, edges, given.output)
+        else:
+            ranked.write.mode("overwrite").parquet(given.output)
 
 
 if __name__ == "__main__":

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from ..functions.names import is_intrinsic, virtual_init_name
 from ..functions.text import c_type
 from ..schema import GLOBAL_PREFIX
-from .iterate import spread
+from ..shared import checkpoint
+from .iterate import components, spread
 
 CALLS = ("call", "invoke")
 #: Operands of a store.
@@ -57,15 +58,17 @@ def loaded_calls(operands: DataFrame, instructions: DataFrame) -> DataFrame:
 
 
 def used_functions(operands: DataFrame, constants: DataFrame, aliases: DataFrame, declared: DataFrame) -> DataFrame:
-    """func, name, file: functions that a function's operands refer to, also inside constants and aliases, with their files."""
+    """func, name, file: functions that a function's operands refer to, also inside constants and aliases, with their files;
+    of a name that several files have, the least."""
     found = resolve(operands.select("module", "func", "kind", "target"), constants, aliases).filter("kind = 'func'").filter(~is_intrinsic(F.col("target")))
-    return found.select("func", F.col("target").alias("name")).distinct().join(declared.select("name", "file").dropDuplicates(["name"]), "name", "left").select("func", "name", "file")
+    return found.select("func", F.col("target").alias("name")).distinct().join(declared.groupBy("name").agg(F.min("file").alias("file")), "name", "left").select("func", "name", "file")
 
 
 def used_globals(operands: DataFrame, constants: DataFrame, aliases: DataFrame, types: DataFrame) -> DataFrame:
-    """func, name, c_type of the globals that a function's operands refer to. types: name, type (of the compiler)."""
+    """func, name, c_type of the globals that a function's operands refer to. types: name, type (of the compiler; of several the
+    least)."""
     found = resolve(operands.select("module", "func", "kind", "target"), constants, aliases).filter("kind = 'gv'").select("func", F.col("target").alias("name")).distinct()
-    return found.join(types.select("name", c_type(F.col("type")).alias("c_type")).dropDuplicates(["name"]), "name", "left").select("func", "name", "c_type")
+    return found.join(types.groupBy("name").agg(F.min("type").alias("type")).select("name", c_type(F.col("type")).alias("c_type")), "name", "left").select("func", "name", "c_type")
 
 
 def _value(kind: Column, target: Column) -> Column:
@@ -78,6 +81,11 @@ def _result() -> Column:
     return _value(F.lit("local"), F.col("seq").cast("string"))
 
 
+def _valued(operands: DataFrame, instructions: DataFrame) -> DataFrame:
+    """operands with opcode and value."""
+    return _with_opcode(operands, instructions).withColumn("value", _value(F.col("kind"), F.col("target")))
+
+
 def taken_functions(operands: DataFrame, instructions: DataFrame, constants: DataFrame, aliases: DataFrame) -> DataFrame:
     """module, src, value, func: addresses of functions that instructions take, the values that point at them, and in src
     the function around.
@@ -85,7 +93,10 @@ def taken_functions(operands: DataFrame, instructions: DataFrame, constants: Dat
     A stored function is pointed at by the pointer; one that any other instruction but a call has among its operands, in
     constants and aliases too, but not through a global, by that instruction's result.
     """
-    used = _with_opcode(operands, instructions).withColumn("value", _value(F.col("kind"), F.col("target")))
+    return _taken(_valued(operands, instructions), constants, aliases)
+
+
+def _taken(used: DataFrame, constants: DataFrame, aliases: DataFrame) -> DataFrame:
     stored = used.filter((F.col("opcode") == "store") & (F.col("idx") == STORED) & (F.col("kind") == "func")).select("module", "func", "seq", "target", "value")
     into = used.filter((F.col("opcode") == "store") & (F.col("idx") == POINTER)).select("module", "func", "seq", F.col("value").alias("pointer"))
     by_store = stored.join(into, ["module", "func", "seq"]).select("module", F.col("func").alias("src"), F.explode(F.array("value", "pointer")).alias("value"), F.col("target").alias("func"))
@@ -97,7 +108,10 @@ def taken_functions(operands: DataFrame, instructions: DataFrame, constants: Dat
 
 def copies(operands: DataFrame, instructions: DataFrame) -> DataFrame:
     """src, dst of values: what is stored goes to the pointer, and a call's result to its pointer arguments (is_pointer)."""
-    used = _with_opcode(operands, instructions).withColumn("value", _value(F.col("kind"), F.col("target")))
+    return _copied(_valued(operands, instructions))
+
+
+def _copied(used: DataFrame) -> DataFrame:
     value, into = (used.filter(f"opcode = 'store' and idx = {k}").select("module", "func", "seq", F.col("value").alias(n)) for k, n in ((STORED, "src"), (POINTER, "dst")))
     stores = value.join(into, ["module", "func", "seq"]).select("src", "dst")
     absorbed = used.filter(F.col("opcode").isin(*CALLS) & (F.col("idx") > 0) & F.col("is_pointer")).select(_result().alias("src"), F.col("value").alias("dst"))
@@ -106,7 +120,11 @@ def copies(operands: DataFrame, instructions: DataFrame) -> DataFrame:
 
 def stored_global_edges(operands: DataFrame, instructions: DataFrame, aliases: DataFrame, pointing: DataFrame) -> DataFrame:
     """global -> function of stores into a global, or into an alias of one, of values that may point at functions."""
-    used = _with_opcode(operands, instructions).filter("opcode = 'store'").withColumn("value", _value(F.col("kind"), F.col("target")))
+    return _stored_globals(_valued(operands, instructions), aliases, pointing)
+
+
+def _stored_globals(used: DataFrame, aliases: DataFrame, pointing: DataFrame) -> DataFrame:
+    used = used.filter("opcode = 'store'")
     into = used.filter(F.col("idx") == POINTER).select("module", "func", "seq", "kind", "target")
     direct = into.filter("kind = 'gv'").select("module", "func", "seq", F.col("target").alias("gv"))
     through = into.filter("kind = 'alias'").join(aliases.filter("kind = 'gv'").select("module", F.col("alias").alias("target"), F.col("target").alias("gv")), ["module", "target"]).select("module", "func", "seq", "gv")
@@ -118,9 +136,10 @@ def stored_global_edges(operands: DataFrame, instructions: DataFrame, aliases: D
 def program_edges(operands: DataFrame, instructions: DataFrame, constants: DataFrame, aliases: DataFrame) -> DataFrame:
     """src, dst of all that instructions imply: calls direct and through values, functions that arguments may point at
     from the callee, addresses taken, and stores into globals."""
-    taken = taken_functions(operands, instructions, constants, aliases)
-    pointing = points_to(copies(operands, instructions), taken.select("value", "func"))
-    used = _with_opcode(operands, instructions).filter(F.col("opcode").isin(*CALLS)).withColumn("value", _value(F.col("kind"), F.col("target")))
+    every = checkpoint(_valued(operands, instructions))
+    taken = checkpoint(_taken(every, constants, aliases))
+    pointing = checkpoint(points_to(_copied(every), taken.select("value", "func")))
+    used = every.filter(F.col("opcode").isin(*CALLS))
     called = used.filter("idx = 0").select("module", "func", "seq", "kind", "target", "value")
     known = called.filter("kind = 'func'").select("module", "func", "seq", F.col("target").alias("callee"))
     unknown = called.filter("kind <> 'func'").join(pointing.withColumnRenamed("func", "callee"), "value").select("module", "func", "seq", "callee")
@@ -128,7 +147,7 @@ def program_edges(operands: DataFrame, instructions: DataFrame, constants: DataF
     passed = used.filter("idx > 0").select("module", "func", "seq", "value").join(pointing.withColumnRenamed("func", "passed"), "value")
     through = callees.join(passed.select("module", "func", "seq", "passed"), ["module", "func", "seq"]).filter("callee <> passed").select(F.col("callee").alias("src"), F.col("passed").alias("dst"))
     edges = callees.select(F.col("func").alias("src"), F.col("callee").alias("dst")).unionByName(through).unionByName(taken.select("src", F.col("func").alias("dst")))
-    return edges.unionByName(stored_global_edges(operands, instructions, aliases, pointing)).distinct()
+    return edges.unionByName(_stored_globals(every, aliases, pointing)).distinct()
 
 
 def initialiser_edges(initialisers: DataFrame, constants: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -153,6 +172,20 @@ def points_to(copies: DataFrame, taken: DataFrame) -> DataFrame:
     return spread(copies, taken.select(F.col("value").alias("node"), F.col("func").alias("value"))).select(F.col("node").alias("value"), F.col("value").alias("func"))
 
 
+def unify(copies: DataFrame, taken: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(value, class) and (class, func): values that are copied into one another are one class, which points at all that its
+    values do.
+
+    A superset of `points_to` in two tables that are as long as the values and the functions taken, where `points_to` has a
+    row for each pair. Classes are named by their least value.
+    """
+    copies = checkpoint(copies.select("src", "dst").distinct())
+    held = checkpoint(taken.select("value", "func").distinct())
+    values = copies.select(F.explode(F.array("src", "dst")).alias("name")).unionByName(held.select(F.col("value").alias("name"))).distinct()
+    classes = checkpoint(components(copies, values).select(F.col("name").alias("value"), F.col("component").alias("class")))
+    return classes, held.join(classes, "value").select("class", "func").distinct()
+
+
 def indirect_edges(calls: DataFrame, arguments: DataFrame, pointing: DataFrame) -> DataFrame:
     """caller -> callee of calls (caller, value) through values, and callee -> function of arguments (caller, value, arg)."""
     at = pointing.select("value", F.col("func").alias("callee"))

@@ -3,7 +3,8 @@
 Every operator takes an optional key column, so that all subsystems share the same rounds. Each has two ways. Where no
 key has more edges than SMALL_EDGES, which is counted first, a key's edges and the nodes at their ends meet in one task
 and a linear-time algorithm runs over them; keys run in parallel, and nodes without edges stay where they are. Beyond
-that, rounds of joins run over the distributed edges, several hops a round, with a checkpoint each, until nothing is new.
+that, rounds of joins run over the distributed edges, with a checkpoint each. Reach, peeling and cycles go by elimination
+hierarchies (`hierarchy.py`), whose rounds grow with the logarithm of a path's length.
 """
 
 from __future__ import annotations
@@ -16,6 +17,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import checkpoint
+from . import hierarchy
+
 #: About 100 MB of names in one task.
 SMALL_EDGES = 500_000
 HOPS = 3
@@ -27,18 +31,6 @@ def _keyed(df: DataFrame, key: str | None, *columns: str) -> DataFrame:
     return df.select((F.col(key) if key else F.lit(0)).alias("key"), *columns).distinct()
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        given = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if given is None and not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        import tempfile
-
-        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="kitefin-"))
-    return df.checkpoint()
-
-
 def is_small(edges: DataFrame, most: int) -> bool:
     """Whether no key has more than `most` edges."""
     return (edges.groupBy("key").count().agg(F.max("count")).first()[0] or 0) <= most
@@ -108,37 +100,40 @@ def reach(edges: DataFrame, seeds: DataFrame, key: str | None = None, through: D
             return list(found.items())
 
         return _renamed(_local(e, s.join(e.select("key", F.col("src").alias("name")).distinct(), ["key", "name"], "left_semi"), walk, kinds), key)
-    e = e.persist()
+    if most_depth is None:
+        start = s.withColumnRenamed("name", "src").join(e, ["key", "src"]).select("key", F.col("dst").alias("name"), F.lit(1).cast("long").alias("d"))
+        found = hierarchy.distances(e.withColumn("w", F.lit(1).cast("long")), start, functools.partial(is_small, most=small_edges), checkpoint)
+        return _renamed(found.select("key", "name", F.col("d").cast("int").alias("depth")), key)
     frontier, depth = s, 0
     found: list[DataFrame] = []
-    while True:
-        hops = None
-        for _ in range(HOPS):
-            if most_depth is not None and depth == most_depth:
-                break
+    while depth < most_depth:
+        hops: list[DataFrame] = []
+        for _ in range(min(HOPS, most_depth - depth)):
             depth += 1
             frontier = frontier.select("key", F.col("name").alias("src")).join(e, ["key", "src"]).select("key", F.col("dst").alias("name")).distinct()
-            level = frontier.withColumn("depth", F.lit(depth))
-            hops = level if hops is None else hops.unionByName(level)
-        if hops is None:
-            break
-        new = hops.groupBy("key", "name").agg(F.min("depth").alias("depth"))
-        new = _checkpoint(new.join(_union(found), ["key", "name"], "left_anti") if found else new)
+            hops.append(frontier.withColumn("depth", F.lit(depth)))
+        new = _union(hops).groupBy("key", "name").agg(F.min("depth").alias("depth"))
+        new = checkpoint(new.join(_union(found), ["key", "name"], "left_anti") if found else new)
         if new.isEmpty():
             break
         found.append(new)
-        frontier = new.filter(F.col("depth") == depth).select("key", "name")
         # Nodes found at an earlier hop of this round have been followed already, but for the last hop's.
-    e.unpersist()
+        frontier = new.filter(F.col("depth") == depth).select("key", "name")
     return _renamed(_union(found) if found else s.limit(0).withColumn("depth", F.lit(0)), key)
 
 
+def strong_components(edges: DataFrame, key: str | None = None, small_edges: int = SMALL_EDGES) -> DataFrame:
+    """[key,] name, component (the least name that is on a cycle with it, or its own), cyclic (whether it is on one)."""
+    e = checkpoint(_keyed(edges, key, "src", "dst"))
+    return _renamed(hierarchy.strong_components(e, functools.partial(is_small, most=small_edges), checkpoint), key)
+
+
 def peel(edges: DataFrame, nodes: DataFrame, keep: DataFrame | None = None, key: str | None = None, small_edges: int = SMALL_EDGES) -> DataFrame:
     """[key,] name: nodes that go when nodes without edges into them are removed, again and again.
 
     What remains is on a cycle, behind one, or in `keep` ([key,] name) or behind that.
     """
-    e, n = _keyed(edges, key, "src", "dst"), _keyed(nodes, key, "name")
+    e, n = checkpoint(_keyed(edges, key, "src", "dst")), _keyed(nodes, key, "name")
     fixed = (_keyed(keep, key, "name") if keep is not None else n.limit(0)).withColumn("fixed", F.lit(True))
     n = n.join(fixed, ["key", "name"], "left").select("key", "name", F.coalesce("fixed", F.lit(False)).alias("fixed"))
     if is_small(e, small_edges):
@@ -162,21 +157,17 @@ def peel(edges: DataFrame, nodes: DataFrame, keep: DataFrame | None = None, key:
 
         alone = _touched(e, n, "left_anti").filter("not fixed").select("key", "name")
         return _renamed(_local(e, _touched(e, n, "left_semi"), kahn, _schema(e, "name string")).unionByName(alone), key)
-    gone: list[DataFrame] = []
-    left = n.persist()
-    while True:
-        free = _checkpoint(left.filter("not fixed").select("key", "name").join(e.select("key", F.col("dst").alias("name")), ["key", "name"], "left_anti"))
-        if free.isEmpty():
-            break
-        gone.append(free)
-        left = _checkpoint(left.join(free, ["key", "name"], "left_anti"))
-        e = _checkpoint(e.join(free.select("key", F.col("name").alias("src")), ["key", "src"], "left_anti"))
-    return _renamed(_union(gone) if gone else n.select("key", "name").limit(0), key)
+    few = functools.partial(is_small, most=small_edges)
+    cyclic = hierarchy.strong_components(e, few, checkpoint).filter("cyclic").select("key", "name")
+    held = checkpoint(cyclic.unionByName(n.filter("fixed").select("key", "name")).distinct())
+    start = held.withColumnRenamed("name", "src").join(e, ["key", "src"]).select("key", F.col("dst").alias("name"), F.lit(1).cast("long").alias("d"))
+    behind = hierarchy.distances(e.withColumn("w", F.lit(1).cast("long")), start, few, checkpoint).select("key", "name")
+    return _renamed(n.select("key", "name").join(held.unionByName(behind).distinct(), ["key", "name"], "left_anti"), key)
 
 
 def components(edges: DataFrame, nodes: DataFrame, key: str | None = None, small_edges: int = SMALL_EDGES) -> DataFrame:
     """[key,] name, component: the least name that edges, whatever their direction, lead to; alone, the node itself."""
-    e, n = _keyed(edges, key, "src", "dst"), _keyed(nodes, key, "name")
+    e, n = checkpoint(_keyed(edges, key, "src", "dst")), _keyed(nodes, key, "name")
     if is_small(e, small_edges):
 
         def union_find(after, o):
@@ -199,14 +190,14 @@ def components(edges: DataFrame, nodes: DataFrame, key: str | None = None, small
 
         alone = _touched(e, n, "left_anti").withColumn("component", F.col("name"))
         return _renamed(_local(e, _touched(e, n, "left_semi"), union_find, _schema(e, "name string, component string")).unionByName(alone), key)
-    both = e.unionByName(e.select("key", F.col("dst").alias("src"), F.col("src").alias("dst"))).filter("src <> dst").distinct().persist()
+    both = checkpoint(e.unionByName(e.select("key", F.col("dst").alias("src"), F.col("src").alias("dst"))).filter("src <> dst").distinct())
     labels = n.withColumn("component", F.col("name"))
     while True:
         near = both.join(labels.select("key", F.col("name").alias("dst"), "component"), ["key", "dst"]).groupBy("key", F.col("src").alias("name")).agg(F.min("component").alias("near"))
         lower = labels.join(near, ["key", "name"], "left").select("key", "name", F.least("component", F.coalesce("near", "component")).alias("low"), F.col("component").alias("old"))
         # Pointer jumping: a label's own label is as good.
         jump = lower.select("key", F.col("name").alias("low"), F.col("low").alias("lower"))
-        stepped = _checkpoint(lower.join(jump, ["key", "low"], "left").select("key", "name", F.least("low", F.coalesce("lower", "low")).alias("component"), "old"))
+        stepped = checkpoint(lower.join(jump, ["key", "low"], "left").select("key", "name", F.least("low", F.coalesce("lower", "low")).alias("component"), "old"))
         labels = stepped.drop("old")
         if stepped.filter("component <> old").isEmpty():
             return _renamed(labels.select("key", "name", "component"), key)
@@ -218,7 +209,7 @@ def closure(edges: DataFrame, small_edges: int = SMALL_EDGES) -> DataFrame:
     Few edges between names go to PARTS tasks whole, each following a part of the sources. Others are doubled: rounds
     grow with the logarithm of the longest path.
     """
-    e = edges.select("src", "dst").distinct()
+    e = checkpoint(edges.select("src", "dst").distinct())
     if {t for _, t in e.dtypes} == {"string"} and is_small(e.withColumn("key", F.lit(0)), small_edges):
 
         def follow(after, o):
@@ -236,10 +227,10 @@ def closure(edges: DataFrame, small_edges: int = SMALL_EDGES) -> DataFrame:
         sources = e.select(F.col("src").alias("name")).distinct().withColumn("key", F.pmod(F.xxhash64("name"), F.lit(PARTS)).cast("int"))
         copies = e.withColumn("key", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
         return _local(copies, sources, follow, "key int, src string, dst string").drop("key")
-    paths = _checkpoint(e)
+    paths = e
     while True:
         longer = paths.join(paths.select(F.col("src").alias("dst"), F.col("dst").alias("end")), "dst").select("src", F.col("end").alias("dst"))
-        after = _checkpoint(paths.unionByName(longer).distinct())
+        after = checkpoint(paths.unionByName(longer).distinct())
         if after.count() == paths.count():
             return after
         paths = after
@@ -251,7 +242,7 @@ def spread(edges: DataFrame, held: DataFrame, small_edges: int = SMALL_EDGES) ->
     No pairs of nodes are made: rows are those of the result. Few edges go to PARTS tasks whole, each following the
     nodes of a part of the values; with more, what is new is joined on round by round.
     """
-    e = edges.select("src", "dst").filter("src <> dst").distinct()
+    e = checkpoint(edges.select("src", "dst").filter("src <> dst").distinct())
     own = held.select("node", "value").distinct()
     if is_small(e.withColumn("key", F.lit(0)), small_edges):
 
@@ -270,13 +261,11 @@ def spread(edges: DataFrame, held: DataFrame, small_edges: int = SMALL_EDGES) ->
         copies = e.withColumn("key", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
         moving = rows.join(e.select(F.col("src").alias("name")).distinct(), "name", "left_semi").select("key", "name", "value")
         return own.unionByName(_local(copies, moving, follow, "key int, node string, value string").drop("key")).distinct()
-    e = e.persist()
-    found = [_checkpoint(own)]
+    found = [checkpoint(own)]
     while True:
         step = found[-1].withColumnRenamed("node", "src").join(e, "src").select(F.col("dst").alias("node"), "value").distinct()
-        new = _checkpoint(step.join(_union(found), ["node", "value"], "left_anti"))
+        new = checkpoint(step.join(_union(found), ["node", "value"], "left_anti"))
         if new.isEmpty():
-            e.unpersist()
             return _union(found)
         found.append(new)
 

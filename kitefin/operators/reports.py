@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import all_zero, depth
 from ..schema import RECOMMENDATIONS
+from ..shared import checkpoint
 
 COUNTS = ("SUBGRAPH", "INTERFACE", "DELETE", "NORMAL")
 
@@ -38,15 +39,34 @@ def functions_by_file(located: DataFrame) -> DataFrame:
 
 
 def files_of(names: DataFrame, declared: DataFrame) -> DataFrame:
-    """names (name, ...) with the file that declares each; null where none is known. declared: name, file."""
-    return names.join(declared.select("name", "file").dropDuplicates(["name"]), "name", "left")
+    """names (name, ...) with the file that declares each, the least of several; null where none is known. declared: name, file."""
+    return names.join(declared.groupBy("name").agg(F.min("file").alias("file")), "name", "left")
+
+
+def numbered(df: DataFrame, name: str, keys: tuple[str, ...], *order) -> DataFrame:
+    """df with rows numbered from 0 within keys, in an order that has no ties, without a task that sees them all.
+
+    Rows are dealt by range and counted in each part; a part's number is its place among parts, of which there are few, and
+    a row's is that of its part and its place there.
+    """
+    by = [*keys, *order]
+    placed = checkpoint(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    held = placed.join(offsets, part == F.col("_part")).withColumn(name, F.col("_before") + F.col("_at") - F.shiftleft("_part", 33)).drop("_at", "_part", "_before")
+    if not keys:
+        return held
+    first = held.groupBy(*keys).agg(F.min(name).alias("_first"))
+    return held.join(first, list(keys)).withColumn(name, F.col(name) - F.col("_first")).drop("_first")
 
 
 def rank_components(members: DataFrame, *keys: str) -> DataFrame:
     """Members with `rank`: components by size, largest first, then by least name, from 0; [keys...,] name, component."""
     sizes = members.groupBy(*keys, "component").agg(F.count("*").alias("size"))
-    order = Window.partitionBy(*keys).orderBy(F.desc("size"), "component")
-    return members.join(sizes.withColumn("rank", F.row_number().over(order) - 1), [*keys, "component"])
+    ranked = numbered(sizes, "rank", keys, F.desc("size"), F.col("component"))
+    return members.join(ranked.withColumn("rank", F.col("rank").cast("int")), [*keys, "component"])
 
 
 def locate(advice: DataFrame, locations: DataFrame) -> DataFrame:
@@ -72,4 +92,5 @@ def handle_way(recommendation):
 def merged_includes(includes: DataFrame, *keys: str) -> DataFrame:
     """Includes of several files as one list without repeats, in the order in which they come first."""
     firsts = includes.groupBy(*keys, "target").agg(F.min(F.struct("file", "ordinal")).alias("at"))
-    return firsts.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy("at", "target"))).select(*keys, "target", "position")
+    placed = numbered(firsts, "position", keys, F.col("at.file"), F.col("at.ordinal"), F.col("target"))
+    return placed.select(*keys, "target", (F.col("position") + 1).cast("int").alias("position"))

@@ -9,6 +9,7 @@ from ..functions.names import path_prefixes
 from ..operators.graph import contract, external_callers
 from ..operators.iterate import components, peel
 from ..schema import DEFAULT_TYPE
+from ..shared import checkpoint
 
 KEPT = (DEFAULT_TYPE, "VIRTUAL_STRUCTS_REACH_TOP")
 
@@ -29,7 +30,7 @@ def advise(nodes: DataFrame, folder_edges: DataFrame, whole: DataFrame, key: str
     kept = nodes.filter(F.col("type").isin(*KEPT)).select(key, "name").distinct()
     ends = edges.join(kept.select(key, F.col("name").alias("dst")), [key, "dst"], "left_semi")
     inside = kept.select(F.col(key).alias("k_key"), F.col("name").alias("k_name"))
-    marked = ends.join(inside, (F.col(key) == F.col("k_key")) & (F.col("src") == F.col("k_name")), "left").select(key, "src", "dst", F.col("k_name").isNotNull().alias("inner")).distinct().persist()
+    marked = checkpoint(ends.join(inside, (F.col(key) == F.col("k_key")) & (F.col("src") == F.col("k_name")), "left").select(key, "src", "dst", F.col("k_name").isNotNull().alias("inner")).distinct())
     inner = marked.filter("inner").select(key, "src", "dst")
     entries = marked.filter("not inner").select(key, F.col("dst").alias("name")).distinct()
     gone = peel(inner, kept, entries, key)

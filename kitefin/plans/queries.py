@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..operators import enrich, facts, graph, iterate, labels, reports, rewrite
 from ..sources import graphs, makefiles, text_lines
 from . import advise as A
+from . import rollup as R
 from . import datasets as D
 from .datasets import with_
 
@@ -150,7 +151,6 @@ _TREE = "f AS (SELECT config, dir || '/' || replace(target, '.o', '.c') AS file
 @query(with_("n", _MAKE, _TREE) + "SELECT config, file FROM f")
 def makefile_descent(spark, sf):
     found = makefiles.substitute(makefiles.statements(_makefile_tree(spark, sf)))
-    iterate._checkpoint(spark.range(1))  # names the checkpoint folder
     return makefiles.descend(found, found.filter("not endswith(dir, '/sub')").select("dir").distinct())
 
 
@@ -430,6 +430,18 @@ def recommend_by_subsystem(spark, sf):
     return A.advise(nodes, edges, D.edges(spark, sf))
 
 
+@query(with_("n", "e", "l", "t", _ALL_ADVICE, recursive=True) + "SELECT subsystem, name, recommendation, component FROM av")
+def recommend_rollup(spark, sf):
+    """The same advice bottom-up, each edge once."""
+    return R.advise_rollup(_typed(spark, sf).select("name", "file", "type"), D.edges(spark, sf))
+
+
+@query(with_("e", "r(src, dst) AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON e.src = r.dst)", "m AS (SELECT DISTINCT unnest([src, dst]) AS name FROM e)", "b AS (SELECT x.src AS name, min(x.dst) AS least FROM r AS x JOIN r AS y ON x.src = y.dst AND x.dst = y.src GROUP BY 1)", recursive=True) + "SELECT name, coalesce(least, name) AS component, least IS NOT NULL AS cyclic FROM m LEFT JOIN b USING (name)")
+def strong_components(spark, sf):
+    """Functions that call one another in a circle, by elimination alone."""
+    return iterate.strong_components(D.edges(spark, sf), small_edges=0)
+
+
 @query(with_("n", "e", "l", "t", _ALL_ADVICE, recursive=True) + "SELECT subsystem, count(DISTINCT component) AS \"SUBGRAPH\", count(*) FILTER (recommendation = 'INTERFACE') AS \"INTERFACE\", count(*) FILTER (recommendation = 'DELETE') AS \"DELETE\", count(*) FILTER (recommendation = 'NORMAL') AS \"NORMAL\" FROM av GROUP BY 1")
 def summary_counts(spark, sf):
     return reports.summary(recommend_by_subsystem(spark, sf))
@@ -824,6 +836,23 @@ def ir_pointing_values(spark, sf):
     return facts.points_to(facts.copies(operands, instructions), taken)
 
 
+_CLASSES = (*_POINTING[:4], "vl AS (SELECT value FROM tk UNION SELECT a FROM cp UNION SELECT b FROM cp)", "un(value, other) AS (SELECT value, value FROM vl UNION SELECT un.value, j.y FROM un JOIN (SELECT a AS x, b AS y FROM cp UNION SELECT b, a FROM cp) AS j ON j.x = un.other)", "cl AS (SELECT value, min(other) AS class FROM un GROUP BY value)")
+
+
+@query(with_("o", "i", "x", "u", "v", *_CLASSES, recursive=True) + "SELECT value, class FROM cl")
+def ir_value_classes(spark, sf):
+    """Values that unification takes for one."""
+    operands, instructions, constants, aliases = D.program(spark, sf)
+    return facts.unify(facts.copies(operands, instructions), facts.taken_functions(operands, instructions, constants, aliases))[0]
+
+
+@query(with_("o", "i", "x", "u", "v", *_CLASSES, recursive=True) + "SELECT DISTINCT class, f AS func FROM cl JOIN tk USING (value)")
+def ir_class_functions(spark, sf):
+    """What the values of a class may point at: one row a class and function, whatever the number of values."""
+    operands, instructions, constants, aliases = D.program(spark, sf)
+    return facts.unify(facts.copies(operands, instructions), facts.taken_functions(operands, instructions, constants, aliases))[1]
+
+
 @query(
     with_("o", "i", "x", "u", "v", *_POINTING, "ce AS (SELECT module, func, seq, target AS callee FROM w WHERE opcode IN ('call', 'invoke') AND idx = 0 AND kind = 'func' UNION SELECT module, func, seq, f FROM w JOIN pt USING (value) WHERE opcode IN ('call', 'invoke') AND idx = 0 AND kind <> 'func')", "pa AS (SELECT module, func, seq, f AS passed FROM w JOIN pt USING (value) WHERE opcode IN ('call', 'invoke') AND idx > 0)", "ga AS (SELECT 'a' || k AS alias, 's' || k AS gv FROM (SELECT unnest(range(0, 30)) AS k) WHERE k % 3 = 2)", recursive=True)
     + "SELECT func AS src, callee AS dst FROM ce UNION SELECT callee, passed FROM ce JOIN pa USING (module, func, seq) WHERE callee <> passed UNION SELECT src, f FROM tk UNION SELECT '__virtual__global__' || coalesce(gv, p_target), f FROM st JOIN pt USING (value) LEFT JOIN ga ON alias = p_target AND p_kind = 'alias' WHERE p_kind = 'gv' OR gv IS NOT NULL"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import checkpoint
 from .text_lines import continuation_groups
 
 CORE = "core"
@@ -46,17 +47,17 @@ def descend(rules: DataFrame, tops: DataFrame) -> DataFrame:
 
     A directory's core targets belong to the config under which it was entered.
     """
-    rules = rules.select(F.col("dir").alias("r_dir"), F.col("config").alias("own"), "target").distinct().persist()
+    rules = checkpoint(rules.select(F.col("dir").alias("r_dir"), F.col("config").alias("own"), "target").distinct())
     frontier = tops.select("dir", F.lit(CORE).alias("entered")).distinct()
     levels, seen = [], frontier
     while True:
-        here = frontier.join(rules, F.col("dir") == F.col("r_dir")).select("dir", F.when(F.col("own") == CORE, F.col("entered")).otherwise(F.col("own")).alias("config"), "target").checkpoint()
+        here = checkpoint(frontier.join(rules, F.col("dir") == F.col("r_dir")).select("dir", F.when(F.col("own") == CORE, F.col("entered")).otherwise(F.col("own")).alias("config"), "target"))
         levels.append(here.filter(~F.col("target").endswith("/")))
         frontier = here.filter(F.col("target").endswith("/")).select(F.concat(F.regexp_replace("dir", "/+$", ""), F.lit("/"), F.regexp_replace("target", "/+$", "")).alias("dir"), F.col("config").alias("entered")).distinct()
-        frontier = frontier.join(seen, ["dir", "entered"], "left_anti").checkpoint()
+        frontier = checkpoint(frontier.join(seen, ["dir", "entered"], "left_anti"))
         if frontier.isEmpty():
             break
-        seen = seen.unionAll(frontier).checkpoint()
+        seen = checkpoint(seen.unionAll(frontier))
     out = levels[0]
     for x in levels[1:]:
         out = out.unionAll(x)

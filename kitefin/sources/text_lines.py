@@ -6,16 +6,29 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..shared import checkpoint
+
 
 def by_line() -> WindowSpec:
     return Window.partitionBy("file").orderBy("line_no")
 
 
 def read_lines(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
-    """Lines of all files below path. A file is read whole, so that its lines are numbered without a shuffle."""
-    whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True)
-    lines = F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n"))
-    return whole.select(F.col("_metadata.file_path").alias("file"), lines.alias("at", "text")).select("file", (F.col("at") + 1).cast("int").alias("line_no"), "text")
+    """Lines of all files below path, numbered; a file is read by as many tasks as it has splits.
+
+    Lines are counted for each split, and the counts of a file's earlier splits are its offset. Rows are written down once
+    between counting and numbering, so that both see the same splits. Lines end with a line feed, with or without a
+    carriage return before it; what stands behind the last one is a line if it isn't empty.
+    """
+    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("lineSep", "\n").text(path)
+    place = (F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
+    # A task's rows are numbered in order, and a split is in one task.
+    rows = checkpoint(text.select(*place, F.regexp_replace("value", r"\r$", "").alias("text")))
+    counts = rows.groupBy(F.col("file").alias("c_file"), F.col("split").alias("c_split")).agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = Window.partitionBy("c_file").orderBy("c_split").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("c_file", "c_split", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    held = rows.join(offsets, (F.col("file") == F.col("c_file")) & (F.col("split") == F.col("c_split")))
+    return held.select("file", (F.col("before") + F.col("at") - F.col("first") + 1).cast("int").alias("line_no"), "text")
 
 
 def take_while(lines: DataFrame, holds: Column) -> DataFrame:

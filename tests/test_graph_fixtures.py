@@ -156,6 +156,24 @@ def test_read_lines(spark, tmp_path):
     assert text_lines.latest_modification(spark, str(tmp_path)).first().latest is not None
 
 
+def test_lines_of_a_file_in_many_splits(spark, tmp_path):
+    """A file is cut over tasks and numbered as a whole, carriage returns and all."""
+    r = random.Random(3)
+    want = {}
+    for name, n, last in (("long.txt", 60_000, "\n"), ("crlf.txt", 9_000, ""), ("empty.txt", 0, ""), ("one.txt", 1, "")):
+        rows = ["".join(r.choices("ab c{}é", k=r.randrange(30))) for _ in range(n)]
+        rows[-1:] = ["end"] if n else []
+        (tmp_path / name).write_bytes(("\r\n" if name == "crlf.txt" else "\n").join(rows).encode() + last.encode())
+        want |= {(name, k + 1): t for k, t in enumerate(rows)}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+    try:
+        found = text_lines.read_lines(spark, str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {(x.file.rsplit("/", 1)[-1], x.line_no): x.text for x in found.collect()} == want and found.count() == len(want)
+
+
 def test_functions(spark):
     row = spark.range(1).select(
         T.signature(F.lit("static inline int *f(int (*g)(int), char c) { return g(c); } ")).alias("s"),
