@@ -13,8 +13,8 @@ def by_line() -> WindowSpec:
     return Window.partitionBy("file").orderBy("line_no")
 
 
-def read_lines(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
-    """Lines of all files below path, numbered; a file is read by as many tasks as it has splits.
+def read_lines(spark: SparkSession, path: str | list[str], glob: str = "*.txt") -> DataFrame:
+    """Lines of all files below path, or of files named one by one, numbered; a file is read by as many tasks as it has splits.
 
     Lines are counted for each split, and the counts of a file's earlier splits are its offset. Rows are written down once
     between counting and numbering, so that both see the same splits. Lines end with a line feed, with or without a
