@@ -60,8 +60,8 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def _with(known: DataFrame, new: DataFrame, checkpoint) -> DataFrame:
-    """Both as one table of as many parts as a shuffle has. Levels grow by a constant factor, and so all writing is linear."""
-    return checkpoint(known.unionByName(new).coalesce(int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    """Both as one table. Levels grow by a constant factor, so that all writing together is linear."""
+    return checkpoint(known.unionByName(new).repartition("key", "name"))
 
 
 def eliminate(edges: DataFrame, small, checkpoint, start: DataFrame | None = None, values: Values = LENGTHS) -> tuple[list[Level], DataFrame, DataFrame | None]:

@@ -1,18 +1,44 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and tables written down there."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_written: list[tuple[SparkSession, str]] = []
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df written down in spark.checkpoint.dir and read from there: its lineage ends, and lost executors don't matter."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        given = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if given is None and not sc.master.startswith("local["):
+
+def shared_dir(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; a new folder where it is unset and the master is local."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="kitefin-"))
-    return df.checkpoint()
+        found = tempfile.mkdtemp(prefix="kitefin-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """df written as Parquet into the shared folder and read again: its lineage ends, and lost executors don't matter.
+
+    Unlike a checkpoint of Spark's own it has its true size, where estimates would be multiplied from round to round.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _written.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _clear() -> None:
+    for spark, path in _written:
+        try:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # noqa: BLE001  the session may have ended before
+            return
