@@ -2,9 +2,8 @@
 
 Every turn becomes a formatted piece; a conversation's formatted text is its pieces in order. Every assistant turn
 is an example of its own: its text is the formatted conversation from the start up to the end of that turn, and only
-the reply inside the turn is trainable. Examples of a conversation are prefixes of one text, so they are kept as
-offsets into it (`example_end`, `loss_start`, `loss_end`) beside the piece, and the output grows with the input and
-not with the square of a conversation's turns; `examples` writes them out, a row for each, where a trainer wants them.
+the reply inside the turn is trainable. `expand` has the pieces with an example's offsets (`example_end`, `loss_start`,
+`loss_end`); `examples` writes every example out, a row for each, from which the query reads back.
 """
 
 from __future__ import annotations
@@ -76,24 +75,29 @@ def expand(conversations: DataFrame) -> DataFrame:
     return placed.select("conv_id", "position", "turn", F.concat(head, body, F.lit(END + "\n")).alias("piece"), trained(F.col("end")).alias("example_end"), trained(start + F.col("a")).alias("loss_start"), trained(start + F.col("b")).alias("loss_end"))
 
 
-def examples(expanded: DataFrame) -> DataFrame:
+def examples(expanded: DataFrame, rest: bool = False) -> DataFrame:
     """The examples of `expand` written out: conv_id, position, text, loss_start, loss_end, one row for each reply.
 
-    The output grows with the square of a conversation's turns. A conversation's rows meet in one task in order; only
-    the text up to the turn at hand is in memory.
+    With rest, a conversation whose last turn is no reply has one row more, of all its turns and nothing trainable (null). The output
+    grows with the square of a conversation's turns. A conversation's rows meet in one task in order and leave it in that
+    order; only the text up to the turn at hand is in memory.
     """
 
     def run(batches):
-        conv, parts = None, []
+        conv, parts, open_ = None, [], None
         for batch in batches:
             out: list[tuple] = []
             chars = 0
             for row in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "position", "piece", "loss_start", "loss_end"))):
                 if row[1] == 0 or row[0] != conv:
+                    if rest and open_ is not None:
+                        out.append((conv, open_, "".join(parts), None, None))
+                        chars += len(out[-1][2])
                     conv, parts = row[0], []
                 parts.append(row[2])
+                open_ = row[1]
                 if row[3] is not None:
-                    parts = ["".join(parts)]
+                    parts, open_ = ["".join(parts)], None
                     out.append((conv, row[1], parts[0], row[3], row[4]))
                     chars += len(parts[0])
                 if chars > GROUP_CHARS:
@@ -101,6 +105,8 @@ def examples(expanded: DataFrame) -> DataFrame:
                     out, chars = [], 0
             if out:
                 yield _example_rows(out)
+        if rest and open_ is not None:
+            yield _example_rows([(conv, open_, "".join(parts), None, None)])
 
     rows = expanded.repartition("conv_id").sortWithinPartitions("conv_id", "position").select("conv_id", "position", "piece", "loss_start", "loss_end")
     return rows.mapInArrow(run, "conv_id long, position long, text string, loss_start long, loss_end long")
@@ -111,37 +117,44 @@ def _example_rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["conv_id", "position", "text", "loss_start", "loss_end"])
 
 
-def read_back(examples: DataFrame) -> DataFrame:
-    """Digests of what the output holds, one row a conversation; see the README for the columns.
+def read_back(expanded: DataFrame) -> DataFrame:
+    """`read_examples` of the examples of `expand`, with the rest."""
+    return read_examples(examples(expanded, rest=True))
 
-    A conversation's rows meet in one task in order and are read as a stream: only the turn at hand is in memory.
+
+def read_examples(written: DataFrame) -> DataFrame:
+    """Digests of what `examples` has written, one row a conversation; see the README for the columns.
+
+    An example begins with the conversation's one before it, which is compared, and the turns behind that are parsed. Rows
+    are read as a stream, in the order in which `examples` leaves them: only two examples are in memory.
     """
 
     def run(batches):
-        state, rows = None, []
+        state, text, last, rows = None, "", -1, []
         for batch in batches:
-            for conv, position, piece, end, a, b in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "position", "piece", "example_end", "loss_start", "loss_end"))):
-                if state is None or state["conv_id"] != conv or position == 0:
+            for conv, position, now, a, b in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "position", "text", "loss_start", "loss_end"))):
+                if state is None or state["conv_id"] != conv or position <= last:
                     if state:
                         rows.append(state)
-                    state = {"conv_id": conv, "n_turns": 0, "turns": hashlib.sha256(), "loss_chars": 0, "loss": hashlib.sha256(), "formatted_chars": 0}
-                for role, text in parse(piece):
+                    state, text = {"conv_id": conv, "n_turns": 0, "turns": hashlib.sha256(), "loss_chars": 0, "loss": hashlib.sha256(), "formatted_chars": 0}, ""
+                if not now.startswith(text):
+                    raise ValueError("an example does not begin with the one before it")
+                for role, said in parse(now[len(text) :]):
                     state["n_turns"] += 1
-                    state["turns"].update(f"{role}\n{text}\n".encode())
-                if end is not None:
-                    start = state["formatted_chars"]
-                    reply = unescape(piece[a - start : b - start])
+                    state["turns"].update(f"{role}\n{said}\n".encode())
+                if a is not None:
+                    reply = unescape(now[a:b])
                     state["loss_chars"] += len(reply)
                     state["loss"].update(reply.encode())
-                state["formatted_chars"] += len(piece)
+                text, last = now, position
+                state["formatted_chars"] = len(now)
             if rows:
                 yield _digests(rows)
                 rows = []
         if state:
             yield _digests([state])
 
-    sorted_rows = examples.repartition("conv_id").sortWithinPartitions("conv_id", "position")
-    return sorted_rows.select("conv_id", "position", "piece", "example_end", "loss_start", "loss_end").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return written.select("conv_id", "position", "text", "loss_start", "loss_end").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def _digests(rows: list[dict]) -> pa.RecordBatch:
