@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.names import is_intrinsic, virtual_init_name
 from ..functions.text import c_type
 from ..schema import GLOBAL_PREFIX
-from ..shared import checkpoint
+from ..shared import by_key, checkpoint
 from .iterate import components, spread
 
 CALLS = ("call", "invoke")
@@ -37,7 +37,7 @@ def resolve(targets: DataFrame, constants: DataFrame, aliases: DataFrame) -> Dat
 
 
 def _with_opcode(operands: DataFrame, instructions: DataFrame) -> DataFrame:
-    return operands.join(instructions.select("module", "func", "seq", "opcode"), ["module", "func", "seq"])
+    return operands.join(by_key(instructions.select("module", "func", "seq", "opcode")), ["module", "func", "seq"])
 
 
 def call_edges(operands: DataFrame, instructions: DataFrame) -> DataFrame:
@@ -172,6 +172,12 @@ def points_to(copies: DataFrame, taken: DataFrame) -> DataFrame:
     return spread(copies, taken.select(F.col("value").alias("node"), F.col("func").alias("value"))).select(F.col("node").alias("value"), F.col("value").alias("func"))
 
 
+def value_classes(operands: DataFrame, instructions: DataFrame, constants: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`unify` of a program's copies and taken functions; operands meet their instructions once."""
+    every = checkpoint(_valued(operands, instructions))
+    return unify(_copied(every), _taken(every, constants, aliases))
+
+
 def unify(copies: DataFrame, taken: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(value, class) and (class, func): values that are copied into one another are one class, which points at all that its
     values do.
@@ -183,7 +189,7 @@ def unify(copies: DataFrame, taken: DataFrame) -> tuple[DataFrame, DataFrame]:
     held = checkpoint(taken.select("value", "func").distinct())
     values = copies.select(F.explode(F.array("src", "dst")).alias("name")).unionByName(held.select(F.col("value").alias("name"))).distinct()
     classes = checkpoint(components(copies, values).select(F.col("name").alias("value"), F.col("component").alias("class")))
-    return classes, held.join(classes, "value").select("class", "func").distinct()
+    return classes, held.join(by_key(classes), "value").select("class", "func").distinct()
 
 
 def indirect_edges(calls: DataFrame, arguments: DataFrame, pointing: DataFrame) -> DataFrame:
