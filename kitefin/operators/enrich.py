@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import is_global
+from ..shared import by_key
 from .iterate import acyclic_closure
 
 
@@ -25,9 +26,9 @@ def enrich(nodes: DataFrame, edges: DataFrame, points_to: DataFrame) -> DataFram
     """
     stands_for, users = global_users(points_to)
     from_gv, to_gv = is_global(F.col("src")), is_global(F.col("dst"))
-    through = points_to.filter(~from_gv & to_gv).join(stands_for.withColumnRenamed("key", "dst"), "dst").select("file", "src", F.col("value").alias("dst"))
-    declared = points_to.filter(from_gv & ~to_gv).join(users.withColumnRenamed("gv", "src"), "src").select("file", F.col("func").alias("src"), "dst")
-    declared = declared.join(nodes.select("file", F.col("name").alias("src")), ["file", "src"], "left_semi")
+    through = points_to.filter(~from_gv & to_gv).join(by_key(stands_for.withColumnRenamed("key", "dst")), "dst").select("file", "src", F.col("value").alias("dst"))
+    declared = points_to.filter(from_gv & ~to_gv).join(by_key(users.withColumnRenamed("gv", "src")), "src").select("file", F.col("func").alias("src"), "dst")
+    declared = declared.join(by_key(nodes.select("file", F.col("name").alias("src"))), ["file", "src"], "left_semi")
     plain = points_to.filter(~from_gv & ~to_gv).select("file", "src", "dst")
     have = edges.select("file", "src", "dst").distinct()
     # One distinct over all parts instead of an anti join for each.
