@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.names import path_prefixes
 from ..operators import hierarchy
 from ..operators.iterate import SMALL_EDGES, components, is_small, peel
-from ..shared import checkpoint
+from ..shared import by_key, checkpoint
 from .advise import KEPT
 
 
@@ -43,7 +43,7 @@ def _absorbed(edges: DataFrame, small_edges: int) -> DataFrame:
         for end in ("src", "dst"):
             while held is not None:
                 up = held.select(F.col("old").alias(end), "new")
-                moved = checkpoint(at.join(up, end, "left"))
+                moved = checkpoint(at.join(by_key(up), end, "left"))
                 at = moved.withColumn(end, F.coalesce("new", end)).drop("new")
                 if moved.filter("new is not null").isEmpty():
                     break
@@ -63,7 +63,7 @@ def advise_rollup(nodes: DataFrame, edges: DataFrame, small_edges: int = SMALL_E
     one = nodes.groupBy("name").agg(F.min(F.struct("file", "type")).alias("at")).select("name", "at.file", "at.type")
     kept = checkpoint(one.filter(F.col("type").isin(*KEPT)).select("name", "file", _folders(F.col("file")).alias("above")))
     place = lambda c: kept.select(F.col("name").alias(c), F.col("above").alias(f"{c}_above"))
-    ends = edges.select("src", "dst").distinct().join(place("dst"), "dst").join(place("src"), "src", "left")
+    ends = edges.select("src", "dst").distinct().join(by_key(place("dst")), "dst").join(by_key(place("src")), "src", "left")
     common = F.when(F.col("src_above").isNotNull(), _shared(F.col("src_above"), F.col("dst_above"))).otherwise(0)
     calls = checkpoint(ends.select("src", "dst", F.col("src_above").isNotNull().alias("inner"), common.alias("common")))
     entries = calls.groupBy(F.col("dst").alias("name")).agg(F.min("common").alias("entry_below"))
@@ -71,8 +71,8 @@ def advise_rollup(nodes: DataFrame, edges: DataFrame, small_edges: int = SMALL_E
     # Functions that nothing but movable ones without cycles lead to, and what directories all of those share.
     open_ = calls.filter("not inner").select(F.col("dst").alias("name")).distinct()
     gone = checkpoint(peel(inner, kept, open_, small_edges=small_edges))
-    closed = inner.join(gone.withColumnRenamed("name", "dst"), "dst", "left_semi").select(F.lit(0).alias("key"), "src", "dst")
-    said = kept.join(gone, "name", "left_semi").select(F.lit(0).alias("key"), "name", F.array_join(F.transform("above", lambda d: F.concat(d, F.lit("/"))), "").alias("lo")).withColumn("hi", F.col("lo"))
+    closed = inner.join(by_key(gone.withColumnRenamed("name", "dst")), "dst", "left_semi").select(F.lit(0).alias("key"), "src", "dst")
+    said = kept.join(by_key(gone), "name", "left_semi").select(F.lit(0).alias("key"), "name", F.array_join(F.transform("above", lambda d: F.concat(d, F.lit("/"))), "").alias("lo")).withColumn("hi", F.col("lo"))
     spans = hierarchy.extremes(checkpoint(closed), said, functools.partial(is_small, most=small_edges), checkpoint)
     folders = lambda c: F.filter(F.split(c, "/"), lambda d: d != "")
     deleted = spans.select("name", _shared(folders(F.col("lo")), folders(F.col("hi"))).alias("deleted_to"))
@@ -83,13 +83,13 @@ def advise_rollup(nodes: DataFrame, edges: DataFrame, small_edges: int = SMALL_E
         step = absorbed.select(F.col("old").alias("label"), "new", "level")
         path = kept.select("name", F.col("name").alias("label"), F.array().cast("array<struct<level:int,into:string>>").alias("steps"))
         while True:
-            moved = checkpoint(path.join(step, "label", "left"))
+            moved = checkpoint(path.join(by_key(step), "label", "left"))
             at.append(moved.filter("new is null").select("name", "steps"))
             path = moved.filter("new is not null").select("name", F.col("new").alias("label"), F.concat("steps", F.array(F.struct("level", F.col("new").alias("into")))).alias("steps"))
             if path.isEmpty():
                 break
         path = functools.reduce(DataFrame.unionByName, at)
-    rows = kept.join(entries, "name", "left").join(deleted, "name", "left").join(path, "name")
+    rows = kept.join(by_key(entries), "name", "left").join(by_key(deleted), "name", "left").join(by_key(path), "name")
     rows = rows.select("name", "entry_below", "deleted_to", "steps", F.posexplode(path_prefixes(F.col("file"))).alias("depth", "subsystem")).withColumn("depth", F.col("depth") + 1)
     said = F.when(F.col("depth") > F.col("entry_below"), "INTERFACE").when(F.col("depth") <= F.col("deleted_to"), "DELETE").otherwise("NORMAL")
     into = F.try_element_at(F.filter("steps", lambda s: s["level"] >= F.col("depth")), F.lit(-1))["into"]
