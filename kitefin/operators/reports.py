@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import all_zero, depth
 from ..schema import RECOMMENDATIONS
-from ..shared import checkpoint
+from ..shared import by_key, checkpoint
 
 COUNTS = ("SUBGRAPH", "INTERFACE", "DELETE", "NORMAL")
 
@@ -66,7 +66,7 @@ def rank_components(members: DataFrame, *keys: str) -> DataFrame:
     """Members with `rank`: components by size, largest first, then by least name, from 0; [keys...,] name, component."""
     sizes = members.groupBy(*keys, "component").agg(F.count("*").alias("size"))
     ranked = numbered(sizes, "rank", keys, F.desc("size"), F.col("component"))
-    return members.join(ranked.withColumn("rank", F.col("rank").cast("int")), [*keys, "component"])
+    return members.join(by_key(ranked.withColumn("rank", F.col("rank").cast("int"))), [*keys, "component"])
 
 
 def locate(advice: DataFrame, locations: DataFrame) -> DataFrame:
