@@ -67,3 +67,20 @@ def test_components_by_contraction(spark):
     for most in (iterate.SMALL_EDGES, 10, 0):
         got = iterate.components(edges, nodes, small_edges=most)
         assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+
+
+def test_large_components_take_few_rounds_and_share_sets(spark, monkeypatch):
+    """A chain into a circle with a chain behind it, too large for a task: no round a link, and fewer sets than nodes."""
+    n = 100
+    pairs = [(f"a{i:03}", f"a{i + 1:03}") for i in range(n)] + [(f"a{n:03}", "k0"), ("k0", "k1"), ("k1", "k2"), ("k2", "k0"), ("k1", "b000")] + [(f"b{i:03}", f"b{i + 1:03}") for i in range(n)]
+    held = [(f"a{i:03}", f"v{i}") for i in range(0, n, 10)] + [("b100", "w")]
+    edges, start = spark.createDataFrame(pairs, "src string, dst string"), spark.createDataFrame(held, "node string, value string")
+    written = []
+    monkeypatch.setattr(iterate, "checkpoint", lambda df, f=iterate.checkpoint: written.append(1) or f(df))
+    keyed, moving = (df.selectExpr("'' AS key", "*") for df in (edges, start))
+    nodes, sets = (list(map(tuple, df.collect())) for df in iterate._value_sets(keyed, moving, 20))
+    assert len(written) < n
+    got = [(node, v) for node, s in nodes for t, v in sets if s == t]
+    want = {(node, v) for start, v in held for node in _behind(pairs, {start})}
+    assert len(got) == len(want) and set(got) == want
+    assert len({t for _, t in nodes}) < len(nodes) / 2
