@@ -16,7 +16,7 @@ from ..functions.names import is_intrinsic, virtual_init_name
 from ..functions.text import c_type
 from ..schema import GLOBAL_PREFIX
 from ..shared import by_key, checkpoint
-from .iterate import components, spread
+from .iterate import components, spread, spread_sets
 
 CALLS = ("call", "invoke")
 #: Operands of a store.
@@ -124,30 +124,48 @@ def stored_global_edges(operands: DataFrame, instructions: DataFrame, aliases: D
 
 
 def _stored_globals(used: DataFrame, aliases: DataFrame, pointing: DataFrame) -> DataFrame:
+    return _global_stores(used, aliases).join(pointing.withColumnRenamed("func", "dst"), "value").select("src", "dst").distinct()
+
+
+def _global_stores(used: DataFrame, aliases: DataFrame) -> DataFrame:
+    """src, value: globals with the values stored into them or into aliases of them."""
     used = used.filter("opcode = 'store'")
     into = used.filter(F.col("idx") == POINTER).select("module", "func", "seq", "kind", "target")
     direct = into.filter("kind = 'gv'").select("module", "func", "seq", F.col("target").alias("gv"))
     through = into.filter("kind = 'alias'").join(aliases.filter("kind = 'gv'").select("module", F.col("alias").alias("target"), F.col("target").alias("gv")), ["module", "target"]).select("module", "func", "seq", "gv")
     stored = used.filter(F.col("idx") == STORED).select("module", "func", "seq", "value")
-    held = direct.unionByName(through).join(stored, ["module", "func", "seq"]).join(pointing.withColumnRenamed("func", "dst"), "value")
-    return held.select(F.concat(F.lit(GLOBAL_PREFIX), "gv").alias("src"), "dst").distinct()
+    held = direct.unionByName(through).join(stored, ["module", "func", "seq"])
+    return held.select(F.concat(F.lit(GLOBAL_PREFIX), "gv").alias("src"), "value").distinct()
 
 
 def program_edges(operands: DataFrame, instructions: DataFrame, constants: DataFrame, aliases: DataFrame) -> DataFrame:
     """src, dst of all that instructions imply: calls direct and through values, functions that arguments may point at
-    from the callee, addresses taken, and stores into globals."""
-    every = checkpoint(_valued(operands, instructions))
+    from the callee, addresses taken, and stores into globals.
+
+    Values that point at the same functions have one set (`spread_sets`): calls are paired as sets, each pair once, and
+    written out as functions at the end.
+    """
+    every = checkpoint(_with_opcode(operands, instructions)).withColumn("value", _value(F.col("kind"), F.col("target")))
     taken = checkpoint(_taken(every, constants, aliases))
-    pointing = checkpoint(points_to(_copied(every), taken.select("value", "func")))
+    # A result that no operand names neither goes anywhere nor is called, passed or stored.
+    named = every.filter(F.col("opcode").isin(*CALLS, "store")).select(F.col("value").alias("node")).distinct()
+    held = taken.select(F.col("value").alias("node"), F.col("func").alias("value")).distinct().join(by_key(named), "node", "left_semi")
+    nodes, sets = spread_sets(_copied(every), held)
+    at, functions = nodes.select(F.col("node").alias("value"), "set"), sets.select("set", F.col("value").alias("name"))
     used = every.filter(F.col("opcode").isin(*CALLS))
     called = used.filter("idx = 0").select("module", "func", "seq", "kind", "target", "value")
-    known = called.filter("kind = 'func'").select("module", "func", "seq", F.col("target").alias("callee"))
-    unknown = called.filter("kind <> 'func'").join(pointing.withColumnRenamed("func", "callee"), "value").select("module", "func", "seq", "callee")
-    callees = known.unionByName(unknown).distinct()
-    passed = used.filter("idx > 0").select("module", "func", "seq", "value").join(pointing.withColumnRenamed("func", "passed"), "value")
-    through = callees.join(passed.select("module", "func", "seq", "passed"), ["module", "func", "seq"]).filter("callee <> passed").select(F.col("callee").alias("src"), F.col("passed").alias("dst"))
-    edges = callees.select(F.col("func").alias("src"), F.col("callee").alias("dst")).unionByName(through).unionByName(taken.select("src", F.col("func").alias("dst")))
-    return edges.unionByName(_stored_globals(every, aliases, pointing)).distinct()
+    known = called.filter("kind = 'func'").select("module", "func", "seq", F.concat(F.lit("func\t"), "target").alias("callee"))
+    unknown = called.filter("kind <> 'func'").join(by_key(at), "value").select("module", "func", "seq", F.col("set").alias("callee"))
+    callees = checkpoint(known.unionByName(unknown).distinct())
+    passed = used.filter("idx > 0").select("module", "func", "seq", "value").join(by_key(at), "value").select("module", "func", "seq", F.col("set").alias("passed")).distinct()
+    pairs = callees.join(by_key(passed), ["module", "func", "seq"]).select("callee", "passed").distinct()
+    plain = callees.filter("callee LIKE 'func\t%'").select("callee", F.expr("substring(callee, 6)").alias("name")).distinct()
+    names = checkpoint(plain.unionByName(functions.withColumnRenamed("set", "callee").join(by_key(callees.select("callee").distinct()), "callee", "left_semi")))
+    arguments = pairs.join(by_key(functions.select(F.col("set").alias("passed"), F.col("name").alias("dst"))), "passed").select("callee", "dst").distinct()
+    through = arguments.join(by_key(names), "callee").filter("name <> dst").select(F.col("name").alias("src"), "dst")
+    calls = callees.select("func", "callee").distinct().join(by_key(names), "callee").select(F.col("func").alias("src"), F.col("name").alias("dst"))
+    stored = _global_stores(every, aliases).join(by_key(at), "value").select("src", "set").distinct().join(by_key(functions), "set").select("src", F.col("name").alias("dst"))
+    return calls.unionByName(through).unionByName(taken.select("src", F.col("func").alias("dst"))).unionByName(stored).distinct()
 
 
 def initialiser_edges(initialisers: DataFrame, constants: DataFrame, aliases: DataFrame) -> DataFrame:
