@@ -59,6 +59,18 @@ def test_rows_leave_in_batches():
     assert sum(sizes) == n * n and max(sizes) < follow.BATCH + n
 
 
+def test_sets_leave_in_pieces():
+    """The same circle as sets: far fewer names than pairs pass to Spark, and no piece makes more than SIDE * SIDE pairs."""
+    n = 700
+    rows = [(0, 0, False, f"n{i}", f"n{(i + 1) % n}") for i in range(n)] + [(0, 0, False, "x", "y"), (0, 0, False, "y", "n5")] + [(0, 0, True, f"v{i}", f"n{i}") for i in range(n)] + [(0, 0, True, None, "x")]
+    batches = list(follow._follow([pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["key", "part", "held", "a", "b"])], sets=True))
+    pieces = [(a, v) for b in batches for a, v in zip(*(c.to_pylist() for c in b.columns))]
+    assert max(len(a) * len(v) for a, v in pieces) <= follow.SIDE**2 and sum(len(a) + len(v) for a, v in pieces) < n * n / 20
+    pairs = [(a, v) for nodes, values in pieces for a in nodes for v in values]
+    want = {(f"n{i}", v) for i in range(n) for v in [None, *(f"v{k}" for k in range(n))]} | {("x", None), ("y", None)}
+    assert len(pairs) == len(want) and set(pairs) == want
+
+
 def test_components_by_contraction(spark):
     pairs = [(f"a{i:02}", f"a{i + 1:02}") for i in range(40)] + [("b1", "b2"), ("c", "c"), ("b2", "b0")]
     edges = spark.createDataFrame(pairs, "src string, dst string")
